@@ -6,11 +6,12 @@ counted on the full sets.
 
 Steps: (1) one pass over the texts hashes each set, splits the hash range into BINS bins, keeps each bin's minimum and
 fills empty bins from a bin drawn by a fixed hash of (bin, attempt), then folds BANDS * ROWS bins into band keys.
-(2) Documents with equal sets form a class; only its smallest doc_id goes on. (3) Each bucket proposes a star: its hub
-(the least by a fixed hash) with every other member. (4) Stars are verified on full sets. (5) A member that failed against
-its hub may still be linked with another member, so the buckets whose members are not in one component yet are compared
-in blocks on sketches; what looks similar and is not in one component is verified as well. Thus a bucket of n copies costs
-n - 1 verifications, and no link between different texts is lost.
+(2) Documents with equal sets form a class; only its smallest doc_id goes on. (3) Each bucket proposes a star, its smallest
+doc_id with every other member, so a bucket of n members costs n - 1 candidate edges. (4) As two members of a bucket may be
+linked with each other and not with their hub, documents that stars connect form a family, and a family is compared in
+blocks of at most about BLOCK documents or VOLUME shingles: the task of two blocks counts intersections of full sets, skips
+what is connected already and returns a spanning forest of the links it found. Thus no link is lost, no pair is a row, and
+a family's texts move once for each of its blocks. (5) Components of the forests.
 
 Defined results: text null or without words: n_shingles 0, linked with nothing, kept. Repeated rows of one doc_id count as
 one document (that of the least set fingerprint). Rows without doc_id are left out. Empty table: empty result. Columns
@@ -22,21 +23,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import saved
+from .common import components, saved
 
 SIZE = 5
 BINS, BANDS, ROWS = 128, 25, 5
 PERCENT = 85
-#: Members of a star verified together, and members of a block.
-STAR, BLOCK = 64, 128
-#: Sketches this far (in similarity) below the threshold are still verified: over four standard deviations.
-SLACK = 0.15
+#: Documents and shingles of a block, about.
+BLOCK, VOLUME = 512, 1_000_000
 
 _ATTEMPTS = 2048
 _DONOR = (C.stream(31, _ATTEMPTS * BINS) % np.uint64(BINS)).astype(np.int64).reshape(_ATTEMPTS, BINS)
@@ -80,7 +78,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ors = np.r_[np.uint64(0), np.cumsum(C.mix(sets ^ np.uint64(0x5851F42D4C957F2D)))]
             sig = signatures(sets, at)
             keys = band_keys(sig)
-            sketch = (C.mix(sig) >> np.uint64(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo),
@@ -88,30 +85,55 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)),
                     pa.array((ors[at[1:]] - ors[at[:-1]]).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1))),
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
                 ],
-                names=["doc_id", "n", "fp1", "fp2", "bands", "sketch"],
+                names=["doc_id", "n", "fp1", "fp2", "bands"],
             )
 
 
-def _verify(percent: int):
-    """Rows sorted by (hub, salt), the hub's own first: pairs (a, b) that meet the threshold."""
-
-    def linked(hub: np.ndarray, s: np.ndarray) -> bool:
-        if not len(s) or not len(hub):
-            return False
-        common = int(np.count_nonzero(hub[np.minimum(np.searchsorted(hub, s), len(hub) - 1)] == s))
-        return 100 * common >= percent * (len(s) + len(hub) - common)
+def forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, inside: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all that the links between left and not left connect (inside: the links among all), at most len(ids) - 1."""
+    right = np.arange(len(ids)) if inside else np.flatnonzero(~left)
+    if not len(right) or len(ids) < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    _, names = np.unique(np.concatenate(sets), return_inverse=True)
+    names = np.split(names, np.cumsum(sizes)[:-1])
+    flat = np.concatenate([names[k] for k in right])
+    starts = np.r_[0, np.cumsum(sizes[right])[:-1]]
+    mark = np.zeros(int(flat.max(initial=-1)) + 1 + max((int(x.max()) for x in names), default=0) + 1, np.int32)
+    group, found = np.arange(len(ids)), []
+    for i in np.arange(len(ids)) if inside else np.flatnonzero(left):
+        near = (group[right] != group[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))
+        if not near.any():
+            continue
+        mark[names[i]] = 1
+        if near.sum() * 8 < len(right):
+            common = np.zeros(len(right), np.int64)
+            for k in np.flatnonzero(near):
+                common[k] = mark[names[right[k]]].sum()
+        else:
+            common = np.add.reduceat(mark[flat], starts)
+        mark[names[i]] = 0
+        for k in np.flatnonzero(near & (100 * common >= percent * (sizes[right] + sizes[i] - common))):
+            j = right[k]
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                found.append((ids[i], ids[j]))
+    return found
+
+
+def _compare(percent: int):
+    """Rows sorted by (family, i, j, doc_id): the links of each group, as forest() finds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, hub, last, found = None, None, None, []
+        key, ids, blocks, sets, prints, found = None, [], [], [], [], []
 
         def settle() -> None:
-            nonlocal star, hub
-            if last and last[0][3]:
-                star, hub = last[0][:2], last[2]
-            elif last and star == last[0][:2] and linked(hub, last[2]):
-                found.append((last[0][0], last[0][2]))
+            if len(ids) > 1:
+                left = np.array(blocks) == key[1]
+                found.extend(forest(ids, sets, left, key[1] == key[2], percent))
+            for x in (ids, blocks, sets, prints):
+                x.clear()
 
         def out() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -119,18 +141,24 @@ def _verify(percent: int):
             return made
 
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
-            data, offsets = C.utf8(batch.column(4))
+            family, left, right, doc, block = (batch.column(k).to_pylist() for k in range(5))
+            data, offsets = C.utf8(batch.column(5))
             for lo, hi in C.chunks(offsets):
-                sets, at = C.shingles(*C.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SIZE)
-                for i in range(lo, hi):
-                    s = sets[at[i - lo] : at[i - lo + 1]]
+                made, at = C.shingles(*C.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SIZE)
+                for r in range(lo, hi):
+                    s = made[at[r - lo] : at[r - lo + 1]].copy()
+                    if (now := (family[r], left[r], right[r])) != key:
+                        settle()
+                        key = now
                     fp = (int(np.sum(C.mix(s + np.uint64(3)), dtype=np.uint64).view(np.int64)), len(s))
-                    if last and last[0] == rows[i]:  # of repeated rows the least counts, as in the signatures
-                        last = min(last, (rows[i], fp, s), key=lambda x: x[1])
+                    if ids and ids[-1] == doc[r]:  # of repeated rows the least counts, as in the signatures
+                        if fp < prints[-1]:
+                            sets[-1], prints[-1] = s, fp
                         continue
-                    settle()
-                    last = (rows[i], fp, s)
+                    ids.append(doc[r])
+                    blocks.append(block[r])
+                    sets.append(s)
+                    prints.append(fp)
             yield out()
         settle()
         yield out()
@@ -138,65 +166,26 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that meet the threshold on full sets. texts: doc_id, text. A hub's stars go in parts of about STAR."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"), F.col("b").alias("doc_id"), F.lit(False).alias("own"))
-    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("a").alias("doc_id"), F.lit(True).alias("own"))
-    rows = members.union(hubs).join(texts, "doc_id").select("a", "salt", "doc_id", "own", "text")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"), "doc_id")
-    return rows.mapInArrow(_verify(percent), "a long, b long")
-
-
-def _blocks(percent: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left, right = rows[rows.block == i], rows[rows.block == j]
-        a = np.frombuffer(b"".join(left.sketch), np.uint8).reshape(-1, BINS)
-        b = np.frombuffer(b"".join(right.sketch), np.uint8).reshape(-1, BINS)
-        alike = np.stack([(b == x).sum(1) for x in a]) if len(a) else np.zeros((0, len(b)), int)
-        na, nb = left.n.to_numpy()[:, None], right.n.to_numpy()[None]
-        good = (alike >= (percent / 100 - SLACK) * BINS) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-        good &= left.component.to_numpy()[:, None] != right.component.to_numpy()[None]
-        x, y = np.nonzero(good)
-        x, y = left.id.to_numpy()[x], right.id.to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id); see the module."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    signed = texts.mapInArrow(_sign, "doc_id long, n long, fp1 long, fp2 long, bands array<long>, sketch binary")
-    signed = saved(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "n", "fp2", "bands", "sketch")).alias("s")).select("doc_id", "s.*"))
+    signed = texts.mapInArrow(_sign, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
+    signed = saved(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "n", "fp2", "bands")).alias("s")).select("doc_id", "s.*"))
     classes = saved(signed.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0")
-    reps = saved(reps.select(F.col("doc_id").alias("id"), "n", "bands", "sketch"))
-
-    placed = reps.select("id", "n", F.explode("bands").alias("key"))
-    first = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    stars = placed.join(first, "key").where(
-        (F.col("id") != F.col("hub.id")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    reps = signed.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+
+    placed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    hubs = placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
+    stars = placed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    families = saved(components(stars).join(classes.select(F.col("rep").alias("id"), "n"), "id"))
+    sizes = families.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).cast("int").alias("blocks"))
+    members = families.join(sizes, "component").select(
+        F.col("component").alias("family"), F.col("id").alias("doc_id"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")
     )
-    stars = saved(stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = saved(verified(stars, texts, percent))
-    linked = C.components(links)
-
-    # buckets that still hold several components
-    where = placed.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = where.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    open_ = open_.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    inside = where.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    inside = inside.join(reps.select("id", "n", "sketch"), "id")
-    inside = inside.select("key", "id", "component", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    inside = inside.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    alike = inside.groupBy("key", "i", "j").applyInPandas(_blocks(percent), "a long, b long").where("a <> b").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    alike = saved(alike.join(tried, ["a", "b"], "left_anti"))
-    if not alike.isEmpty():
-        more = saved(verified(alike, texts, percent))
-        linked = C.components(links.union(more))
+    rows = members.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "text")
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
+    linked = components(rows.mapInArrow(_compare(percent), "a long, b long"))
 
     root = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
     full = signed.where("n > 0").select("doc_id", "n", "fp1", "fp2").join(root, ["fp1", "fp2", "n"]).select("doc_id", "n", "component_id")
