@@ -7,17 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, sqltext, toxicity, urlmodel
+from . import chat, decontam, langid, neardup, packing, sqltext, toxicity, urlmodel, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A conversation whose texts look like the template's own marks.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.sql("SELECT -7L AS conv_id, turn, role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)", args={"text": HARD_TEXT})
+    return chat.digests(chat.format_chats(turns.unionByName(hard)))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), toxicity.held_out(3, 1)
     out = langid.identify(docs, langid.train(docs.where(~held)))
@@ -46,7 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
+    "op2_warc": op2_warc,
     "op3_minhash": op3_minhash,
+    "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_url_filter": op7_url_filter,
     "op9_packing": op9_packing,
@@ -54,5 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat": sqltext.CHATS,
+    "op2_warc": sqltext.ARCHIVE,
     "op3_minhash": sqltext.NEAR_DUPLICATES,
+    "op5_decontamination": sqltext.CONTAMINATED,
 }

@@ -21,3 +21,41 @@ nd AS (SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce
 
 
 NEAR_DUPLICATES = f"WITH RECURSIVE {near_duplicates()} SELECT *, doc_id = component_id AS kept FROM nd"
+
+LOWER_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
+
+
+def contaminated(docs: str = "documents", items: str = "benchmark") -> str:
+    """CTEs up to `hit` (doc_id, item_id, item_shingles, shared, containment)."""
+    split = SHINGLES.replace("FROM w", "FROM {}")
+    return f"""dw AS (SELECT doc_id, {LOWER_WORDS} AS w FROM {docs}),
+bw AS (SELECT item_id AS doc_id, {LOWER_WORDS} AS w FROM {items}),
+bs AS MATERIALIZED ({split.format("bw")}),
+bn AS (SELECT doc_id, count(*) AS n FROM bs GROUP BY doc_id),
+ds AS MATERIALIZED (SELECT * FROM ({split.format("dw")}) WHERE sh IN (SELECT sh FROM bs)),
+hit AS (SELECT ds.doc_id, bs.doc_id AS item_id, any_value(n) AS item_shingles, count(*) AS shared, count(*) / any_value(n) AS containment
+  FROM ds JOIN bs ON ds.sh = bs.sh JOIN bn ON bn.doc_id = bs.doc_id GROUP BY ds.doc_id, bs.doc_id HAVING count(*) / any_value(n) >= 0.8)"""
+
+
+CONTAMINATED = f"WITH {contaminated()} SELECT doc_id, item_id, item_shingles, shared, containment FROM hit"
+
+CHATS = r"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+c AS (SELECT conv_id, count(*) AS n_turns, bool_or(contains(text, '</turn>') OR contains(role, '</turn>') OR contains(role, ': ')) AS esc,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length(role) + length(text) + 19) AS raw_chars,
+    sum(4 + 2 * length(text) - length(replace(replace(text, '\', ''), '<', '')) - length(text)
+      + 2 * length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), ':', '')) - length(role)) AS more_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(CASE WHEN esc THEN raw_chars + more_chars ELSE raw_chars END AS BIGINT) AS formatted_chars
+FROM c"""
+
+ARCHIVE = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+k AS (SELECT html, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON k.html = p.html"""
