@@ -154,6 +154,30 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np
     return out[new], np.r_[0, np.cumsum(new)][to]
 
 
+#: Bits of the filter that likely_in() broadcasts: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def likely_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column is among the ids (one column), and a few others: a filter before a join, so that the join
+    need not shuffle what it will drop. One bit for each hash, of FILTER_BITS; where ids outgrow it, more rows pass."""
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(FILTER_BITS)) + 1
+    bits = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for b, part in bits.collect():  # at most FILTER_BITS bits
+        held[(b - 1) * 4096 : b * 4096] = np.frombuffer(part, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            mask = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(mask.astype(bool))).select(list(range(batch.num_columns - 1)))
+
+    spot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    return rows.withColumn("_spot", spot).mapInArrow(keep, rows.schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component being the smallest id reachable.
 

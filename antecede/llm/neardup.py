@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import components, saved
+from .common import components, likely_in, saved
 
 SIZE = 5
 BINS, BANDS, ROWS = 128, 25, 5
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = families.join(sizes, "component").select(
         F.col("component").alias("family"), F.col("id").alias("doc_id"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")
     )
-    rows = members.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = members.join(likely_in(texts, "doc_id", families.select("id")), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "text")
     rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
     linked = components(rows.mapInArrow(_compare(percent), "a long, b long"))
