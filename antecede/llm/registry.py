@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embedgraph, langid, neardup, packing, sqltext, toxicity, urlmodel, warc
+from . import chat, decontam, embedgraph, langid, maxent, neardup, packing, sqltext, toxicity, urlmodel, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlmodel.judge(pages, urlmodel.train(pages))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), toxicity.held_out(10, 0)
+    out = maxent.score(docs, docs.where(~held))
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_url_filter": op7_url_filter,
+    "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
