@@ -43,7 +43,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Words and stems as bucket numbers, the sentence of each, the text of each sentence, and the first byte of each sentence."""
     starts, ends = C.spans(data, offsets)
     # the edges of a word: punctuation on the left, then on the right; words of punctuation alone vanish
-    raw_ends = ends.copy()
+    raw_starts, raw_ends = starts, ends
     for _ in range(8):
         starts = starts + ((starts < ends) & _EDGE[data[np.minimum(starts, len(data) - 1)]])
     for _ in range(8):
@@ -54,16 +54,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     base = inverse[np.minimum(starts, len(inverse) - 1)]
     word, stem = ((total[to] - total[starts]) * base for to in (ends, np.minimum(starts + STEM, ends)))
     bucket = (C.mix(np.concatenate([word, stem])) >> np.uint64(64 - BITS)).astype(np.int64)
-    text = np.searchsorted(offsets, starts, "right") - 1
+    text = np.searchsorted(offsets, raw_starts, "right") - 1
     last = _END[data[raw_ends - 1]] if len(data) else np.zeros(0, bool)
     broken = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 10, out=broken[1:])
     new = np.ones(len(starts), bool)
     if len(starts):
-        new[1:] = last[:-1] | (text[1:] != text[:-1]) | (broken[starts[1:]] != broken[starts[:-1]])
+        new[1:] = last[:-1] | (text[1:] != text[:-1]) | (broken[raw_starts[1:]] != broken[raw_starts[:-1]])
     sentence = np.cumsum(new) - 1
     keep = np.tile(ends > starts, 2)
-    return bucket[keep], np.tile(sentence, 2)[keep], text[new], starts[new]
+    return bucket[keep], np.tile(sentence, 2)[keep], text[new], raw_starts[new]
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
