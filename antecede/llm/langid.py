@@ -263,3 +263,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
     )
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose language is identified and not rejected, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = C.utf8(batch.column(place))
+            for lo, hi in C.chunks(offsets):
+                part = batch.slice(lo, hi - lo)
+                rejected = shared.value.predict(part.column(place).to_pylist())[3]
+                yield part.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -209,5 +209,20 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     )
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below the threshold, as they are."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = C.utf8(batch.column(place))
+            for lo, hi in C.chunks(offsets):
+                bucket, sentence, text, _ = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                score = model.documents(model.sentences(bucket, sentence, len(text)), text, hi - lo)
+                yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int, remainder: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
