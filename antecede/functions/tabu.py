@@ -1,0 +1,42 @@
+"""Tabu search for the parents of one child over compacted profiles."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+class Family:
+    """Penalised log-likelihood of parent sets, given as bit masks over the candidates, from rows (mask, child bit, count)."""
+
+    def __init__(self, masks: np.ndarray, child: np.ndarray, counts: np.ndarray, penalty: float):
+        self.masks, self.child, self.counts, self.penalty, self.known = masks, child, counts, penalty, {}
+
+    def score(self, parents: int) -> float:
+        if parents not in self.known:
+            _, config = np.unique(self.masks & parents, return_inverse=True)
+            n = np.bincount(config, self.counts)
+            one = np.bincount(config, self.counts * self.child)
+            part = sum((x[x > 0] * np.log(x[x > 0] / n[x > 0])).sum() for x in (one, n - one))
+            self.known[parents] = float(part) - self.penalty * 2 ** parents.bit_count()
+        return self.known[parents]
+
+
+def search(family: Family, candidates: int, start: int = 0, tenure: int = 10, patience: int = 10) -> int:
+    """The best parent set met. Each turn takes the best change of one candidate that is not tabu (changed within `tenure`
+    turns), even a worse one, unless it beats the best so far; ends after `patience` turns without a new best."""
+    now = best = start
+    until, since = [0] * candidates, 0
+    for turn in range(1, 1000):
+        moves = [(family.score(now ^ (1 << k)), -k) for k in range(candidates) if until[k] < turn or family.score(now ^ (1 << k)) > family.score(best) + 1e-8]
+        if not moves:
+            break
+        value, k = max(moves)
+        now ^= 1 << -k
+        until[-k] = turn + min(tenure, max(1, candidates // 2))
+        if value > family.score(best) + 1e-8:
+            best, since = now, 0
+        else:
+            since += 1
+        if since >= patience:
+            break
+    return best
