@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.functions import lasso
+from antecede.sources.tables import stored
 
 #: Compacted rows (distinct steps, time and status) up to which the lasso path runs in one task for each fold.
 MAX_ROWS = 2_000_000
@@ -16,6 +17,7 @@ MAX_ROWS = 2_000_000
 def running(rows: DataFrame, order: str, columns: dict[str, str], descending: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """Running sums of columns (name -> new name) by order within keys, in two levels: within ranges of the order column and
     over the ranges' totals, so no task holds the whole table. order: distinct within keys."""
+    rows = stored(rows)  # distinct values only: read several times below
     marks = rows.agg(F.percentile_approx(order, [k / 64 for k in range(1, 64)], 2000)).first()[0] or []  # 63 numbers
     place = F.size(F.filter(F.array(*[F.lit(float(m)) for m in sorted(set(marks))]) if marks else F.array().cast("array<double>"), lambda m: m < F.col(order).cast("double")))
     rows = rows.withColumn("_range", place)
@@ -32,7 +34,7 @@ def running(rows: DataFrame, order: str, columns: dict[str, str], descending: bo
 def risk_scores(survival: DataFrame, steps: DataFrame, coefs: DataFrame) -> DataFrame:
     """H6: survival columns with beta = sum of coefficients of the patient's steps, to 1e-9; 0 without any."""
     held = steps.join(F.broadcast(coefs), "step").groupBy("sample_id").agg(F.sum("coef").alias("b"))  # coefs: one row for each step
-    return survival.join(held, "sample_id", "left").withColumn("beta", F.round(F.coalesce("b", F.lit(0.0)), 9)).drop("b")
+    return survival.join(held, "sample_id", "left").withColumn("beta", F.round(F.coalesce("b", F.lit(0.0)), 9) + F.lit(0.0)).drop("b")
 
 
 def risk_sets(scored: DataFrame) -> DataFrame:

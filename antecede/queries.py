@@ -351,7 +351,7 @@ def local_scores_bic(spark, sf_dir):
 
 
 @query(one_parent_sql("""SELECT child, arg_min(parent, (-g, parent)) AS parent, max(g) AS gain FROM (
-  SELECT a.child, a.p AS parent, round(a.aic - b.aic, 6) AS g FROM sc a JOIN sc b ON a.child = b.child AND b.p IS NULL AND a.p IS NOT NULL WHERE a.aic - b.aic > 1e-8) GROUP BY child"""))
+  SELECT a.child, a.p AS parent, round(round(a.aic, 6) - round(b.aic, 6), 6) AS g FROM sc a JOIN sc b ON a.child = b.child AND b.p IS NULL AND a.p IS NOT NULL WHERE a.aic - b.aic > 1e-8) GROUP BY child"""))
 def hc_round1(spark, sf_dir):
     """The first move of the climb for each child."""
     s = _scores(spark, sf_dir, "aic")
@@ -368,16 +368,16 @@ def forbidden_pairs(spark, sf_dir):
     return learn.forbidden(_tier_edges(t), t.genes).select("parent", "child")
 
 
-@query(one_parent_sql("SELECT genes, n FROM pf"))
+@query(one_parent_sql("SELECT array_to_string(genes, ',') AS genes, n FROM pf"))
 def profiles(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return learn.profiles(t.pack, t.n).select("genes", "n")
+    return learn.profiles(t.pack, t.n).select(F.array_join("genes", ",").alias("genes"), "n")
 
 
 # survival
 
 SCORED = f"""co AS (SELECT step, {COEF} AS coef FROM (SELECT DISTINCT step FROM fx_patient_steps)),
-sd AS (SELECT v.sample_id, v.status, v.time, round(coalesce(sum(coef), 0), 9) AS beta FROM fx_survival v
+sd AS (SELECT v.sample_id, v.status, v.time, round(coalesce(sum(coef), 0), 9) + 0::DOUBLE AS beta FROM fx_survival v
   LEFT JOIN fx_patient_steps p ON p.sample_id = v.sample_id LEFT JOIN co ON co.step = p.step GROUP BY ALL),
 rs AS (SELECT time, sum(status) AS d, sum(count(*)) OVER w AS at_risk, sum(sum(exp(beta))) OVER w AS s0 FROM sd GROUP BY time WINDOW w AS (ORDER BY time DESC)),
 hz AS (SELECT time, sum(d / s0) OVER (ORDER BY time) AS h FROM rs),
@@ -437,18 +437,18 @@ def cluster_prevalence(spark, sf_dir):
 
 @query(scored_sql("""SELECT cluster, time, CAST(events AS BIGINT) AS events, CAST(at_risk AS BIGINT) AS at_risk,
   round(CASE WHEN sum(CASE WHEN events = at_risk THEN 1 ELSE 0 END) OVER w > 0 THEN 0 ELSE exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END) OVER w) END, 9) AS survival
-FROM (SELECT * FROM (SELECT cluster, time, sum(status) AS events, sum(count(*)) OVER (PARTITION BY cluster ORDER BY time DESC) AS at_risk FROM cl GROUP BY ALL) WHERE events > 0)
+FROM (SELECT * FROM (SELECT cluster, time, sum(status) AS events, sum(count(*)) OVER (PARTITION BY cluster ORDER BY time DESC) AS at_risk FROM cl GROUP BY cluster, time) WHERE events > 0)
 WINDOW w AS (PARTITION BY cluster ORDER BY time)"""))
 def kaplan_meier(spark, sf_dir):
     out = survival.kaplan_meier(survival.clusters(_scored(Tables(spark, sf_dir))))
     return out.withColumn("survival", F.round("survival", 9))
 
 
-@query(ctes("fx_survival", "fx_patient_steps") + """SELECT v.sample_id, status, time, coalesce(list_sort(list(step) FILTER (step IS NOT NULL)), []) AS steps
+@query(ctes("fx_survival", "fx_patient_steps") + """SELECT v.sample_id, status, time, coalesce(array_to_string(list_sort(list(step) FILTER (step IS NOT NULL)), ','), '') AS steps
 FROM fx_survival v LEFT JOIN fx_patient_steps p ON p.sample_id = v.sample_id GROUP BY ALL""")
 def survival_bound(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return shaping.bind_survival(t.survival, t.patient_steps)
+    return shaping.bind_survival(t.survival, t.patient_steps).withColumn("steps", F.array_join("steps", ","))
 
 
 @query(ctes("fx_ccf") + f"""SELECT a.sample_id, a.gene_id || '->' || b.gene_id AS step FROM fx_ccf a JOIN fx_ccf b ON a.sample_id = b.sample_id AND a.ccf > b.ccf
