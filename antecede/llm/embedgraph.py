@@ -150,7 +150,7 @@ def _links(least: float):
         rows = rows.sort_values(["block", "id"])
         ids, copies = rows.id.to_numpy(), rows.copies.to_numpy()
         x = _matrix(rows.unit)
-        clusters = np.array([sorted(c) + [-1] * (OVERLAP - len(c)) for c in rows.clusters])
+        clusters = np.array([sorted(c) + [-1] * (OVERLAP - len(c)) for c in rows.clusters], np.int64)
         left, right = np.flatnonzero(rows.block == i), np.flatnonzero(rows.block == j)
         place = {v: k for k, v in enumerate(ids.tolist())}
         graph = [[place[v] for v in g if v in place] for g in rows.neighbours]
