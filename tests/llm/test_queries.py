@@ -1,0 +1,51 @@
+"""The registered queries with SQL against DuckDB on whole tables of the smallest size, and the pipeline on a small folder."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from antecede.llm import common, registry
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
+    got = registry.QUERIES[name](spark, FOLDER)
+    want = con.execute(registry.ORACLES[name])
+    names = sorted(got.columns)
+    assert names == sorted(d[0] for d in want.description)
+    order = [[d[0] for d in want.description].index(n) for n in names]
+    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=repr) == sorted((tuple(r[k] for k in order) for r in want.fetchall()), key=repr)
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "decontamination", "packing"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, common.saved(stage(spark, docs, FOLDER))
+        if name != "packing":
+            assert docs.columns == before.columns and docs.join(before, docs.columns, "left_anti").count() == 0
+            held[name] = (before.count(), docs.count())
+    assert held["toxicity"][1] >= 0.8 * held["toxicity"][0] and held["language"][0] == held["language"][1]
+    assert held["near_duplicates"][1] < held["near_duplicates"][0] and held["decontamination"][1] < held["decontamination"][0]
+    assert docs.agg(F.count_distinct("doc_id")).first()[0] == held["decontamination"][1]
+
+
+def test_pipeline_keeps_one_of_each_and_odd_rows(spark):
+    import corpus_pipeline
+
+    text = "a text of more than five words that is held twice"
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text + " ", "en", "s", 1), (3, None, None, None, None), (None, text, "en", "s", 1), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.deduplicated(spark, docs, FOLDER)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0)]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.identified(spark, docs, FOLDER).collect()} == {1, 2, None}
