@@ -510,8 +510,11 @@ def tree_confidence(spark, sf_dir):
 
 @query()
 def signatures(spark, sf_dir):
+    """P7 with a planted effect: patients that show a step of the lowest fixed coefficient leave 24 months sooner."""
     t = Tables(spark, sf_dir)
-    return inference.signatures(t.survival, t.patient_steps, folds=5).prevalence
+    early = t.patient_steps.where("LENGTH(step) % 7 = 0").select("sample_id").distinct().withColumn("early", F.lit(24.0))
+    moved = t.survival.join(early, "sample_id", "left").withColumn("time", F.greatest(F.lit(1.0), F.col("time") - F.coalesce("early", F.lit(0.0)))).drop("early")
+    return inference.signatures(moved, t.patient_steps, folds=5).prevalence
 
 
 @query()
