@@ -28,7 +28,7 @@ from .common import saved
 
 BITS, STEM = 18, 4
 THRESHOLD = 0.3
-MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
+MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
 EPOCHS = 60
 #: A feature is used if it is in so many documents fitted on and its rates in the two classes differ by so many standard errors.
 MIN_DOCS, MIN_Z = 3, 4.0
