@@ -40,6 +40,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     removed = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept")
     kept = without(docs, removed)
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    again = common.saved(again)
+    if again.isEmpty():
+        return kept
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return without(kept, again).union(once)
 
