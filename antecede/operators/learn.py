@@ -8,6 +8,8 @@ Families are at most poset edges x restarts, a bound that does not grow with the
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,18 +97,19 @@ def hill_climb(profiles_: DataFrame, edges: DataFrame, n: DataFrame, regularizat
 
     key = ["iter", "regularization", "child", "restart"]
     state = stored(starts.join(value(starts), ["iter", "child", "parents"]).select(*key, "parents", "score"))
-    done = state.limit(0)
+    done = []
     for _ in range(most):
-        moves = stored(one_arc_moves(state, edges).select(*key, "gene", "score", F.col("moved").alias("parents")))
+        moves = one_arc_moves(state, edges).select(*key, "gene", "score", F.col("moved").alias("parents"))
         gains = moves.withColumnRenamed("score", "old").join(value(moves), ["iter", "regularization", "child", "parents"])
         gains = gains.where("score - old > 1e-8").groupBy(*key)
         best = gains.agg(F.min(F.struct((-F.round(F.col("score") - F.col("old"), 9)).alias("g"), "gene", "parents", "score")).alias("m"))
         best = stored(best.select(*key, "m.parents", "m.score"))
-        done = stored(done.unionByName(state.join(best, key, "left_anti")))
+        done.append(state.join(best, key, "left_anti"))
         if best.isEmpty():
             break
         state = best
-    final = done.groupBy("iter", "regularization", "child").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "restart", "parents")).alias("m"))
+    ended = functools.reduce(DataFrame.unionByName, done)
+    final = ended.groupBy("iter", "regularization", "child").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "restart", "parents")).alias("m"))
     return final.select("iter", "regularization", F.explode("m.parents").alias("parent"), "child")
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from antecede.jobs import inference
 from antecede.operators import learn, order, probabilities, ranking, resample, shaping, survival
-from antecede.sources.fixtures import ctes, fixture
-from antecede.sources.tables import explode_trees, wide_to_long
+from antecede.sources.fixtures import FIXTURES, ctes, fixture
+from antecede.sources.tables import explode_trees, stored, wide_to_long
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,13 +35,25 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 class Tables:
-    """The fixtures of one folder."""
+    """The fixtures of one folder, each computed once and stored."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.get = lambda name: fixture(spark, sf_dir, name)
+        self._spark, self._made = spark, {}
+        for table in ("lineitem", "part", "orders"):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._made:
+            needs, sql = FIXTURES[name]
+            for x in needs:
+                self._get(x).createOrReplaceTempView(x)
+            self._made[name] = stored(self._spark.sql(sql))
+        return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.get(f"fx_{name}")
+        if f"fx_{name}" not in FIXTURES:
+            raise AttributeError(name)
+        return self._get(f"fx_{name}")
 
     @property
     def n(self) -> DataFrame:
@@ -49,7 +61,9 @@ class Tables:
 
     @property
     def pack(self) -> DataFrame:
-        return probabilities.packed(self.ccf)
+        if "pack" not in self._made:
+            self._made["pack"] = stored(probabilities.packed(self.ccf))
+        return self._made["pack"]
 
 
 COUNTS = """n AS (SELECT count(*) AS n FROM fx_samples),
@@ -165,7 +179,7 @@ def precedence(spark, sf_dir):
     """Which genes tend to come before which: from read counts to the pairs that pass probability raising."""
     t = Tables(spark, sf_dir)
     ccf = shaping.with_ccf(shaping.latest_rows(t.vaf)).where("ccf > 0").select("sample_id", "gene_id", "ccf")
-    pack = probabilities.packed(ccf)
+    pack = stored(probabilities.packed(ccf))  # read by both tables
     both = probabilities.p_model_ccf(pack, t.genes, t.n).join(probabilities.p_null(pack, t.genes, t.n), ["iter", "gene_i", "gene_j"])
     return both.where("p_model > p_null").select("gene_i", "gene_j", "p_model", "p_null")
 
