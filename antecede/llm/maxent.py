@@ -11,8 +11,8 @@ class's sum, with one slot for all unknown words.
 
 Counts c of all words of all training texts are grouped on Spark. Weights are trained by distributed gradient updates: in
 each of ROUNDS rounds, tasks make Adagrad steps on their part of the training texts from the common weights, and the
-differences are averaged, weighted by tokens. That takes a `share` of the training texts, by a hash of doc_id, which grows
-with the input; the weights are DIMENSION x CLASSES numbers, whatever the input. Scoring reads every whole text in numpy
+differences are averaged, weighted by tokens. The rounds split the training texts by a hash of doc_id, so each is learned
+from once (a `share` below 1 leaves the rest out); the weights are DIMENSION x CLASSES numbers, whatever the input. Scoring reads every whole text in numpy
 batches. Counts of the frequent words (each over 1 / HEAD of all tokens, so fewer than HEAD of them) are broadcast; the
 other tokens find theirs by a join on the word, which is never hot as they are rare.
 
@@ -34,7 +34,7 @@ from . import common as C
 from .common import saved
 
 ENDINGS, CLASSES, DIMENSION, HEAD = 1024, 32, 1 << 14, 1 << 16
-ROUNDS, SHARE, STEP_TOKENS, RATE = 2, 0.25, 16_384, 0.5
+ROUNDS, SHARE, STEP_TOKENS, RATE = 2, 1.0, 16_384, 0.5
 #: The end token: the only one of ending 0 and of the last class.
 END = np.uint64(1 << 20)
 BLOCKS = 16
@@ -197,7 +197,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> Model:
-    """The classes and weights, from a share of the documents."""
+    """The classes and weights, from all documents, or a share of them."""
     spark = docs.sparkSession
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
     some = docs.where("doc_id is not null").select(draw.alias("draw"), F.col("text").cast("string").alias("text")).where(F.col("draw") < share)

@@ -114,6 +114,14 @@ def test_lm_rare_words_by_join(spark, monkeypatch):
     assert np.allclose(a.base_score, b.base_score) and np.allclose(a.score, b.score) and (a.n_known == b.n_known).all()
 
 
+def test_lm_learns_from_every_text(spark):
+    texts = [f"first{k} second{k} third{k}" for k in range(60)]
+    model = maxent.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for text in texts:
+        w, at = maxent.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert all(model.weights[r].any(1).all() for r in model.rows(w, at)), text
+
+
 def test_class_model_is_a_distribution():
     rng = np.random.default_rng(1)
     model = maxent.Model(maxent.classes(rng.integers(0, 9, (maxent.ENDINGS, 64)).astype(float)))
