@@ -249,6 +249,28 @@ def rank_dag_exact(spark, sf_dir):
     return ranking.minimum_agony(_upward(order.arcs(Tables(spark, sf_dir).ccf))).select("gene_id", "rank")
 
 
+UP_ALL = TIERS + """,
+up AS (SELECT parent, child FROM arcs WHERE CAST(SUBSTRING(parent, 7) AS INT) < CAST(SUBSTRING(child, 7) AS INT)),
+node AS (SELECT parent AS g FROM up UNION SELECT child FROM up),
+walk(g, d) AS (SELECT g, 0 FROM node UNION SELECT up.child, d + 1 FROM walk JOIN up ON up.parent = walk.g)"""
+
+
+def _upward_all(arcs: DataFrame) -> DataFrame:
+    return arcs.where("CAST(SUBSTRING(parent, 7) AS INT) < CAST(SUBSTRING(child, 7) AS INT)")
+
+
+@query(ctes("fx_ccf", more=UP_ALL, recursive=True) + "SELECT g AS gene_id, max(d) AS rank FROM walk GROUP BY g")
+def rank_dag_all(spark, sf_dir):
+    """E3 as DataFrame rounds, on all arcs from lower to higher brands."""
+    return ranking.dag_ranks(_upward_all(order.arcs(Tables(spark, sf_dir).ccf))).select("gene_id", "rank")
+
+
+@query(ctes("fx_ccf", more=UP_ALL, recursive=True) + "SELECT g AS gene_id, max(d) AS rank FROM walk GROUP BY g")
+def rank_dag_all_exact(spark, sf_dir):
+    """E1 on all arcs from lower to higher brands."""
+    return ranking.minimum_agony(_upward_all(order.arcs(Tables(spark, sf_dir).ccf))).select("gene_id", "rank")
+
+
 @query(ctes("fx_genes") + f"SELECT a.gene_id AS parent, b.gene_id AS child FROM fx_genes a JOIN fx_genes b ON {PLANTED.format('a.gene_id')} < {PLANTED.format('b.gene_id')}")
 def poset_planted(spark, sf_dir):
     genes = Tables(spark, sf_dir).genes
