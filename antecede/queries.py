@@ -505,14 +505,14 @@ def _tagged(poset: DataFrame, inferred: DataFrame, value: str | None = None) ->
 @query()
 def ccf_inference(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = inference.ccf_inference(t.ccf, t.samples, t.genes, restarts=0)
+    out = inference.ccf_inference(t.ccf, t.samples, t.genes)
     return _tagged(out.poset, out.inference)
 
 
 @query()
 def ccf_resampling(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = inference.ccf_resampling(t.ccf, t.vaf, t.samples, t.genes, nsampling=5, restarts=0)
+    out = inference.ccf_resampling(t.ccf, t.vaf, t.samples, t.genes)
     return _tagged(out.poset, out.inference)
 
 
@@ -526,21 +526,21 @@ def tree_inference(spark, sf_dir):
 @query()
 def tree_bootstrap(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = inference.tree_bootstrap(t.ccf, t.tree_nodes, t.tree_edges, t.samples, t.genes, nsampling=5, restarts=2)
+    out = inference.tree_bootstrap(t.ccf, t.tree_nodes, t.tree_edges, t.samples, t.genes)
     return _tagged(out.poset, out.inference)
 
 
 @query()
 def ccf_confidence(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = inference.ccf_confidence(t.ccf, t.samples, t.genes, t.vaf, niterations=3, nsampling=2, restarts=0)
+    out = inference.ccf_confidence(t.ccf, t.samples, t.genes, t.vaf)
     return _tagged(out.poset, out.inference, "frequency")
 
 
 @query()
 def tree_confidence(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = inference.tree_confidence(t.ccf, t.tree_nodes, t.tree_edges, t.samples, t.genes, niterations=3, nsampling=2, restarts=0)
+    out = inference.tree_confidence(t.ccf, t.tree_nodes, t.tree_edges, t.samples, t.genes)
     return _tagged(out.poset, out.inference, "frequency")
 
 
@@ -550,7 +550,7 @@ def signatures(spark, sf_dir):
     t = Tables(spark, sf_dir)
     early = t.patient_steps.where("LENGTH(step) % 7 = 0").select("sample_id").distinct().withColumn("early", F.lit(24.0))
     moved = t.survival.join(early, "sample_id", "left").withColumn("time", F.greatest(F.lit(1.0), F.col("time") - F.coalesce("early", F.lit(0.0)))).drop("early")
-    return inference.signatures(moved, t.patient_steps, folds=5).prevalence
+    return inference.signatures(moved, t.patient_steps).prevalence
 
 
 @query()

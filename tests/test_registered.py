@@ -1,6 +1,11 @@
 """Registered queries do their operator's whole job."""
 
+import inspect
+
+import pytest
+
 from antecede import queries
+from antecede.jobs import inference
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -12,3 +17,21 @@ def test_dag_ranks_keep_every_upward_arc(spark):
     for name in ("rank_dag_all", "rank_dag_all_exact"):
         rank = {r.gene_id: r["rank"] for r in queries.QUERIES[name](spark, FOLDER).collect()}
         assert all(rank[a] < rank[b] for a, b in up)
+
+
+@pytest.mark.parametrize("name", ["ccf_inference", "ccf_resampling", "tree_bootstrap", "ccf_confidence", "tree_confidence", "signatures"])
+def test_jobs_run_at_their_defaults(spark, monkeypatch, name):
+    class Called(Exception):
+        pass
+
+    of = inspect.signature(getattr(inference, name))
+
+    def spy(*args, **kwargs):
+        raise Called(of.bind(*args, **kwargs).arguments)
+
+    monkeypatch.setattr(inference, name, spy)
+    with pytest.raises(Called) as found:
+        queries.QUERIES[name](spark, FOLDER)
+    given = found.value.args[0]
+    for k in ("nsampling", "niterations", "restarts", "folds"):
+        assert k not in of.parameters or given.get(k, of.parameters[k].default) == of.parameters[k].default
