@@ -51,7 +51,7 @@ def cox_gradient(scored: DataFrame, steps: DataFrame) -> DataFrame:
     return steps.join(rest, "sample_id").groupBy("step").agg(F.sum("r").alias("gradient"))
 
 
-def select_steps(survival: DataFrame, steps: DataFrame, folds: int = 10, seed: int = 1, count: int = 30, max_rows: int = MAX_ROWS) -> DataFrame:
+def select_steps(survival: DataFrame, steps: DataFrame, folds: int = 10, seed: int = 1, count: int = 100, max_rows: int = MAX_ROWS) -> DataFrame:
     """H3-H5: step, coef, direction of the non-zero coefficients at the lambda of least cross-validated deviance.
 
     Patients of equal steps, time and status become one weighted row first; each fold's path is a task of its own. Above

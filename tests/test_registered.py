@@ -2,10 +2,13 @@
 
 import inspect
 
+import numpy as np
 import pytest
 
 from antecede import queries
+from antecede.functions import lasso
 from antecede.jobs import inference
+from antecede.operators import survival
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,3 +38,12 @@ def test_jobs_run_at_their_defaults(spark, monkeypatch, name):
     given = found.value.args[0]
     for k in ("nsampling", "niterations", "restarts", "folds"):
         assert k not in of.parameters or given.get(k, of.parameters[k].default) == of.parameters[k].default
+
+
+def test_lasso_path_is_whole():
+    assert inspect.signature(survival.select_steps).parameters["count"].default == 100
+    rng = np.random.default_rng(2)
+    for n, columns, ratio in ((200, 5, 1e-4), (20, 30, 0.01)):
+        x = (rng.random((n, columns)) < 0.5).astype(float)
+        grid = lasso.lambdas(lasso.Cox(x, rng.permutation(n) + 1.0, np.ones(n), np.ones(n)))
+        assert len(grid) == 100 and grid[-1] == pytest.approx(grid[0] * ratio)
