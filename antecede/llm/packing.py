@@ -10,8 +10,12 @@ a pattern takes is found by division. The plan thus has a few thousand rules (le
 pieces get a rank among those of their length by counting in buckets, and find their place by binary search. No piece
 passes through the driver.
 
+By default max_docs = capacity and max_cost = capacity ** 2, which no set of pieces that fits by its tokens can exceed, and
+the weights of the two are close to nothing: the packing is then the scalar best fit by tokens. Tighter limits bind.
+
 Documents of at most `capacity` tokens are never cut. Longer ones are cut into pieces of `capacity` tokens, of which the
-first may be shorter. Null text counts as empty; an empty text is the end token alone. Repeated rows are packed each, in
+first may be shorter. Null text counts as empty; an empty text is the end token alone. A very long text, or one with
+millions of equal characters in a row, is encoded in parts and gives the ids of the whole. Repeated rows are packed each, in
 the order of their texts' checksums. Rows without doc_id are packed too. Empty table: empty result. Other columns are not
 looked at.
 """
@@ -19,6 +23,7 @@ looked at.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,23 +41,32 @@ BUCKET_ROWS = 4_000
 #: Fixed value: the pattern by which byte-level BPE splits texts first.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters of a text that are encoded at a time, about, and blanks in a row that the fast engine gets at most.
+PART, RUN = 1 << 18, 20_000
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(r"(?<=[^\s])[ \n]")
+_RUN = re.compile(f"(?<![{_BLANK}])[{_BLANK}]{{{RUN},}}")
+
 
 class Encoder:
     """Encodes as the byte-level BPE of the tokenizer file does. If the file's ids are its merge order, tiktoken applies
-    them, several times as fast; texts that hold a special token's string, and other files, go through the tokenizer."""
-
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = self._by_ranks()
+    them, several times as fast; texts that hold a special token's string, and other files, go through the tokenizer.
 
-    def _by_ranks(self):
-        import tiktoken
+    A long text is encoded in parts of about PART characters, cut where a blank follows a character that is none, as the
+    pattern always splits there. A run of more than RUN blanks, over which the fast engine's pattern would recurse, is a
+    piece of its own but for its last blank and goes through the tokenizer, and what is left on either side does not."""
 
-        model = json.loads(self.tokenizer.to_str())["model"]
-        if model["type"] != "BPE":
+    def __init__(self, tokenizer_path: str):
+        with open(tokenizer_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self.slow = tokenizer_path, None
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.fast = self._by_ranks(spec)
+
+    def _by_ranks(self, spec: dict):
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if model.get("type") != "BPE" or not plain or spec.get("normalizer"):
             return None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
@@ -60,13 +74,36 @@ class Encoder:
         merges = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
         if [vocab.get(m) for m in merges] != list(range(256, 256 + len(merges))) or not set("".join(vocab)) <= set(byte_of):
             return None
+        import tiktoken
+
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
         return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _slowly(self, text: str) -> list[int]:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: str) -> array:
-        if self.ranked is None or any(s in text for s in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return array("I", self.ranked(text))
+        out = array("I")
+        if self.fast is None or any(s in text for s in self.special):
+            out.extend(self._slowly(text))
+            return out
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + PART) if len(text) - at > PART else None
+            part = text[at : cut.start() if cut else len(text)]
+            at += len(part)
+            done = 0
+            for run in _RUN.finditer(part) if len(part) > RUN else ():
+                stop = run.end() - (run.end() < len(part) or at < len(text))
+                out.extend(self.fast(part[done : run.start()]))
+                out.extend(self._slowly(part[run.start() : stop]))
+                done = stop
+            out.extend(self.fast(part[done:]))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -78,22 +115,23 @@ def _cut(tokenizer_path: str, capacity: int, end_id: int):
             _encoders[tokenizer_path] = Encoder(tokenizer_path)
         encode = _encoders[tokenizer_path]
         for batch in batches:
-            ids, piece, start, length, crc = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            row, piece, start, length, crc = (array("q") for _ in range(5))
+            for k, text in enumerate(batch.column(1)):
                 data = encode(text.as_py() or "")
                 data.append(end_id)
                 n = len(data)
-                at, k = 0, 0
+                view, at, nth = memoryview(data), 0, 0
                 while at < n:
                     size = (n % capacity or capacity) if at == 0 else capacity
-                    ids.append(doc)
-                    piece.append(k)
+                    row.append(k)
+                    piece.append(nth)
                     start.append(at)
                     length.append(size)
-                    crc.append(zlib.crc32(data[at : at + size]))
-                    at, k = at + size, k + 1
+                    crc.append(zlib.crc32(view[at : at + size]))
+                    at, nth = at + size, nth + 1
+            columns = [np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (row, piece, start, length, crc)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [batch.column(0).take(pa.array(columns[0])), pa.array(columns[1].astype(np.int32)), *(pa.array(x) for x in columns[2:])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 

@@ -164,7 +164,7 @@ def test_packing(spark):
     path = registry.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
     encode = packing.Encoder(path)
-    assert encode.ranked is not None
+    assert encode.fast is not None
     for text in ("", " ", "a  b", "a\n b", "it's 'll 12 a1b, é—ü \u3000 x", "\x1c a \x85 b", "<|endoftext|> a", "😀" * 9):
         assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
     rows = [r for r in variants(4) if r[0] != 0] + [(500, None), (501, "tie"), (501, "tie"), (501, "other"), (None, "no id")]
@@ -190,6 +190,27 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 3_000_000 + "b", "\n" * 3_000_000, "e" * 3_000_000, "word " * 100_000 + " \n" * 50_000 + "\tx" + "\u3000" * 30_000], ids=["blanks", "breaks", "letter", "mixed"])
+def test_long_runs_encode_as_the_tokenizer_does(text):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path()
+    assert packing.Encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_parts_and_runs_are_cut_where_the_pattern_splits(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "PART", 40)
+    monkeypatch.setattr(packing, "RUN", 4)
+    monkeypatch.setattr(packing, "_RUN", re.compile(f"(?<![{packing._BLANK}])[{packing._BLANK}]{{4,}}"))
+    path = registry.tokenizer_path()
+    encode, tokenizer, rng = packing.Encoder(path), Tokenizer.from_file(path), random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "é", " ", " ", "  ", "\n", "\t", "1", "'s", ".", "\x1c", "\x85", "      "], k=rng.randrange(160)))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_keeps_every_capacity(seed):
     rng = random.Random(seed)
