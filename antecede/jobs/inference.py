@@ -37,24 +37,15 @@ def ccf_inference(ccf: DataFrame, samples: DataFrame, genes: DataFrame, regulari
     """P1."""
     ccf = shaping.keep_genes(ccf, genes, "gene_id")
     pack, n = stored(probabilities.packed(ccf, memberships)), stored(probabilities.sample_counts(samples, memberships))
-    if memberships is None:
-        arcs = order.arcs(ccf, arc_mode).withColumn("iter", F.lit(0))
-    else:
-        # a sample's arcs once, its rounds last
-        per = ccf.join(memberships.select("iter", "sample_id"), "sample_id").select(F.concat_ws("/", "iter", "sample_id").alias("sample_id"), "gene_id", "ccf")
-        arcs = _arcs_by_round(per, arc_mode)
+    arcs = order.arcs(ccf, arc_mode, memberships)
     poset = ranking.single_poset(arcs, genes, _iters(n))
-    poset = stored(ranking.probability_raising(poset, probabilities.p_model_ccf(pack, genes, n), probabilities.p_null(pack, genes, n)))
+    poset = _raised(poset, pack, genes, n)
     return Result(poset, _infer(pack, n, poset, regularization, command, restarts))
 
 
-def _arcs_by_round(ccf: DataFrame, mode: str) -> DataFrame:
-    """Arcs of samples named iter/sample, per iter."""
-    rounds = ccf.select(F.split("sample_id", "/")[0].cast("int").alias("iter"), F.col("sample_id"), "gene_id", "ccf")
-    marked = rounds.select("sample_id", F.concat_ws("/", "iter", "gene_id").alias("gene_id"), "ccf")
-    arcs = order.arcs(marked, mode)
-    gene = lambda c: F.expr(f"substring({c}, instr({c}, '/') + 1)")
-    return arcs.select(F.split("parent", "/")[0].cast("int").alias("iter"), gene("parent").alias("parent"), gene("child").alias("child"), "weight")
+def _raised(poset: DataFrame, pack: DataFrame, genes: DataFrame, n: DataFrame) -> DataFrame:
+    pairs = stored(probabilities.pair_counts(pack))  # genes ** 2 rows for each round, read by both tables
+    return stored(ranking.probability_raising(poset, probabilities.p_model_ccf(pack, genes, n, pairs), probabilities.p_null(pack, genes, n, pairs)))
 
 
 def ccf_resampling(ccf: DataFrame, vaf: DataFrame, samples: DataFrame, genes: DataFrame, nsampling: int = 100, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, seed: int = 1, arc_mode: str = "tiers", memberships: DataFrame | None = None) -> Result:
@@ -64,8 +55,7 @@ def ccf_resampling(ccf: DataFrame, vaf: DataFrame, samples: DataFrame, genes: Da
     pack, n = stored(probabilities.packed(ccf, memberships)), stored(probabilities.sample_counts(samples, memberships))
     arcs = resample.replicate_arcs(vaf, nsampling, seed, memberships, arc_mode)
     ranks = stored(ranking.mean_ranks(ranking.minimum_agony(arcs), genes, _iters(n)))
-    poset = ranking.probability_raising(ranking.poset(ranks), probabilities.p_model_ccf(pack, genes, n), probabilities.p_null(pack, genes, n))
-    poset = stored(poset)
+    poset = _raised(ranking.poset(ranks), pack, genes, n)
     return Result(poset, _infer(pack, n, poset, regularization, command, restarts), ranks)
 
 

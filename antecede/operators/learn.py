@@ -2,8 +2,12 @@
 
 The poset is acyclic and everything outside it is forbidden, so the score is a sum over children that do not touch each
 other: greedy search on the network is greedy search for each child. Data enter once, as counts of distinct mutation
-profiles; each round scores all one-arc changes of all children, restarts, regularizations and iterations in one job.
-Families are at most poset edges x restarts, a bound that does not grow with the samples, so they are broadcast.
+profiles, which are counted again for each child on its own candidates: at most 2 ** (candidates + 1) rows for a child,
+whatever the samples. A child whose table has up to MAX_CELLS bits is climbed in one task, with all restarts and
+regularizations; the others go through DataFrame rounds, each of which scores all one-arc changes in one job. Both ways
+make the same moves.
+
+What depends on genes and iterations alone is broadcast up to MAX_LABELS labels; beyond, the join is salted.
 """
 
 from __future__ import annotations
@@ -15,10 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antecede.functions import tabu
-from antecede.sources.tables import stored
+from antecede.functions import climb
+from antecede.sources.tables import spread, stored
 
 PENALTIES = ("aic", "bic")
+#: Labels of candidates or families that are broadcast at most; parts that the rows of a key are split into beyond.
+MAX_LABELS, SALTS = 2_000_000, 64
+#: Rows x candidates of one child's table that are climbed in one task at most.
+MAX_CELLS = 100_000_000
 
 
 def profiles(pack: DataFrame, n: DataFrame) -> DataFrame:
@@ -37,12 +45,34 @@ def forbidden(edges: DataFrame, genes: DataFrame) -> DataFrame:
     return rounds.crossJoin(F.broadcast(every)).join(edges, ["iter", "parent", "child"], "left_anti")
 
 
+def _beside(rows: DataFrame, small: DataFrame, labels: Column, keys: list[str], spread_by: Column) -> DataFrame:
+    """rows joined with a table of labels: broadcast while it holds MAX_LABELS at most, else by keys and a salt of spread_by."""
+    if (small.agg(F.sum(labels)).first()[0] or 0) <= MAX_LABELS:
+        return rows.join(F.broadcast(small), keys)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def projected(profiles_: DataFrame, candidates: DataFrame) -> DataFrame:
+    """G2 for each child: iter, child, cands, config (the candidates present), x (whether the child is) and n.
+    candidates: (iter, child, cands), a row for each child."""
+    rows = _beside(profiles_, candidates, F.size("cands") + 1, ["iter"], F.col("genes"))
+    rows = rows.select("iter", "child", "cands", F.array_intersect("cands", "genes").alias("config"), F.array_contains("genes", F.col("child")).cast("int").alias("x"), "n")
+    return rows.groupBy("iter", "child", "cands", "config", "x").agg(F.sum("n").alias("n"))
+
+
+def _counted(tables: DataFrame, families: DataFrame) -> DataFrame:
+    rows = _beside(tables, families, F.size("parents") + 1, ["iter", "child"], F.col("config"))
+    rows = rows.withColumn("config", F.array_intersect("parents", "config"))
+    one = F.when(F.col("x") > 0, F.col("n")).otherwise(0)
+    return rows.groupBy("iter", "child", "parents", "config").agg(F.sum("n").alias("n"), F.sum(one).alias("n1"))
+
+
 def family_counts(profiles_: DataFrame, families: DataFrame) -> DataFrame:
     """Iter, child, parents, config (the parents present), n, n1 (with the child). families: (iter, child, parents)."""
-    rows = profiles_.join(F.broadcast(families), "iter")
-    rows = rows.withColumn("config", F.array_intersect("parents", "genes"))
-    one = F.when(F.array_contains("genes", F.col("child")), F.col("n")).otherwise(0)
-    return rows.groupBy("iter", "child", "parents", "config").agg(F.sum("n").alias("n"), F.sum(one).alias("n1"))
+    families = stored(families)
+    used = families.groupBy("iter", "child").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("parents")))).alias("cands"))
+    return _counted(projected(profiles_, used), families)
 
 
 def log_likelihoods(counts: DataFrame) -> DataFrame:
@@ -84,56 +114,97 @@ def _checked(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def hill_climb(profiles_: DataFrame, edges: DataFrame, n: DataFrame, regularizations: tuple[str, ...] = PENALTIES, restarts: int = 10, seed: int = 1, most: int = 200) -> DataFrame:
-    """Iter, regularization, parent, child. A move must gain more than 1e-8; equal gains go to the smallest gene."""
-    edges, profiles_ = _checked(edges), stored(profiles_)
-    regs = _regularizations(edges, regularizations)
-    draw = lambda r: (r == 0) | (F.pmod(F.xxhash64(F.lit(seed), "iter", r, "parent", "child"), F.lit(5)) > 0)
-    starts = edges.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts))))
-    starts = starts.groupBy("iter", "child", "restart").agg(F.sort_array(F.collect_set(F.when(~draw(F.col("restart")), F.col("parent")))).alias("parents"))
+def _starts(edges: DataFrame, restarts: int, seed: int) -> DataFrame:
+    """iter, child, restart, parents: none for restart 0, else each candidate by one chance in five."""
+    rows = edges.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts))))
+    held = (F.col("restart") > 0) & (F.pmod(F.xxhash64(F.lit(seed), "iter", "restart", "parent", "child"), F.lit(5)) == 0)
+    return rows.groupBy("iter", "child", "restart").agg(F.sort_array(F.collect_set(F.when(held, F.col("parent")))).alias("parents"))
+
+
+def _counts(part: pd.DataFrame) -> tuple[list[str], climb.Counts]:
+    """One child's candidates and its counts on them."""
+    cands = list(part.cands.iat[0])
+    size = part.config.str.len().to_numpy()
+    bits = np.zeros((len(part), len(cands)), np.uint8)
+    if size.sum():
+        bits[np.repeat(np.arange(len(part)), size), np.searchsorted(np.array(cands, object), np.concatenate(part.config.to_numpy()))] = 1
+    return cands, climb.Counts(bits, part.x.to_numpy(), part.n.to_numpy())
+
+
+def _in_tasks(tables: DataFrame, starts: DataFrame, n: DataFrame, names: tuple[str, ...], search) -> DataFrame:
+    """iter, regularization, parent, child by search(counts, penalty, starts), one task for each child of each iteration."""
+    starts = starts.join(F.broadcast(n.select("iter", F.col("n").alias("total"))), "iter")  # a row for each iteration
+
+    def best(key: tuple, part: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(part) and len(begin):
+            cands, counts = _counts(part)
+            bit = {g: 1 << k for k, g in enumerate(cands)}
+            masks = [sum(bit[g] for g in p) for p in begin.sort_values("restart").parents]
+            for name in names:
+                penalty = 1.0 if name == "aic" else float(np.log(begin.total.iat[0]) / 2)
+                found = search(counts, penalty, masks)
+                out += [(key[0], name, g, key[1]) for g in cands if found & bit[g]]
+        return pd.DataFrame(out, columns=["iter", "regularization", "parent", "child"])
+
+    keys = ["iter", "child"]
+    both = spread(tables, *keys).groupBy(*keys).cogroup(spread(starts, *keys).groupBy(*keys))
+    return both.applyInPandas(best, "iter int, regularization string, parent string, child string")
+
+
+def best_moves(state: DataFrame, edges: DataFrame, value) -> DataFrame:
+    """One round: the move of most gain of each state (iter, regularization, child, restart, parents, score) that gains more
+    than 1e-8, equal gains to the smallest gene; with its gene and gain. value(families): their scores."""
+    key = ["iter", "regularization", "child", "restart"]
+    moves = one_arc_moves(state, edges).select(*key, "gene", "score", F.col("moved").alias("parents"))
+    gains = moves.withColumnRenamed("score", "old").join(value(moves), ["iter", "regularization", "child", "parents"])
+    gains = gains.withColumn("gain", F.round(F.col("score") - F.col("old"), 9)).where("score - old > 1e-8").groupBy(*key)
+    best = gains.agg(F.min(F.struct((-F.col("gain")).alias("g"), "gene", "parents", "score", "gain")).alias("m"))
+    return best.select(*key, "m.parents", "m.score", "m.gene", "m.gain")
+
+
+def _rounds(tables: DataFrame, starts: DataFrame, edges: DataFrame, n: DataFrame, regs: DataFrame, most: int) -> DataFrame:
+    """iter, regularization, parent, child by DataFrame rounds over the children's counts."""
 
     def value(families: DataFrame) -> DataFrame:
-        return scores(log_likelihoods(family_counts(profiles_, families.select("iter", "child", "parents").distinct())), regs, n)
+        return scores(log_likelihoods(_counted(tables, stored(families.select("iter", "child", "parents").distinct()))), regs, n)
 
     key = ["iter", "regularization", "child", "restart"]
     state = stored(starts.join(value(starts), ["iter", "child", "parents"]).select(*key, "parents", "score"))
     done = []
     for _ in range(most):
-        moves = one_arc_moves(state, edges).select(*key, "gene", "score", F.col("moved").alias("parents"))
-        gains = moves.withColumnRenamed("score", "old").join(value(moves), ["iter", "regularization", "child", "parents"])
-        gains = gains.where("score - old > 1e-8").groupBy(*key)
-        best = gains.agg(F.min(F.struct((-F.round(F.col("score") - F.col("old"), 9)).alias("g"), "gene", "parents", "score")).alias("m"))
-        best = stored(best.select(*key, "m.parents", "m.score"))
+        best = stored(best_moves(state, edges, value).drop("gene", "gain"))
         done.append(state.join(best, key, "left_anti"))
+        state = best
         if best.isEmpty():
             break
-        state = best
-    ended = functools.reduce(DataFrame.unionByName, done)
+    ended = functools.reduce(DataFrame.unionByName, [*done, state])
     final = ended.groupBy("iter", "regularization", "child").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "restart", "parents")).alias("m"))
     return final.select("iter", "regularization", F.explode("m.parents").alias("parent"), "child")
 
 
-def tabu_search(profiles_: DataFrame, edges: DataFrame, n: DataFrame, regularizations: tuple[str, ...] = PENALTIES) -> DataFrame:
-    """As hill_climb(), by tabu search per child. A group holds the profiles projected on the child's candidates, at most
-    2 ** (candidates + 1) rows."""
+def _candidates(edges: DataFrame) -> DataFrame:
+    return stored(edges.groupBy("iter", "child").agg(F.sort_array(F.collect_set("parent")).alias("cands")))
+
+
+def hill_climb(profiles_: DataFrame, edges: DataFrame, n: DataFrame, regularizations: tuple[str, ...] = PENALTIES, restarts: int = 10, seed: int = 1, most: int = 200, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Iter, regularization, parent, child. A move must gain more than 1e-8; equal gains go to the smallest gene."""
     edges = _checked(edges)
-    cands = edges.groupBy("iter", "child").agg(F.sort_array(F.collect_set("parent")).alias("cands"))
-    rows = profiles_.join(F.broadcast(cands), "iter")
-    rows = rows.withColumns({"config": F.array_intersect("cands", "genes"), "x": F.array_contains("genes", F.col("child")).cast("int")})
-    rows = rows.groupBy("iter", "child", "cands", "config", "x").agg(F.sum("n").alias("n"))
-    rows = rows.join(F.broadcast(n.withColumnRenamed("n", "total")), "iter")
-    names = tuple(regularizations)
-    _regularizations(edges, names)
-
-    def best(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cands = list(part.cands.iat[0])
-        bit = {g: 1 << k for k, g in enumerate(cands)}
-        masks = np.array([sum(bit[g] for g in c) for c in part.config], object if len(cands) > 62 else np.int64)
-        out = []
-        for reg in names:
-            k = 1.0 if reg == "aic" else float(np.log(part.total.iat[0]) / 2)
-            found = tabu.search(tabu.Family(masks, part.x.to_numpy(), part.n.to_numpy(float), k), len(cands))
-            out += [(key[0], reg, g, key[1]) for g in cands if found & bit[g]]
-        return pd.DataFrame(out, columns=["iter", "regularization", "parent", "child"])
+    names, regs = tuple(regularizations), _regularizations(edges, regularizations)
+    tables, starts = stored(projected(profiles_, _candidates(edges))), _starts(edges, restarts, seed)
+    sizes = tables.groupBy("iter", "child").agg((F.count("*") * F.size(F.first("cands"))).alias("cells"))
+    large = stored(sizes.where(F.col("cells") > max_cells).select("iter", "child"))
+    if large.isEmpty():
+        return _in_tasks(tables, starts, n, names, lambda counts, penalty, begin: climb.restarted(counts, penalty, begin, most))
+    keys = ["iter", "child"]
+    small = _in_tasks(tables.join(large, keys, "left_anti"), starts.join(large, keys, "left_anti"), n, names, lambda counts, penalty, begin: climb.restarted(counts, penalty, begin, most))
+    rest = _rounds(tables.join(large, keys, "left_semi"), stored(starts.join(large, keys, "left_semi")), edges.join(large, keys, "left_semi"), n, regs, most)
+    return small.unionByName(rest)
+
 
-    return rows.groupBy("iter", "child").applyInPandas(best, "iter int, regularization string, parent string, child string")
+def tabu_search(profiles_: DataFrame, edges: DataFrame, n: DataFrame, regularizations: tuple[str, ...] = PENALTIES) -> DataFrame:
+    """As hill_climb(), by tabu search per child, one task for each child of each iteration."""
+    edges = _checked(edges)
+    _regularizations(edges, regularizations)
+    tables = projected(profiles_, _candidates(edges))
+    return _in_tasks(tables, _starts(edges, 0, 0), n, tuple(regularizations), lambda counts, penalty, begin: climb.tabu(counts, penalty, begin[0]))

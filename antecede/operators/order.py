@@ -17,28 +17,36 @@ def total_order(ccf: DataFrame) -> DataFrame:
     )
 
 
-def arcs(ccf: DataFrame, mode: str = "tiers") -> DataFrame:
-    """Weighted arcs (parent, child, weight). tiers: every gene of a tier to every gene of the next. compat: the gene
-    at position j to the one at j + 1, weighted by the sizes of tiers j and j + 1."""
+def sample_arcs(ccf: DataFrame, mode: str = "tiers") -> DataFrame:
+    """The arcs of each sample: sample_id, parent, child, weight. tiers: every gene of a tier to every gene of the next.
+    compat: the gene at position j to the one at j + 1, weighted by the sizes of tiers j and j + 1."""
     per = Window.partitionBy("sample_id")
     rows = total_order(ccf)
     if mode == "tiers":
         # the genes of a tier once for each (sample, tier); the next tier is the next row, so no self-join
         tiers = rows.groupBy("sample_id", "tier").agg(F.collect_list("gene_id").alias("genes"))
         pairs = tiers.withColumn("next", F.lead("genes").over(per.orderBy("tier"))).where("next is not null")
-        pairs = pairs.select(F.explode("genes").alias("parent"), "next").select("parent", F.explode("next").alias("child"), F.lit(1).cast("long").alias("weight"))
-    elif mode == "compat":
-        sizes = rows.groupBy("sample_id").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("position", "gene_id"))), lambda x: x["gene_id"]).alias("genes"),
-            F.max("tier").alias("tiers"),
-            F.sort_array(F.collect_list("tier")).alias("t"),
-        )
-        sizes = sizes.where("tiers > 1").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("tiers") - 1)))
-        many = lambda j: F.size(F.filter("t", lambda t: t == j))
-        pairs = sizes.select(F.element_at("genes", F.col("j")).alias("parent"), F.element_at("genes", F.col("j") + 1).alias("child"), (many(F.col("j")) * many(F.col("j") + 1)).cast("long").alias("weight"))
-    else:
+        return pairs.select("sample_id", F.explode("genes").alias("parent"), "next").select("sample_id", "parent", F.explode("next").alias("child"), F.lit(1).cast("long").alias("weight"))
+    if mode != "compat":
         raise ValueError(mode)
-    return weighed(pairs)
+    sizes = rows.groupBy("sample_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "gene_id"))), lambda x: x["gene_id"]).alias("genes"),
+        F.max("tier").alias("tiers"),
+        F.sort_array(F.collect_list("tier")).alias("t"),
+    )
+    sizes = sizes.where("tiers > 1").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("tiers") - 1)))
+    many = lambda j: F.size(F.filter("t", lambda t: t == j))
+    return sizes.select("sample_id", F.element_at("genes", F.col("j")).alias("parent"), F.element_at("genes", F.col("j") + 1).alias("child"), (many(F.col("j")) * many(F.col("j") + 1)).cast("long").alias("weight"))
+
+
+def arcs(ccf: DataFrame, mode: str = "tiers", memberships: DataFrame | None = None) -> DataFrame:
+    """Weighted arcs (parent, child, weight); with memberships (iter, sample_id), for each iter. A sample is put in
+    order once; its rounds meet its arcs last, where they are summed on the map side."""
+    pairs = sample_arcs(ccf, mode)
+    if memberships is None:
+        return weighed(pairs.drop("sample_id"))
+    rounds = memberships.groupBy("sample_id").agg(F.collect_set("iter").alias("iters"))
+    return weighed(pairs.join(rounds, "sample_id").select(F.explode("iters").alias("iter"), "parent", "child", "weight"))
 
 
 def tree_arcs(edges: DataFrame, genes: DataFrame) -> DataFrame:

@@ -26,15 +26,17 @@ def sample_counts(samples: DataFrame, memberships: DataFrame | None = None) -> D
     return memberships.groupBy("iter").agg(F.count("*").alias("n"))
 
 
-def _pairs(pack: DataFrame) -> DataFrame:
-    """One row for each unordered pair (a.gene_id < b.gene_id) of a sample and each of its rounds."""
+def pair_counts(pack: DataFrame) -> DataFrame:
+    """iter, gene_i < gene_j: both (samples with the two), up and down (those where gene_i's ccf is larger, smaller)."""
     rows = pack.select("iters", "muts", F.posexplode("muts").alias("p", "a"))
     rows = rows.select("iters", "a", F.explode(F.expr("slice(muts, p + 2, size(muts))")).alias("b"))
-    return rows.select("a", "b", F.explode("iters").alias("iter"))
+    pairs = rows.select(F.explode("iters").alias("iter"), "a", "b").groupBy("iter", F.col("a.gene_id").alias("gene_i"), F.col("b.gene_id").alias("gene_j"))
+    above, below = F.col("a.ccf") > F.col("b.ccf"), F.col("a.ccf") < F.col("b.ccf")
+    return pairs.agg(F.count("*").alias("both"), F.sum(above.cast("long")).alias("up"), F.sum(below.cast("long")).alias("down"))
 
 
-def _mirrored(pairs: DataFrame, *swap: tuple[str, str]) -> DataFrame:
-    back = {"gene_i": "gene_j", "gene_j": "gene_i"} | dict(swap) | {b: a for a, b in swap}
+def _mirrored(pairs: DataFrame) -> DataFrame:
+    back = {"gene_i": "gene_j", "gene_j": "gene_i", "up": "down", "down": "up"}
     return pairs.unionByName(pairs.select(*[F.col(back.get(c, c)).alias(c) for c in pairs.columns]))
 
 
@@ -47,8 +49,9 @@ def marginals(pack: DataFrame, n: DataFrame) -> DataFrame:
     return gene_counts(pack).join(F.broadcast(n), "iter").select("iter", "gene_id", (F.col("c").cast("double") / F.col("n")).alias("p"))
 
 
-def joint_counts(pack: DataFrame) -> DataFrame:
-    pairs = _pairs(pack).groupBy("iter", F.col("a.gene_id").alias("gene_i"), F.col("b.gene_id").alias("gene_j")).agg(F.count("*").alias("c"))
+def joint_counts(pack: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """iter, gene_i, gene_j, c: ordered pairs and the diagonal. pairs: pair_counts(pack), where it is made already."""
+    pairs = (pair_counts(pack) if pairs is None else pairs).select("iter", "gene_i", "gene_j", F.col("both").alias("c"))
     same = gene_counts(pack).select("iter", F.col("gene_id").alias("gene_i"), F.col("gene_id").alias("gene_j"), "c")
     return _mirrored(pairs).unionByName(same)
 
@@ -65,10 +68,10 @@ def grid(genes: DataFrame, n: DataFrame) -> DataFrame:
     return both.crossJoin(F.broadcast(n))
 
 
-def p_null(pack: DataFrame, genes: DataFrame, n: DataFrame) -> DataFrame:
-    """P(i and not j) = P(i) - P(i, j), from counts."""
+def p_null(pack: DataFrame, genes: DataFrame, n: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """P(i and not j) = P(i) - P(i, j), from counts. pairs: pair_counts(pack), where it is made already."""
     one = gene_counts(pack).select("iter", F.col("gene_id").alias("gene_i"), F.col("c").alias("ci"))
-    two = joint_counts(pack).where("gene_i <> gene_j")
+    two = joint_counts(pack, pairs).where("gene_i <> gene_j")
     rows = grid(genes, n).join(one, ["iter", "gene_i"], "left").join(two, ["iter", "gene_i", "gene_j"], "left").fillna(0, ["ci", "c"])
     return rows.select("iter", "gene_i", "gene_j", (F.col("ci").cast("double") / F.col("n") - F.col("c").cast("double") / F.col("n")).alias("p_null"))
 
@@ -78,12 +81,11 @@ def _on_grid(counts: DataFrame, genes: DataFrame, n: DataFrame, value: Column) -
     return rows.select("iter", "gene_i", "gene_j", F.coalesce(value, F.lit(0.0)).alias("p_model"))
 
 
-def p_model_ccf(pack: DataFrame, genes: DataFrame, n: DataFrame) -> DataFrame:
-    """C4: among samples with both, the share in which i has the larger ccf; ties count below only, no co-occurrence is 0."""
-    a, b = F.col("a.ccf"), F.col("b.ccf")
-    counts = _pairs(pack).groupBy("iter", F.col("a.gene_id").alias("gene_i"), F.col("b.gene_id").alias("gene_j"))
-    counts = counts.agg(F.count("*").alias("both"), F.sum((a > b).cast("long")).alias("up"), F.sum((a < b).cast("long")).alias("down"))
-    return _on_grid(_mirrored(counts, ("up", "down")), genes, n, F.col("up").cast("double") / F.col("both"))
+def p_model_ccf(pack: DataFrame, genes: DataFrame, n: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """C4: among samples with both, the share in which i has the larger ccf; ties count below only, no co-occurrence is 0.
+    pairs: pair_counts(pack), where it is made already."""
+    counts = _mirrored(pair_counts(pack) if pairs is None else pairs)
+    return _on_grid(counts, genes, n, F.col("up").cast("double") / F.col("both"))
 
 
 def p_model_trees(nodes: DataFrame, edges: DataFrame, genes: DataFrame, n: DataFrame, memberships: DataFrame | None = None) -> DataFrame:

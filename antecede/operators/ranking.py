@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions import agony
-from antecede.sources.tables import stored
+from antecede.sources.tables import spread, stored
 
 KEYS = ["iter", "rep"]
 
@@ -28,7 +28,7 @@ def minimum_agony(arcs: DataFrame) -> DataFrame:
     """Iter, rep, gene_id, rank, agony, circulation. A group is one graph, at most genes ** 2 weighted arcs; a graph of
     more than a few thousand genes is one task and should go to dag_ranks() if it has no cycle."""
     arcs = with_keys(arcs).where("parent <> child")
-    return arcs.groupBy(*KEYS).applyInPandas(_rank, "iter int, rep int, gene_id string, rank int, agony long, circulation long")
+    return spread(arcs, *KEYS).groupBy(*KEYS).applyInPandas(_rank, "iter int, rep int, gene_id string, rank int, agony long, circulation long")
 
 
 def dag_ranks(arcs: DataFrame) -> DataFrame:

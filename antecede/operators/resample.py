@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from antecede.functions import draws
 
+#: Drawn mutations that a task holds at a time, about.
+CHUNK = 1 << 18
+
 
 def replicate_arcs(vaf: DataFrame, nsampling: int, seed: int, memberships: DataFrame | None = None, mode: str = "tiers") -> DataFrame:
     """F1 with B2, B3, D1, D2, D4: weighted arcs (iter, rep, parent, child, weight) of every replicate.
 
     A sample's mutations are one row; each replicate draws its vafs from Beta(alt, ref), clamps, orders and emits arcs in the
-    same map task, counted per batch, so replicated mutations never move. vaf: one row for each (sample, gene).
+    same map task, about CHUNK mutations at a time, so replicated mutations never move and a task holds one batch and one
+    chunk. vaf: one row for each (sample, gene).
     """
     cols = ["gene_id", "alt_count", "ref_count", "copy_number", "normal_ploidy"]
     packed = vaf.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("m"))
@@ -28,37 +32,34 @@ def replicate_arcs(vaf: DataFrame, nsampling: int, seed: int, memberships: DataF
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = []
             size = batch.gene_id.str.len().to_numpy()
-            rounds = batch.iters.str.len().to_numpy()
             if not len(batch) or not size.sum():
                 continue
             flat = {c: np.concatenate(batch[c].to_numpy()) for c in cols}
             names, gene = np.unique(flat["gene_id"].astype(str), return_inverse=True)
-            first = np.r_[0, np.cumsum(size)[:-1]]
-            own = np.repeat(batch.key.to_numpy(np.int64).view(np.uint64), size)
+            g = len(names)
+            owner = np.repeat(np.arange(len(batch)), size)
+            own = batch.key.to_numpy(np.int64).view(np.uint64)[owner]
             with np.errstate(over="ignore"):
                 own = draws.mix(own + gene_keys(names)[gene])
-            for rep in range(nsampling):
-                for nth in range(int(rounds.max(initial=0))):
-                    sample = np.flatnonzero(rounds > nth)
-                    it = np.array([batch.iters.iat[k][nth] for k in sample], np.int64)
-                    n = size[sample]
-                    place = np.repeat(first[sample] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            rounds = batch.iters.str.len().to_numpy()
+            its, member = np.concatenate(batch.iters.to_numpy()).astype(np.int64), np.repeat(np.arange(len(batch)), rounds)
+            for it in np.unique(its):
+                inside = np.zeros(len(batch), bool)
+                inside[member[its == it]] = True
+                place = np.flatnonzero(inside[owner])
+                most = max(1, CHUNK // max(1, len(place)))  # replicates drawn at a time
+                for lo in range(0, nsampling, most):
+                    reps = np.arange(lo, min(lo + most, nsampling))
+                    at, rep = np.tile(place, len(reps)), np.repeat(reps, len(place))
                     with np.errstate(over="ignore"):
-                        keys = draws.mix(own[place] + np.repeat(it, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rep) * np.uint64(0xD1342543DE82EF95))
-                    value = draws.beta(flat["alt_count"][place], flat["ref_count"][place], keys)
-                    copies = flat["normal_ploidy"][place] + (flat["copy_number"][place] - flat["normal_ploidy"][place])
-                    ccf = np.clip(copies * value, 0, 1)
-                    p, c, w, owner = ordered_arcs(np.repeat(np.arange(len(sample)), n), gene[place], ccf, mode)
-                    code = (it[owner] * len(names) + p) * len(names) + c
-                    code, back = np.unique(code, return_inverse=True)
-                    made.append(
-                        pd.DataFrame(
-                            {"iter": code // len(names) ** 2, "rep": rep, "parent": names[code // len(names) % len(names)], "child": names[code % len(names)], "weight": np.bincount(back, w, len(code)).astype(np.int64)}
-                        )
-                    )
-            yield pd.concat(made)
+                        keys = draws.mix(own[at] + np.uint64(it) * np.uint64(0x9E3779B97F4A7C15) + rep.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+                    value = draws.beta(flat["alt_count"][at], flat["ref_count"][at], keys)
+                    copies = flat["normal_ploidy"][at] + (flat["copy_number"][at] - flat["normal_ploidy"][at])
+                    p, c, w, of = ordered_arcs(rep * len(batch) + owner[at], gene[at], np.clip(copies * value, 0, 1), mode)
+                    code, back = np.unique((of // len(batch) * g + p) * g + c, return_inverse=True)
+                    weight = np.bincount(back, w, len(code)).astype(np.int64)
+                    yield pd.DataFrame({"iter": np.int32(it), "rep": (code // g**2).astype(np.int32), "parent": names[code // g % g], "child": names[code % g], "weight": weight})
 
     counted = rows.mapInPandas(draw, "iter int, rep int, parent string, child string, weight long")
     return counted.where("parent <> child").groupBy("iter", "rep", "parent", "child").agg(F.sum("weight").alias("weight"))

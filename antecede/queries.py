@@ -180,7 +180,8 @@ def precedence(spark, sf_dir):
     t = Tables(spark, sf_dir)
     ccf = shaping.with_ccf(shaping.latest_rows(t.vaf)).where("ccf > 0").select("sample_id", "gene_id", "ccf")
     pack = stored(probabilities.packed(ccf))  # read by both tables
-    both = probabilities.p_model_ccf(pack, t.genes, t.n).join(probabilities.p_null(pack, t.genes, t.n), ["iter", "gene_i", "gene_j"])
+    pairs = stored(probabilities.pair_counts(pack))
+    both = probabilities.p_model_ccf(pack, t.genes, t.n, pairs).join(probabilities.p_null(pack, t.genes, t.n, pairs), ["iter", "gene_i", "gene_j"])
     return both.where("p_model > p_null").select("gene_i", "gene_j", "p_model", "p_null")
 
 
@@ -389,12 +390,18 @@ def local_scores_bic(spark, sf_dir):
 @query(one_parent_sql("""SELECT child, arg_min(parent, (-g, parent)) AS parent, max(g) AS gain FROM (
   SELECT a.child, a.p AS parent, round(round(a.aic, 6) - round(b.aic, 6), 6) AS g FROM sc a JOIN sc b ON a.child = b.child AND b.p IS NULL AND a.p IS NOT NULL WHERE a.aic - b.aic > 1e-8) GROUP BY child"""))
 def hc_round1(spark, sf_dir):
-    """The first move of the climb for each child."""
-    s = _scores(spark, sf_dir, "aic")
-    none = s.where("parent IS NULL").select("child", F.col("score").alias("base"))
-    gains = s.where("parent IS NOT NULL").join(none, "child").withColumn("gain", F.round(F.col("score") - F.col("base"), 6)).where("gain > 1e-8")
-    best = gains.groupBy("child").agg(F.min(F.struct((-F.col("gain")).alias("g"), "parent", "gain")).alias("m"))
-    return best.select("child", "m.parent", "m.gain")
+    """The first move of the climb for each child, from no parents."""
+    t = Tables(spark, sf_dir)
+    edges, profiles_ = _tier_edges(t), learn.profiles(t.pack, t.n)
+    regs = spark.createDataFrame([("aic",)], "regularization string")
+
+    def value(families: DataFrame) -> DataFrame:
+        counts = learn.family_counts(profiles_, families.select("iter", "child", "parents").distinct())
+        return learn.scores(learn.log_likelihoods(counts), regs, t.n).withColumn("score", F.round("score", 6))
+
+    none = edges.select("iter", "child", F.array().cast("array<string>").alias("parents"), F.lit(0).alias("restart")).distinct()
+    state = value(none).join(none, ["iter", "child", "parents"])
+    return learn.best_moves(state, edges, value).select("child", F.col("gene").alias("parent"), F.round("gain", 6).alias("gain"))
 
 
 @query(one_parent_sql(f"""SELECT p.gene_id AS parent, c.gene_id AS child FROM fx_genes p JOIN fx_genes c ON p.gene_id <> c.gene_id

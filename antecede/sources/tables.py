@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,14 +59,22 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy(*[c for c in ("regularization",) if c in edges.columns]).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt out by keys over twice spark.sql.shuffle.partitions: for few small groups of much work each, which adaptive
+    execution would put into one task because their rows are few."""
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cuts lineage by a Parquet table in the folder of spark.checkpoint.dir, which driver and executors share; only where
-    that is unset (tests) in a folder of our own."""
+    that is unset and the master is local in a folder of our own."""
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = own.get()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from antecede.functions import lasso, tabu
+from antecede.functions import climb, lasso
 from antecede.jobs import inference
 from antecede.operators import learn, order, probabilities, ranking, resample, shaping, survival
 from antecede.sources.tables import read_arcs, wide_to_long, write_edges
@@ -187,7 +187,45 @@ def test_tabu_helper_finds_an_interaction():
     masks = np.arange(8).repeat(2)
     child = np.tile([0, 1], 8)
     counts = np.where((masks & 1) ^ ((masks >> 1) & 1) == child, 90, 10)  # exclusive or: no single parent gains
-    assert tabu.search(tabu.Family(masks, child, counts, 2.0), 3) & 3 == 3
+    bits = (masks[:, None] >> np.arange(3)) & 1
+    assert climb.tabu(climb.Counts(bits.astype(np.uint8), child, counts), 2.0) & 3 == 3
+
+
+def test_both_ways_of_the_climb_give_the_same_parents(spark):
+    rng = np.random.default_rng(3)
+    names = [f"g{k}" for k in range(8)]
+    has = rng.random((500, 8)) < 0.35
+    for k in range(3, 8):
+        has[:, k] |= has[:, rng.integers(k)] & (rng.random(500) < 0.6)
+    c = spark.createDataFrame([(f"s{i}", names[k], 0.5) for i in range(500) for k in range(8) if has[i, k]], "sample_id string, gene_id string, ccf double")
+    samples = frame(spark, [f"s{i}" for i in range(500)], "sample_id")
+    n = probabilities.sample_counts(samples)
+    profiles = learn.profiles(probabilities.packed(c), n)
+    edges = spark.createDataFrame([(0, names[i], names[j]) for j in range(8) for i in range(j)], "iter int, parent string, child string")
+    key = ["regularization", "parent", "child"]
+    for most in (1, 200):
+        ways = [rows(learn.hill_climb(profiles, edges, n, restarts=2, most=most, max_cells=cells), *key) for cells in (10**9, 60, 0)]
+        assert ways[0] == ways[1] == ways[2] and ways[0]
+
+
+def test_salted_joins_give_the_same_counts(spark, monkeypatch):
+    c, _, samples, _ = planted(spark, 80)
+    n = probabilities.sample_counts(samples)
+    profiles = learn.profiles(probabilities.packed(c), n)
+    families = spark.createDataFrame([(0, "C", ["A", "B"]), (0, "C", []), (0, "B", ["A"])], "iter int, child string, parents array<string>")
+    get = lambda: sorted(str(r) for r in learn.family_counts(profiles, families).collect())
+    plain = get()
+    monkeypatch.setattr(learn, "MAX_LABELS", 0)
+    assert get() == plain and len(plain) == 6
+
+
+def test_rounds_of_a_sample_meet_its_arcs_last(spark):
+    c, _, samples, _ = planted(spark, 60)
+    member = samples.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("iter"))).where("pmod(xxhash64(sample_id, iter), 4) > 0")
+    for mode in ("tiers", "compat"):
+        got = rows(order.arcs(c, mode, member), "iter", "parent", "child", "weight")
+        want = [(k, *r) for k in range(3) for r in rows(order.arcs(c.join(member.where(F.col("iter") == k), "sample_id"), mode), "parent", "child", "weight")]
+        assert got == sorted(want) and got
 
 
 def test_hinges(spark):
