@@ -54,7 +54,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), toxicity.held_out(10, 0)
-    out = maxent.score(docs, docs.where(~held))
+    out = maxent.score(docs, ~held)
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
