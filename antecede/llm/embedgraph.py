@@ -2,18 +2,29 @@
 
 Vectors are compared only within their label (and length), by cosine in double precision.
 
-(1) Equal vectors of a label form a class with a multiplicity; only its smallest vec_id goes on. (2) Centroids: k-means on a
-sample of about `sample` vectors (by a hash of vec_id; a documented bound), one for about `shard` vectors of a label, at most
-MAX_CENTROIDS for a label. Every vector goes to its OVERLAP nearest centroids: overlapping shards. A shard above `shard`
-vectors is dealt into blocks by a hash, so no group is larger. (3) In each block a flat graph is built: each vector's
+(1) Equal vectors of a label form a class with a multiplicity; only its smallest vec_id goes on. (2) Overlapping shards: the
+vectors of a label get centroids by k-means on a sample of about SAMPLE vectors for each centroid (by a hash of vec_id; a
+documented bound), one for about `shard` vectors and at most MAX_CENTROIDS; of centroids nearer to each other than the threshold one is
+kept. A vector goes to every centroid whose cut with its nearest one is near: a partner at the threshold lies tan(angle) away,
+in a direction of which 1 / sqrt(dimension) falls on the normal of a cut, the dimension being the effective one of the sample;
+all cuts nearer than REACH times that are crossed. So the chance that two near vectors share no shard depends neither on the
+dimension nor on the number of centroids, and does not grow with the table. A shard of more than SPLIT times `shard` vectors
+is split again in the same way, so long as that makes it smaller, up to LEVELS times; what is then above `shard` vectors
+is dealt into blocks by a hash, so no group is larger. (3) In each block a flat graph is built: each vector's
 nearest neighbours, pruned robustly (a neighbour is dropped if an already chosen one is ALPHA times nearer to it), at
 most DEGREE of them, to which LONG far ones drawn by a hash are added, so that tight groups of copies stay reachable.
-(4) The adjacency lists of a vector from all its shards are united. (5) Search: for each pair of blocks of a shard, all vectors of one are queries against the graph of the other: a greedy search with a beam starts at the
-block's medoid, then the range expands from what it found: every vector within SLACK of the threshold has its
-neighbours looked at, until nothing new is in range. What either side finds is a link of both, verified by cosine.
-A pair that meets in two shards counts in the first. A task returns numbers of links and a spanning forest, not pairs.
-(6) The recall is audited against brute force on about AUDIT vectors of all (in blocks against the whole table); below
-`recall`, the job stops.
+(4) The adjacency lists of a vector from all its shards are united. (5) Search: for each pair of blocks of a shard, all
+vectors of one are queries against the graph of the other: a greedy search with a beam starts at the block's medoid, then
+the range expands from what it found: every vector within SLACK of the threshold has its neighbours looked at, until nothing
+new is in range. What either side finds is a link of both, verified by cosine. A pair that meets in several shards counts in
+the first. A task returns numbers of links and a spanning forest, not pairs. (6) The recall is audited: about AUDIT vectors
+drawn from all and as many planted partners of theirs, at a cosine just above the threshold in a random direction, which go
+through all steps and add nothing to the result. Their links are compared with brute force against all different vectors
+(in blocks), and the mean recall of a vector must reach `recall`, else the job stops. As partners are planted, there is
+always something to measure.
+
+Vectors of one label that are all near each other, yet different, share a shard that no split makes smaller: their
+blocks are compared pair by pair, as each vector's number of links must be counted.
 
 Vectors that are null, empty or zero, hold null or non-finite components or have no label link with nothing. Repeated rows of
 a vec_id count as one vector (the least label and values). Rows without vec_id are left out. Empty table: empty result.
@@ -22,6 +33,7 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +46,8 @@ from . import common as C
 from .common import components, saved
 
 COSINE = 0.93
-SAMPLE, SHARD, MAX_CENTROIDS, OVERLAP = 20_000, 1000, 256, 2
+SAMPLE, SHARD, MAX_CENTROIDS, REACH = 48, 1000, 256, 1.0
+SPLIT, LEVELS, PORTION = 16, 4, 8192
 DEGREE, LONG, CANDIDATES, ALPHA, BEAM, SLACK = 16, 8, 64, 1.2, 24, 0.05
 AUDIT, RECALL = 200, 0.9
 
@@ -57,6 +70,33 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     return centre
 
 
+def centroids(x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, float]:
+    """At most k centroids of the sample x, the fullest first, no two nearer than the threshold; and how near a cut is crossed."""
+    centre = kmeans(x, k)
+    full = np.bincount((x @ centre.T).argmax(1), minlength=len(centre))
+    centre = centre[np.argsort(-full, kind="stable")]
+    kept: list[int] = []
+    cos = centre @ centre.T
+    for i in range(len(centre)):
+        if not kept or cos[i, kept].max() < least:
+            kept.append(i)
+    away = x - x.mean(0)
+    spread = away.T @ away
+    dimension = max(1.0, np.trace(spread) ** 2 / max((spread**2).sum(), 1e-300))
+    angle = math.acos(min(1.0, max(0.0, least)))
+    return centre[kept], min(math.sin(angle), REACH * math.tan(min(angle, 1.5)) / math.sqrt(dimension))
+
+
+def reached(x: np.ndarray, centre: np.ndarray, margin: float) -> np.ndarray:
+    """Boolean matrix (vector, centroid): the nearest one, and those whose cut with it is at most margin away."""
+    cos = x @ centre.T
+    home = cos.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * (centre @ centre.T), 1e-12))
+    out = cos.max(1)[:, None] - cos <= margin * apart[home]
+    out[np.arange(len(x)), home] = True
+    return out
+
+
 def robust_prune(x: np.ndarray) -> np.ndarray:
     """Neighbour numbers of each row of x (units), DEGREE at most, -1 where fewer: chosen from the CANDIDATES nearest."""
     n = len(x)
@@ -146,14 +186,20 @@ def search(queries: np.ndarray, nodes: np.ndarray, graph: list[np.ndarray], leas
 
 def _links(least: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, _, cluster, i, j = key
+        _, _, cell, i, j = key
         rows = rows.sort_values(["block", "id"])
         ids, copies = rows.id.to_numpy(), rows.copies.to_numpy()
         x = _matrix(rows.unit)
-        clusters = np.array([sorted(c) + [-1] * (OVERLAP - len(c)) for c in rows.clusters], np.int64)
         left, right = np.flatnonzero(rows.block == i), np.flatnonzero(rows.block == j)
         place = {v: k for k, v in enumerate(ids.tolist())}
         graph = [[place[v] for v in g if v in place] for g in rows.neighbours]
+        # the shards before this one that each vector is in as well: a pair counts in its first
+        size = rows.cells.str.len().to_numpy()
+        before, owner = np.concatenate(rows.cells.to_numpy()), np.repeat(np.arange(len(ids)), size)
+        owner, before = owner[before < cell], before[before < cell]
+        shards, at = np.unique(before, return_inverse=True)
+        earlier = np.zeros((len(ids), len(shards)), np.float32)
+        earlier[owner, at] = 1
 
         def found(queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
             number = np.full(len(ids), -1)
@@ -169,15 +215,14 @@ def _links(least: float):
             hit = found(left, right) | found(right, left).T
         else:
             hit = np.zeros((len(left), len(right)), bool)
+        hit &= earlier[left] @ earlier[right].T == 0
         a, b = np.nonzero(hit)
-        # a pair counts in the first shard that both are in
-        both = (clusters[left[a]][:, :, None] == clusters[right[b]][:, None, :]) & (clusters[left[a]] >= 0)[:, :, None]
-        first = np.where(both.any(2), clusters[left[a]], np.iinfo(np.int64).max).min(1) if len(a) else np.zeros(0)
-        mine = first == cluster
-        a, b = left[a[mine]], right[b[mine]]
+        a, b = left[a], right[b]
         n = np.bincount(a, copies[b], len(ids))
         if i != j:
             n += np.bincount(b, copies[a], len(ids))
+        real = (copies[a] > 0) & (copies[b] > 0)  # planted partners connect nothing
+        a, b = a[real], b[real]
         group, edges = np.arange(len(ids)), []
         for u in np.unique(a):
             for v in np.unique(group[b[a == u]]):
@@ -185,15 +230,75 @@ def _links(least: float):
                     edges.append((ids[u], ids[v]))
                     group[group == v] = group[u]
         out = pd.DataFrame({"id": ids, "links": n.astype(np.int64), "other": pd.array([None] * len(ids), "Int64")})
-        forest = pd.DataFrame({"id": [e[0] for e in edges], "links": 0, "other": pd.array([e[1] for e in edges], "Int64")})
+        tree = np.array(edges, np.int64).reshape(-1, 2)  # typed also when empty: large ids must not become floats
+        forest = pd.DataFrame({"id": tree[:, 0], "links": np.zeros(len(tree), np.int64), "other": pd.array(tree[:, 1], "Int64")})
         return pd.concat([out[out.links > 0], forest])
 
     return run
 
 
-def near_duplicates(
-    vectors: DataFrame, least: float = COSINE, sample: int = SAMPLE, shard: int = SHARD, audit: int = AUDIT, recall: float = RECALL
-) -> DataFrame:
+KEY = ["label", "size", "cell"]
+
+
+def shards(members: DataFrame, least: float, shard: int, split: int = SPLIT) -> DataFrame:
+    """members (label, size, id, copies, unit) with the cell of each shard that they are in; see the module, step 2."""
+    kind = dict(members.dtypes)["label"]
+    members = members.withColumns({"cell": F.lit(0).cast("long"), "parent": F.lit(None).cast("long")})
+
+    def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        centre, margin = centroids(_matrix(rows.unit), int(rows.k.iat[0]), least)
+        return pd.DataFrame({"label": [key[0]], "size": [key[1]], "cell": [key[2]], "centres": [centre.reshape(-1)], "margin": [margin]})
+
+    def assign(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns=["k", "portion"]).rename(columns={"n": "parent"})
+        if not len(rows) or not len(model):
+            return rows
+        centre = np.asarray(model.centres.iat[0]).reshape(-1, int(key[1]))
+        at, to = np.nonzero(reached(_matrix(rows.unit), centre, float(model.margin.iat[0])))
+        cell = C.mix(np.uint64(np.int64(key[2]).view(np.uint64)) + (to + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+        return rows.iloc[at].assign(cell=cell.astype(np.int64))
+
+    done = None
+    for level in range(LEVELS):
+        members = saved(members)
+        most = shard if level == 0 else shard * split
+        sizes = saved(members.groupBy(*KEY).agg(F.count("*").alias("n"), F.first("parent").alias("parent")))
+        large = sizes.where((F.col("n") > most) & (F.col("parent").isNull() | (2 * F.col("n") < F.col("parent"))))
+        large = large.select(*KEY, "n", F.least(F.lit(MAX_CENTROIDS), F.ceil(F.col("n") / shard)).cast("int").alias("k"))
+        rest = members.join(large, KEY, "left_anti").drop("parent")
+        done = rest if done is None else done.union(rest)
+        if large.isEmpty():
+            return done
+        portions = F.ceil(F.col("n") / PORTION).cast("int")
+        inside = members.drop("parent").join(large, KEY)
+        drawn = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < F.least(F.lit(1.0), SAMPLE * F.col("k") / F.col("n")) * (1 << 30)
+        centres = inside.where(drawn).select(*KEY, "k", "unit").groupBy(*KEY).applyInPandas(learn, f"label {kind}, size int, cell long, centres array<double>, margin double")
+        centres = centres.join(large, KEY).withColumn("portion", F.explode(F.sequence(F.lit(0), portions - 1))).select(*KEY, "portion", "centres", "margin")
+        inside = inside.withColumn("portion", F.pmod(F.xxhash64("id"), portions).cast("int"))
+        both = inside.groupBy(*KEY, "portion").cogroup(centres.groupBy(*KEY, "portion"))
+        members = both.applyInPandas(assign, f"label {kind}, size int, id long, copies long, unit array<double>, cell long, parent long")
+    return done.unionByName(members.drop("parent"))
+
+
+def _partners(least: float):
+    """For each vector a partner at a cosine just above the threshold, with no copies of its own."""
+    aim = min(1.0, least + 0.005)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x = list(rows.unit)
+            for k, v in enumerate(x):
+                v = np.asarray(v, np.float64)
+                z = np.random.default_rng(int(rows.twin.iat[k]) & 0x7FFFFFFFFFFFFFFF).normal(size=len(v))
+                z -= (z @ v) * v
+                norm = np.linalg.norm(z)
+                x[k] = aim * v + math.sqrt(1 - aim * aim) * z / norm if norm > 1e-9 else v
+            yield pd.DataFrame({"label": rows.label, "size": rows["size"], "unit": [v / np.linalg.norm(v) for v in x], "id": rows.twin, "copies": np.zeros(len(rows), np.int64)})
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHARD, audit: int = AUDIT, recall: float = RECALL, split: int = SPLIT) -> DataFrame:
     """vec_id, n_links, component_id, kept; see the module."""
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
@@ -207,69 +312,53 @@ def near_duplicates(
     usable = rows.where("ok").withColumn("size", F.size("unit"))
     classes = saved(usable.groupBy("label", "size", "unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
 
-    counts = {(r["label"], r["size"]): r["n"] for r in classes.groupBy("label", "size").agg(F.count("*").alias("n")).collect()}  # a row for each label
-    share = min(1.0, sample / max(1, sum(counts.values())))
-    drawn = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("label", "size", "unit").toPandas()
-    wanted = {k: min(MAX_CENTROIDS, -(-n // shard)) for k, n in counts.items()}
-    centres = {k: kmeans(_matrix(g.unit), wanted[k]) for k, g in drawn.groupby(["label", "size"])}
-    shared = rows.sparkSession.sparkContext.broadcast(centres)  # at most `sample` vectors
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made: list[list[int]] = [[0]] * len(batch)
-            for key, part in batch.groupby(["label", "size"]):
-                if (centre := shared.value.get(key)) is not None and len(centre) > 1:
-                    at = batch.index.get_indexer(part.index)
-                    near = np.argsort(-(_matrix(part.unit) @ centre.T), axis=1, kind="stable")[:, :OVERLAP]
-                    for k, row in zip(at, near, strict=True):
-                        made[k] = sorted(int(c) for c in row)
-            yield batch.assign(clusters=made)
-
     kind = dict(classes.dtypes)["label"]
-    placed = saved(classes.mapInPandas(assign, f"label {kind}, size int, unit array<double>, id long, copies long, clusters array<int>"))
-    members = placed.withColumn("cluster", F.explode("clusters"))
-    key = ["label", "size", "cluster"]
-    blocks = members.groupBy(*key).agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
-    members = members.join(F.broadcast(blocks), key)  # at most MAX_CENTROIDS rows for each label
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-
-    lists = members.select(*key, "block", "id", "unit").groupBy(*key, "block").applyInPandas(_build, "id long, neighbours array<long>")
-    united = saved(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")))  # OVERLAP lists each
-    pairs = members.join(united, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    share = F.lit(min(1.0, audit / max(1, classes.count())) * (1 << 30)).cast("long")
+    chosen = classes.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) < share)
+    planted = chosen.select("label", "size", "unit", F.xxhash64("id", F.lit("planted")).alias("twin"))
+    planted = saved(planted.mapInPandas(_partners(least), f"label {kind}, size int, unit array<double>, id long, copies long"))
+
+    order = ["label", "size", "id", "copies", "unit"]
+    members = saved(shards(classes.select(*order).union(planted.select(*order)), least, shard, split))
+    blocks = members.groupBy(*KEY).agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
+    members = members.join(blocks, KEY).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+
+    lists = members.select(*KEY, "block", "id", "unit").groupBy(*KEY, "block").applyInPandas(_build, "id long, neighbours array<long>")
+    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # a list for each of its shards
+    cells = members.groupBy("id").agg(F.collect_set("cell").alias("cells"))
+    known = saved(united.join(cells, "id"))
+    pairs = members.join(known, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o", "blocks")
-    found = saved(pairs.groupBy(*key, "i", "j").applyInPandas(_links(least), "id long, links long, other long"))
+    found = saved(pairs.groupBy(*KEY, "i", "j").applyInPandas(_links(least), "id long, links long, other long"))
 
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    links = saved(found.groupBy("id").agg(F.sum("links").alias("links")))
+    if audit:
+        _audit(classes, chosen.select(*order).union(planted.select(*order)), links, least, recall)
     linked = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    per = placed.select("label", "unit", "id", "copies").join(links, "id", "left").join(linked, "id", "left")
+    per = classes.join(links, "id", "left").join(linked, "id", "left")
     per = per.select("label", "unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = usable.join(per, ["label", "unit"]).select("vec_id", "n_links", "component_id")
-    out = saved(out.union(rows.where("not ok").select("vec_id", F.lit(0).cast("long"), "vec_id")))
-    if audit:
-        _audit(usable, out, least, audit, recall)
+    out = out.union(rows.where("not ok").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _audit(usable: DataFrame, out: DataFrame, least: float, audit: int, recall: float) -> None:
-    """Compares the numbers of links of about `audit` vectors with brute force over the whole table."""
-    n = max(1, usable.count())
-    chosen = usable.where(F.pmod(F.xxhash64("vec_id", F.lit("audit")), F.lit(1 << 30)) < F.lit(int(min(1.0, audit / n) * (1 << 30))))
-    chosen = chosen.join(out, "vec_id").select("vec_id", "label", "size", "unit", "n_links").toPandas()
-    if not len(chosen):
-        return
-    groups = {k: (g.vec_id.to_numpy(), _matrix(g.unit)) for k, g in chosen.groupby(["label", "size"])}
-    shared = usable.sparkSession.sparkContext.broadcast(groups)
+def _audit(classes: DataFrame, chosen: DataFrame, links: DataFrame, least: float, recall: float) -> float:
+    """Mean recall of the chosen vectors' links (about twice AUDIT of them), by brute force over all different vectors."""
+    chosen = chosen.join(links, "id", "left").select("id", "label", "size", "unit", F.coalesce("links", F.lit(0)).alias("links")).toPandas()
+    groups = {k: (g.id.to_numpy(), _matrix(g.unit)) for k, g in chosen.groupby(["label", "size"])}
+    shared = classes.sparkSession.sparkContext.broadcast(groups)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, part in batch.groupby(["label", "size"]):
                 if key in shared.value:
                     ids, x = shared.value[key]
-                    near = (_matrix(part.unit) @ x.T >= least) & (part.vec_id.to_numpy()[:, None] != ids[None])
-                    yield pd.DataFrame({"vec_id": ids, "n": near.sum(0).astype(np.int64)})
-
-    exact = usable.select("vec_id", "label", "size", "unit").mapInPandas(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).toPandas()
-    both = chosen.merge(exact, on="vec_id")
-    reached = np.minimum(both.n_links, both.n).sum() / max(1, both.n.sum()) if both.n.sum() else 1.0
-    if reached < recall:
-        raise RuntimeError(f"recall {reached:.3f} is below {recall}")
+                    near = (_matrix(part.unit) @ x.T >= least) & (part.id.to_numpy()[:, None] != ids[None])
+                    yield pd.DataFrame({"id": ids, "n": part.copies.to_numpy() @ near})
+
+    exact = classes.select("id", "label", "size", "unit", "copies").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    both = chosen.merge(exact[exact.n > 0], on="id")
+    reached_ = float((np.minimum(both.links, both.n) / both.n).mean()) if len(both) else 1.0  # none: the table is empty
+    if reached_ < recall:
+        raise RuntimeError(f"recall {reached_:.3f} is below {recall}")
+    return reached_
