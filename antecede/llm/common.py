@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,11 +17,14 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where spark.checkpoint.dir is unset (tests), a folder of our own."""
+    """The folder that driver and executors share. Only where spark.checkpoint.dir is unset and the master is local (tests), a
+    folder of our own; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = own.get()
@@ -178,22 +182,33 @@ def likely_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return rows.withColumn("_spot", spot).mapInArrow(keep, rows.schema)
 
 
+#: Parts that the rows of one key are dealt to.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """rows with the least value of their keys. The rows of a key meet it in SALTS parts, not in one task: the least of each
+    part first, then of the key, then back to the parts."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = rows.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"))
+    least = parts.groupBy(*keys).agg(F.min("_least").alias(name))
+    return rows.join(parts.drop("_least").join(least, keys), [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component being the smallest id reachable.
 
-    Large-star and small-star steps in turn until nothing changes: each step is a grouped minimum (map-side combined) and
-    a join back; the links of a hot node are never gathered in one group. Empty in, empty out.
+    Large-star and small-star steps in turn until nothing changes: each step is a grouped minimum (map-side combined) that
+    goes back to the links in SALTS parts, so the links of a hot node are never gathered in one task. Empty in, empty out.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").union(low.select(F.col("a").alias("x"), "m"))
-        edges = saved(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
+        both = with_least(edges.union(edges.select("b", "a")), ["a"], "b", "m").withColumn("m", F.least("a", "m"))
+        large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = with_least(saved(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), ["a"], "b", "m")
+        small = low.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        edges = saved(small.where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

@@ -7,13 +7,16 @@ counted on the full sets.
 Steps: (1) one pass over the texts hashes each set, splits the hash range into BINS bins, keeps each bin's minimum and
 fills empty bins from a bin drawn by a fixed hash of (bin, attempt), then folds BANDS * ROWS bins into band keys.
 (2) Documents with equal sets form a class; only its smallest doc_id goes on. (3) Each bucket proposes a star, its smallest
-doc_id with every other member, so a bucket of n members costs n - 1 candidate edges. (4) As two members of a bucket may be
-linked with each other and not with their hub, documents that stars connect form a family, and a family is compared in
-blocks of at most about BLOCK documents or VOLUME shingles: the task of two blocks counts intersections of full sets, skips
+doc_id with every other member, so a bucket of n members costs n - 1 candidate edges. (4) Full sets decide, first between
+each document and the least of its hubs: a hub's text goes to its members once for each part of about PART of them, so a group of near
+copies moves each text once. Then the other edges of stars whose ends are still apart. (5) As two members of a bucket may be linked with each
+other and not with their hub, the buckets that still hold documents of several components are looked at: their documents
+are compared in blocks of at most about BLOCK documents or VOLUME shingles; the task of two blocks counts intersections of full sets, skips
 what is connected already and returns a spanning forest of the links it found. Thus no link is lost, no pair is a row, and
-a family's texts move once for each of its blocks. (5) Components of the forests.
+texts move once for each block only among documents that share a bucket and no component. (6) Components of all links.
+What moves are texts: compressed they are smaller than the hashes of their shingles.
 
-Defined results: text null or without words: n_shingles 0, linked with nothing, kept. Repeated rows of one doc_id count as
+Defined results: text null or without words: n_shingles 0, linked with nothing, kept. A very long text is one like others. Repeated rows of one doc_id count as
 one document (that of the least set fingerprint). Rows without doc_id are left out. Empty table: empty result. Columns
 besides the two named are not looked at.
 """
@@ -28,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import components, likely_in, saved
+from .common import SALTS, components, likely_in, saved, with_least
 
 SIZE = 5
 BINS, BANDS, ROWS = 128, 25, 5
 PERCENT = 85
-#: Documents and shingles of a block, about.
-BLOCK, VOLUME = 512, 1_000_000
+#: Documents and shingles of a block, about; members of a star that meet a copy of the hub's text, about.
+BLOCK, VOLUME, PART = 512, 1_000_000, 2_000
 
 _ATTEMPTS = 2048
 _DONOR = (C.stream(31, _ATTEMPTS * BINS) % np.uint64(BINS)).astype(np.int64).reshape(_ATTEMPTS, BINS)
@@ -90,8 +93,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, inside: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all that the links between left and not left connect (inside: the links among all), at most len(ids) - 1."""
+def forest(ids: list[int], sets: list[np.ndarray], groups: list[int], left: np.ndarray, inside: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all that the links between left and not left connect (inside: the links among all) and the groups do
+    not, at most len(ids) - 1."""
     right = np.arange(len(ids)) if inside else np.flatnonzero(~left)
     if not len(right) or len(ids) < 2:
         return []
@@ -101,7 +105,7 @@ def forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, inside: boo
     flat = np.concatenate([names[k] for k in right])
     starts = np.r_[0, np.cumsum(sizes[right])[:-1]]
     mark = np.zeros(int(flat.max(initial=-1)) + 1 + max((int(x.max()) for x in names), default=0) + 1, np.int32)
-    group, found = np.arange(len(ids)), []
+    group, found = np.unique(groups, return_inverse=True)[1], []
     for i in np.arange(len(ids)) if inside else np.flatnonzero(left):
         near = (group[right] != group[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))
         if not near.any():
@@ -126,13 +130,13 @@ def _compare(percent: int):
     """Rows sorted by (family, i, j, doc_id): the links of each group, as forest() finds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, blocks, sets, prints, found = None, [], [], [], [], []
+        key, ids, blocks, groups, sets, prints, found = None, [], [], [], [], [], []
 
         def settle() -> None:
             if len(ids) > 1:
                 left = np.array(blocks) == key[1]
-                found.extend(forest(ids, sets, left, key[1] == key[2], percent))
-            for x in (ids, blocks, sets, prints):
+                found.extend(forest(ids, sets, groups, left, key[1] == key[2], percent))
+            for x in (ids, blocks, groups, sets, prints):
                 x.clear()
 
         def out() -> pa.RecordBatch:
@@ -141,8 +145,8 @@ def _compare(percent: int):
             return made
 
         for batch in batches:
-            family, left, right, doc, block = (batch.column(k).to_pylist() for k in range(5))
-            data, offsets = C.utf8(batch.column(5))
+            family, left, right, doc, block, group = (batch.column(k).to_pylist() for k in range(6))
+            data, offsets = C.utf8(batch.column(6))
             for lo, hi in C.chunks(offsets):
                 made, at = C.shingles(*C.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SIZE)
                 for r in range(lo, hi):
@@ -157,6 +161,7 @@ def _compare(percent: int):
                         continue
                     ids.append(doc[r])
                     blocks.append(block[r])
+                    groups.append(group[r])
                     sets.append(s)
                     prints.append(fp)
             yield out()
@@ -166,28 +171,86 @@ def _compare(percent: int):
     return run
 
 
+def _meet(percent: int):
+    """Rows sorted by (hub, part, whether they are the hub's), each hub's text before its members': the members linked with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            hub, part, doc, fp = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+            data, offsets = C.utf8(batch.column(5))
+            found = []
+            for lo, hi in C.chunks(offsets):
+                made, at = C.shingles(*C.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SIZE)
+                sums = np.r_[np.uint64(0), np.cumsum(C.mix(made + np.uint64(3)))]
+                prints = (sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+                for r in range(lo, hi):
+                    if prints[r - lo] != fp[r]:  # another text of a repeated doc_id
+                        continue
+                    s = made[at[r - lo] : at[r - lo + 1]]
+                    if doc[r] == hub[r]:
+                        key, own = (hub[r], part[r]), s.copy()
+                    elif (hub[r], part[r]) == key and 100 * min(len(s), len(own)) >= percent * max(len(s), len(own)):
+                        common = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+                        if 100 * common >= percent * (len(s) + len(own) - common):
+                            found.append((hub[r], doc[r]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def linked(edges: DataFrame, texts: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Of the edges (hub, id) those whose full sets are similar enough, as (a, b). prints: doc_id, fp1 of the text that counts."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    per = salted.groupBy("hub", "salt").agg(F.count("*").alias("n"))
+    parts = per.groupBy("hub").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    parts = per.select("hub", "salt").join(parts, "hub").withColumn("part", F.pmod("salt", "parts").cast("int"))
+    members = salted.join(parts, ["hub", "salt"]).select("hub", "part", F.lit(True).alias("member"), F.col("id").alias("doc_id"))
+    hubs = parts.select("hub", "part", F.lit(False).alias("member"), F.col("hub").alias("doc_id")).distinct()
+    rows = members.union(hubs).join(prints.select("doc_id", "fp1"), "doc_id").join(texts, "doc_id").select("hub", "part", "member", "doc_id", "fp1", "text")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "member").mapInArrow(_meet(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id); see the module."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     signed = texts.mapInArrow(_sign, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
     signed = saved(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "n", "fp2", "bands")).alias("s")).select("doc_id", "s.*"))
-    classes = saved(signed.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = signed.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    class_ = ["fp1", "fp2", "n"]
+    of = saved(with_least(signed.where("n > 0").select("doc_id", *class_), class_, "doc_id", "rep"))  # a row for each document
+    reps = signed.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
 
-    placed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    placed = saved(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")))
     hubs = placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
-    stars = placed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    families = saved(components(stars).join(classes.select(F.col("rep").alias("id"), "n"), "id"))
-    sizes = families.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).cast("int").alias("blocks"))
-    members = families.join(sizes, "component").select(
-        F.col("component").alias("family"), F.col("id").alias("doc_id"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")
-    )
-    rows = members.join(likely_in(texts, "doc_id", families.select("id")), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "text")
-    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
-    linked = components(rows.mapInArrow(_compare(percent), "a long, b long"))
-
-    root = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
-    full = signed.where("n > 0").select("doc_id", "n", "fp1", "fp2").join(root, ["fp1", "fp2", "n"]).select("doc_id", "n", "component_id")
-    out = full.union(signed.where("n = 0").select("doc_id", "n", "doc_id"))
+    stars = saved(placed.join(hubs, "key").where("id <> hub").select("hub", "id").distinct())
+    near = saved(likely_in(texts, "doc_id", stars.select(F.explode(F.array("hub", "id")).alias("id")).distinct()))
+
+    first = stars.groupBy("id").agg(F.min("hub").alias("hub"))
+    links = saved(linked(first, near, signed, percent))
+    label = links.select(F.col("b").alias("id"), F.col("a").alias("label"))
+    rest = stars.join(first.withColumn("tried", F.lit(True)), ["id", "hub"], "left").where("tried is null").drop("tried")
+    rest = rest.join(label, "id", "left").select("id", "hub", F.coalesce("label", "id").alias("mine"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    theirs = rest.select("hub", "salt").distinct().join(label.withColumnRenamed("id", "hub"), "hub", "left").select("hub", "salt", F.coalesce("label", "hub").alias("theirs"))
+    rest = rest.join(theirs, ["hub", "salt"]).where("mine <> theirs").select("hub", "id")
+    links = saved(links.union(linked(saved(rest), near, signed, percent)))
+    joined = saved(components(links))
+
+    # buckets that hold documents of several components
+    apart = placed.join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub")).where("low < high")
+    apart = saved(apart.join(mixed.select("key", "hub"), "key").select("hub", "id", "component").distinct())
+    if not apart.isEmpty():
+        families = components(apart.select(F.col("hub").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "family")
+        families = saved(families.join(apart.select("id", "component").distinct(), "id").join(signed.select(F.col("doc_id").alias("id"), "n"), "id"))
+        sizes = families.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).cast("int").alias("blocks"))
+        members = families.join(sizes, "family").select("family", F.col("id").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+        rows = members.join(near, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "component", "text")
+        rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
+        joined = saved(components(links.union(rows.mapInArrow(_compare(percent), "a long, b long"))))
+
+    of = of.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    roots = of.select("rep", "salt").distinct().join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "salt", F.coalesce("component", "rep").alias("component_id"))
+    root = of.join(roots, ["rep", "salt"]).select("doc_id", "n", "component_id")
+    out = root.union(signed.where("n = 0").select("doc_id", "n", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

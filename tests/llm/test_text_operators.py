@@ -82,6 +82,32 @@ def test_a_chain_through_a_bucket_is_not_lost(spark):
     assert {r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()} == {0}
 
 
+def test_a_group_of_near_copies_moves_few_texts(spark, monkeypatch):
+    """Near copies meet their hub, not each other: the edges checked grow with the group, and no blocks are compared."""
+    rng, edges = random.Random(6), []
+    base = [f"t{k}" for k in range(300)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        words[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    kept = neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda e, *more: edges.append(e.count()) or kept(e, *more))
+    monkeypatch.setattr(neardup, "PART", 50)
+    monkeypatch.setattr(neardup, "_compare", None)
+    out = neardup.near_duplicates(docs(spark, rows)).collect()
+    assert {r.component_id for r in out} == {0} and sum(r.kept for r in out) == 1
+    assert sum(edges) < 3 * len(rows)
+
+
+def test_components_of_a_hot_node(spark):
+    edges = spark.range(1, 5001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).union(spark.range(1, 5001).select(F.col("id"), F.lit(9000).cast("long")))
+    got = common.components(edges).groupBy("component").count().collect()
+    assert [tuple(r) for r in got] == [(0, 5002)]
+    kept = common.with_least(edges, ["b"], "a", "least")
+    assert kept.count() == 10_000 and {(r.b, r["least"]) for r in kept.collect()} == {(0, 1), (9000, 1)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20, 60)] + [(100, 5), (5, 100), (7, 7), (200, 100)], "a long, b long")
     got = {r.id: r.component for r in common.components(edges).collect()}
