@@ -4,14 +4,16 @@ A sentence's probability is a logistic function of its distinct hashed words and
 and endings vary); a document's is the noisy-or of its
 sentences, 1 - prod(1 - p). The weights are fitted to document labels alone, by gradient steps on the noisy-or likelihood,
 over at most `max_positive` and `max_negative` labelled documents (those of the least hash of their id; a documented bound,
-all of them where there are fewer). Every whole text is then scored, and the sentences of high probability are located as
-spans of characters. A final logistic map of the document's log-odds is fitted so that the probability is calibrated and
-`threshold` separates the labels best on the documents fitted on.
+all of them where there are fewer). Which words and stems are features is decided before, by counts over all labelled
+documents, grouped on Spark; only these features of the bounded sample, as numbers, go to the driver. Every whole text is
+then scored, and the sentences of high probability are located as spans of characters. A final logistic map of the
+document's log-odds is fitted so that the probability is calibrated and `threshold` separates the labels best, on log-odds
+that each document gets from weights fitted without it (FOLDS folds), its class weighted as in all labelled documents.
 
 A sentence ends after . ! ? or a line break; words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, without ASCII
 punctuation at their ends. Null or empty text, or one without words: the prior, as of a sentence without known words.
 Repeated rows are scored each; a label that contradicts another of the same doc_id counts as toxic. Rows without doc_id are
-scored. No labelled rows: score 0. Empty table: empty result.
+scored. A very long text is one like others. No labelled rows: score 0. Empty table: empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +31,9 @@ from .common import saved
 
 BITS, STEM = 18, 4
 THRESHOLD = 0.3
-MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
-EPOCHS = 60
-#: A feature is used if it is in so many documents fitted on and its rates in the two classes differ by so many standard errors.
+MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
+EPOCHS, FOLDS = 60, 3
+#: A feature is used if it is in so many labelled documents and its rates in the two classes differ by so many standard errors.
 MIN_DOCS, MIN_Z = 3, 4.0
 
 _END = np.zeros(256, bool)
@@ -44,10 +47,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends = C.spans(data, offsets)
     # the edges of a word: punctuation on the left, then on the right; words of punctuation alone vanish
     raw_starts, raw_ends = starts, ends
-    for _ in range(8):
-        starts = starts + ((starts < ends) & _EDGE[data[np.minimum(starts, len(data) - 1)]])
-    for _ in range(8):
-        ends = ends - ((starts < ends) & _EDGE[data[np.maximum(ends - 1, 0)]])
+    if len(starts):
+        edge, place = _EDGE[data], np.arange(len(data))
+        after = np.minimum.accumulate(np.where(edge, len(data), place)[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(edge, -1, place))
+        starts = np.minimum(after[starts], ends)
+        ends = np.maximum(before[ends - 1] + 1, starts)
     power, inverse = C._power_tables(max(len(data), 1))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(C._BYTE[C._LOWER[data]] * power[: len(data)], out=total[1:])
@@ -66,19 +71,50 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bucket[keep], np.tile(sentence, 2)[keep], text[new], raw_starts[new]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled texts as lists of (sentence, bucket), distinct within a sentence."""
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns toxic and text: in how many documents of each label a bucket is, summed over the task."""
+    total = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        data, offsets = C.utf8(batch.column(0))
+        data, offsets = C.utf8(batch.column(1))
+        toxic = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, hi in C.chunks(offsets):
             bucket, sentence, text, _ = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            pairs = np.unique((sentence << BITS) | bucket)
-            owner = text[pairs >> BITS] if len(pairs) else pairs
-            at = np.searchsorted(owner, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(lo, hi - lo), pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(pairs, pa.int64())).cast(pa.list_(pa.int64()))],
-                names=["toxic", "pairs"],
-            )
+            held = np.unique((text[sentence] << BITS) | bucket) if len(bucket) else bucket
+            for label in (0, 1):
+                total[label] += np.bincount(held[toxic[lo:hi][held >> BITS] == label] & ((1 << BITS) - 1), minlength=1 << BITS)
+    held = np.flatnonzero(total.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(total[label][held]) for label in (0, 1))], names=["bucket", "clean", "toxic"])
+
+
+def telling(counts: pd.DataFrame, clean: int, toxic: int) -> np.ndarray:
+    """The buckets whose rates of documents in the two classes differ by MIN_Z standard errors."""
+    c, t = counts.clean.to_numpy(float), counts.toxic.to_numpy(float)
+    n0, n1 = max(clean, 1), max(toxic, 1)
+    rate = (c + t) / max(clean + toxic, 1)
+    z = (t / n1 - c / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
+    return np.sort(counts.bucket.to_numpy(np.int64)[(c + t >= MIN_DOCS) & (np.abs(z) >= MIN_Z)])
+
+
+def _gather(chosen: np.ndarray):
+    """Columns toxic, fold, text: those, the number of sentences, and (sentence, bucket) of the chosen buckets, distinct."""
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[chosen] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = C.utf8(batch.column(2))
+            for lo, hi in C.chunks(offsets):
+                bucket, sentence, text, _ = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                many = np.bincount(text, minlength=hi - lo)
+                use = wanted[bucket]
+                pairs = np.unique((sentence[use] << BITS) | bucket[use])
+                owner = text[pairs >> BITS] if len(pairs) else pairs
+                at = np.searchsorted(owner, np.arange(hi - lo + 1))
+                pairs = pairs - (np.r_[0, np.cumsum(many)][owner] << BITS)  # sentences numbered from each document's first
+                lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(pairs, pa.int64())).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), pa.array(many, pa.int64()), lists], names=["toxic", "fold", "sentences", "pairs"])
+
+    return run
 
 
 class Model:
@@ -100,64 +136,80 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -40, 40)))
 
 
-def fit(labels: np.ndarray, pairs: list[np.ndarray], threshold: float = THRESHOLD) -> Model:
-    """Adam on the noisy-or likelihood of the documents' labels, classes weighted alike, with an L2 penalty."""
-    docs = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-    flat = np.concatenate(pairs) if len(docs) else np.zeros(0, np.int64)
-    _, sentence = np.unique((docs << 32) | (flat >> BITS), return_inverse=True)
-    bucket, column = np.unique(flat & ((1 << BITS) - 1), return_inverse=True)
-    y = labels.astype(float)
-    held = np.unique((docs << 32) | column)
-    with_ = np.bincount(held & 0xFFFFFFFF, minlength=len(bucket))
-    hits = np.bincount(held & 0xFFFFFFFF, y[held >> 32], len(bucket))
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    rate = with_ / max(len(y), 1)
-    z = (hits / n1 - (with_ - hits) / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
-    common = (with_ >= MIN_DOCS) & (np.abs(z) >= MIN_Z)
-    renumber = np.cumsum(common) - 1
-    n_sent = int(sentence.max()) + 1 if len(sentence) else 0
-    of_doc = np.zeros(n_sent, np.int64)
-    of_doc[sentence] = docs
-    use = common[column]
-    row, col, bucket = sentence[use], renumber[column[use]], bucket[common]
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    w, bias = np.zeros(len(bucket)), -4.0
-    m, v = np.zeros(len(bucket) + 1), np.zeros(len(bucket) + 1)
-    for epoch in range(1, EPOCHS + 1):
-        logit = np.bincount(row, w[col], n_sent) + bias
+class Bags:
+    """Documents as bags of sentences: labels, folds, sentences of each and (sentence, bucket) lists, over the chosen buckets."""
+
+    def __init__(self, labels: np.ndarray, fold: np.ndarray, sentences: np.ndarray, pairs: list[np.ndarray], chosen: np.ndarray):
+        self.y, self.fold, self.chosen = labels.astype(float), fold, chosen
+        docs = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        flat = np.concatenate(pairs) if len(docs) else np.zeros(0, np.int64)
+        self.row = np.r_[0, np.cumsum(sentences)][docs] + (flat >> BITS)
+        self.column = np.searchsorted(chosen, flat & ((1 << BITS) - 1))
+        self.document = np.repeat(np.arange(len(sentences)), sentences)
+
+    def clean(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each sentence and log(1 - p) of each document."""
+        logit = np.bincount(self.row, w[self.column], len(self.document)) + bias
+        total = np.bincount(self.document, -np.logaddexp(0, logit), len(self.y))
+        return logit, np.where(np.bincount(self.document, minlength=len(self.y)) == 0, -np.logaddexp(0, bias), total)
+
+    def loss(self, w: np.ndarray, bias: float, share: np.ndarray) -> tuple[float, np.ndarray]:
+        """Negative noisy-or log-likelihood, documents weighted by share, and its gradient by w and bias."""
+        logit, clean = self.clean(w, bias)
         p = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-        clean = np.bincount(of_doc, -np.logaddexp(0, logit), len(y))
-        doc = -np.expm1(clean)
-        # d loss / d log(1 - p of the document)
-        outer = share * np.where(y > 0, np.exp(clean) / np.maximum(doc, 1e-6), -1.0)
-        inner = outer[of_doc] * -p
-        grad = np.r_[np.bincount(col, inner[row], len(bucket)), inner.sum()]
-        grad[:-1] += 0.05 * w
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = 0.3 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
+        toxic = np.maximum(-np.expm1(clean), 1e-6)
+        outer = share * np.where(self.y > 0, np.exp(clean) / toxic, -1.0)  # by log(1 - p of the document)
+        inner = outer[self.document] * -p
+        empty = np.bincount(self.document, minlength=len(self.y)) == 0
+        alone = (outer[empty] * -1 / (1 + np.exp(-bias))).sum()
+        value = -(share * np.where(self.y > 0, np.log(toxic), clean)).sum()
+        return value, np.r_[np.bincount(self.column, inner[self.row], len(w)), inner.sum() + alone]
+
+    def fit(self, inside: np.ndarray) -> tuple[np.ndarray, float]:
+        """Adam on the likelihood of the documents inside, classes weighted alike, with an L2 penalty."""
+        y = self.y
+        share = inside * np.where(y > 0, 0.5 / max((y * inside).sum(), 1), 0.5 / max(((1 - y) * inside).sum(), 1)) * inside.sum()
+        w, bias = np.zeros(len(self.chosen)), -4.0
+        m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+        for epoch in range(1, EPOCHS + 1):
+            grad = self.loss(w, bias, share)[1]
+            grad[:-1] += 0.05 * w
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            step = 0.3 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
+            w, bias = w - step[:-1], bias - step[-1]
+        return w, float(bias)
+
+    def odds(self, w: np.ndarray, bias: float) -> np.ndarray:
+        clean = self.clean(w, bias)[1]
+        return np.log(np.maximum(-np.expm1(clean), 1e-300)) - clean
+
+
+def fit(bags: Bags, clean: int, toxic: int, threshold: float = THRESHOLD) -> Model:
+    """The model of the documents; clean and toxic: how many there are of each label in all."""
+    y = bags.y
+    odds = np.zeros(len(y))
+    for k in range(FOLDS):
+        if (bags.fold == k).any():
+            odds[bags.fold == k] = bags.odds(*bags.fit(bags.fold != k))[bags.fold == k]
+    w, bias = bags.fit(np.ones(len(y), bool))
     weights = np.zeros(1 << BITS, np.float32)
-    weights[bucket] = w
-    model = Model(weights, float(bias), 1.0, 0.0)
-    logit = np.bincount(row, w[col], n_sent) + bias
-    clean = np.where(np.bincount(of_doc, minlength=len(y)) == 0, -np.logaddexp(0, bias), np.bincount(of_doc, -np.logaddexp(0, logit), len(y)))
-    odds = np.log(np.maximum(-np.expm1(clean), 1e-300)) - clean
-    model.slope, model.shift = _calibrate(odds, y, threshold)
-    return model
+    weights[bags.chosen] = w
+    share = np.where(y > 0, toxic / max(y.sum(), 1), clean / max((1 - y).sum(), 1))
+    return Model(weights, bias, *_calibrate(odds, y, share, threshold))
 
 
-def _calibrate(odds: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float, float]:
+def _calibrate(odds: np.ndarray, y: np.ndarray, share: np.ndarray, threshold: float) -> tuple[float, float]:
     """Slope by likelihood; shift such that the threshold falls on the cut of best F1, between its neighbours."""
     order = np.argsort(-odds, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(y.sum(), 1))
+    hits = np.cumsum((y * share)[order])
+    f1 = 2 * hits / (np.cumsum(share[order]) + max((y * share).sum(), 1e-9))
     best = int(np.flatnonzero(f1 == f1.max()).mean()) if len(f1) else 0
     nxt = order[min(best + 1, len(order) - 1)]
     cut = (odds[order[best]] + odds[nxt]) / 2
     z = np.clip(odds - cut, -60, 60)
     slopes = np.geomspace(0.02, 3, 30)
     base = np.log(threshold / (1 - threshold))
-    loss = [np.mean(np.logaddexp(0, s * z + base) - y * (s * z + base)) for s in slopes]
+    loss = [np.average(np.logaddexp(0, s * z + base) - y * (s * z + base), weights=share) for s in slopes]
     s = float(slopes[int(np.argmin(loss))])
     return s, float(base - s * cut)
 
@@ -192,14 +244,24 @@ def _score(model: Model, threshold: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, threshold: float = THRESHOLD) -> Model:
-    """Fits the model to the labelled documents; at most max_positive and max_negative of them, by the least hash of doc_id."""
+    """Chooses features by all labelled documents; fits to at most max_positive and max_negative of them, by the least hash of doc_id."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    known = marks.join(docs.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id") == F.col("d"), "left_semi")
-    chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, max_positive), (0, max_negative))]
-    chosen = saved(chosen[0].union(chosen[1]))  # at most max_positive + max_negative rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string"), F.col("toxic").cast("int"))
-    rows = texts.mapInArrow(_gather, "toxic int, pairs array<bigint>").toArrow()
-    return fit(rows.column("toxic").to_numpy(), [np.asarray(x.values) for x in rows.column("pairs")], threshold) if rows.num_rows else Model(np.zeros(1 << BITS, np.float32), -40.0, 1.0, 0.0)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    every = texts.join(marks, "doc_id").select("toxic", "text")
+    counts = saved(every.mapInArrow(_seen, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    known = saved(marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    if not sizes:
+        return Model(np.zeros(1 << BITS, np.float32), -40.0, 1.0, 0.0)
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
+    # the rates of what is no feature are those of chance, so few rows remain; 2 ** BITS at most
+    chosen = telling(counts.where(F.col("clean") + F.col("toxic") >= MIN_DOCS).toPandas(), clean, toxic)
+    sample = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, max_positive), (0, max_negative))]
+    sample = saved(sample[0].union(sample[1]))  # at most max_positive + max_negative rows
+    few = texts.join(F.broadcast(sample), "doc_id").select("toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"), "text")
+    rows = few.mapInArrow(_gather(chosen), "toxic int, fold int, sentences long, pairs array<bigint>").toArrow()
+    column = lambda name: rows.column(name).to_numpy()
+    return fit(Bags(column("toxic"), column("fold"), column("sentences"), [np.asarray(x.values) for x in rows.column("pairs")], chosen), clean, toxic, threshold)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
