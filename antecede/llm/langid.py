@@ -7,12 +7,13 @@ for each language, so that one binary search serves them all; contexts' back-off
 language of least length-normalised cross-entropy wins.
 
 Bounds: the n-gram counts come from about `per_language` labelled documents of each language and the calibration from about
-`calibration` others, chosen by a hash of doc_id (all of them where there are fewer). Every text is scored whole.
+`calibration` others, chosen by a hash of doc_id, never the same: where a language has fewer, a fifth at most calibrates
+and the rest is counted. Every text is scored whole.
 
 Rejection: a text is rejected if its cross-entropy under the winner exceeds the 99.5 % quantile of the calibration texts
 (at least 20 letters) by more than REJECT_NATS. score is the posterior of the winner, with a temperature fitted to the
 calibration texts. Null text or text without a letter: `und`, score 0, rejected. No labelled rows: everything is `und`.
-Repeated rows are scored each; rows without doc_id are scored and never learned from. Empty table: empty result. Only the
+A very long text is one like others. Repeated rows are scored each; rows without doc_id are scored and never learned from. Empty table: empty result. Only the
 columns doc_id, text and, for learning, lang are looked at.
 """
 
@@ -226,10 +227,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, calibration: int =
         return Model(pd.DataFrame({"lang": pd.Series(dtype=str), "gram": pd.Series(dtype=str), "n": pd.Series(dtype=int)}))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
     share = lambda n: F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, n / k))) for x, k in sizes.items()])
-    counted, held = share(per_language), share(calibration)
-    counts = docs.where((draw < counted) | (counted >= 1)).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long")
+    held = F.least(share(calibration), F.lit(0.2))
+    counted = F.least(share(per_language), 1 - held)
+    counts = docs.where(draw < counted).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long")
     model = Model(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
-    near = docs.where((draw >= 1 - held) | (held >= 1)).select("lang", "text")
+    near = docs.where(draw >= 1 - held).select("lang", "text")
     kinds = {x: k for k, x in enumerate(model.langs)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
