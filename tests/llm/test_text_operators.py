@@ -134,6 +134,22 @@ def test_chat(spark):
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
 
 
+def parsed(data):
+    """Records of an archive file, by the grammar: version, named fields, an empty line, Content-Length bytes, two line ends."""
+    import gzip
+
+    data, out = gzip.decompress(data), []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        size = int(fields["Content-Length"])
+        assert version == "WARC/1.1" and rest[size : size + 4] == b"\r\n\r\n" and re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"])
+        out.append((fields, rest[:size]))
+        data = rest[size + 4 :]
+    return out
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 600
     rows = [(1, "http://a/", big), (5, None, big), (3, "http://b/\r\nX: y", big), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (8, "u", ""), (None, "u", big), (9, "u", "z" * 1_000_000), (9, "u", "z" * 1_000_000)]
@@ -149,6 +165,19 @@ def test_warc(spark):
     kinds = {i: (r.record_type, r.refers_to) for i, r in by.items()}
     assert kinds == {1: ("revisit", 5), 3: ("revisit", 5), 5: ("response", None), None: ("revisit", 5)} | {i: ("response", None) for i in (4, 6, 7, 8, 9)}
     assert bytes(by[4].record).endswith(b"Content-Length: 5\r\n\r\nsmall\r\n\r\n") and b"b/%0D%0AX" in bytes(by[3].record)
+    assert by[5].url is None and by[1].url == "http://a/"
+    read = [x for r in warc.files(archive, file_bytes=2000).collect() for x in parsed(bytes(r.data))]
+    assert {h["WARC-Type"] for h, _ in read} == {"warcinfo", "response", "revisit"}
+    pages = [x for x in read if x[0]["WARC-Type"] != "warcinfo"]
+    assert len(pages) == len(rows) and {h["WARC-Date"] for h, _ in read} == {warc.DATE}
+    of = {h["WARC-Record-ID"]: (h, block) for h, block in pages}
+    for h, block in pages:
+        head, _, payload = block.partition(b"\r\n\r\n")
+        assert head.startswith(b"HTTP/1.1 200 OK\r\n") and h["Content-Type"] == "application/http;msgtype=response" and "WARC-Target-URI" in h
+        if h["WARC-Type"] == "revisit":
+            assert payload == b"" and h["WARC-Profile"] == warc.PROFILE and of[h["WARC-Refers-To"]][0]["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"]
+            payload = of[h["WARC-Refers-To"]][1].partition(b"\r\n\r\n")[2]
+        assert h["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(payload).hexdigest()
     damaged = warc.Archive(archive.payloads.withColumn("payload", F.lit(b"?")), archive.headers)
     with pytest.raises(Exception, match="damaged"):
         warc.read_archive(damaged).collect()
