@@ -39,6 +39,11 @@ def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns under names that mapInArrow can take, whatever theirs are."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

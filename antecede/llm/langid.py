@@ -280,4 +280,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 rejected = shared.value.predict(part.column(place).to_pylist())[3]
                 yield part.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.numbered(docs).mapInArrow(run, docs.schema)

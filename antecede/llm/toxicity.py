@@ -283,7 +283,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
                 score = model.documents(model.sentences(bucket, sentence, len(text)), text, hi - lo)
                 yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.numbered(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(modulus: int, remainder: int) -> F.Column:

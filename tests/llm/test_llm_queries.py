@@ -49,3 +49,23 @@ def test_pipeline_keeps_one_of_each_and_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
     assert {r.doc_id for r in corpus_pipeline.identified(spark, docs, FOLDER).collect()} == {1, 2, None}
+
+
+def test_pipeline_with_long_texts_ties_and_odd_columns(spark):
+    """Each stage by itself: very long texts, ties, repeated rows, and columns whose names hold dots or clash with inner ones."""
+    import corpus_pipeline
+
+    base = " ".join(f"word{k} of the text" for k in range(60))
+    rows = [(1, "the long and the short of it " * 40_000), (2, base), (3, base + " more"), (3, base + " more"), (4, base), (5, "x" * 500_000), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1 AS n_chars", "doc_id + 7 AS `a.b`", "text AS hub", "1L AS gone", "2 AS component")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        kept = sorted(out.select("doc_id", "`a.b`").collect())
+        assert all(b == a + 7 for a, b in kept), name
+        if name == "near_duplicates":
+            assert [a for a, _ in kept] == [1, 2, 5, 6]
+        elif name in ("toxicity", "decontamination"):
+            assert [a for a, _ in kept] == [1, 2, 3, 3, 4, 5, 6], name
+    pieces = corpus_pipeline.packed(spark, docs, FOLDER)
+    assert pieces.select("doc_id").distinct().count() == 6 and pieces.where("doc_id = 1").count() > 100
