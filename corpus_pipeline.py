@@ -2,7 +2,9 @@
 
 STAGES: (name, function) with function(spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
 run() applies them to the table documents, each stage's result written as Parquet to the shared folder and read again.
-Rows without doc_id stay through the stages that compare documents. Empty tables pass through.
+Rows without doc_id stay through the stages that compare documents. Null and empty texts have no language and go in the second
+stage. Very long texts are ones like others. Columns besides those of the table documents, of any name, are kept up to the last
+stage. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is not among the ids."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    ids = ids.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(ids, docs["doc_id"] == ids["gone"], "left_anti")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +46,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     again = common.saved(again)
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return without(kept, again).union(once)
+    again = again.select(F.col("doc_id").alias("again"))
+    once = kept.join(again, kept["doc_id"] == again["again"], "left_semi").dropDuplicates(["doc_id"])
+    return without(kept, again.withColumnRenamed("again", "doc_id")).union(once)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
