@@ -4,8 +4,8 @@ A sentence's probability is a logistic function of its distinct hashed words and
 and endings vary); a document's is the noisy-or of its
 sentences, 1 - prod(1 - p). The weights are fitted to document labels alone, by gradient steps on the noisy-or likelihood,
 over at most `max_positive` and `max_negative` labelled documents (those of the least hash of their id; a documented bound,
-all of them where there are fewer). Which words and stems are features is decided before, by counts over all labelled
-documents, grouped on Spark; only these features of the bounded sample, as numbers, go to the driver. Every whole text is
+all of them where there are fewer). Which words and stems are features is decided before, by counts over this sample,
+grouped on Spark; only these features of it, as numbers, go to the driver. Every whole text is
 then scored, and the sentences of high probability are located as spans of characters. A final logistic map of the
 document's log-odds is fitted so that the probability is calibrated and `threshold` separates the labels best, on log-odds
 that each document gets from weights fitted without it (FOLDS folds), its class weighted as in all labelled documents.
@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +30,9 @@ from .common import saved
 
 BITS, STEM = 18, 4
 THRESHOLD = 0.3
-MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
+MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
 EPOCHS, FOLDS = 60, 3
-#: A feature is used if it is in so many labelled documents and its rates in the two classes differ by so many standard errors.
+#: A feature is used if it is in so many documents of the sample and its rates in the two classes differ by so many standard errors.
 MIN_DOCS, MIN_Z = 3, 4.0
 
 _END = np.zeros(256, bool)
@@ -86,13 +85,13 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(total[label][held]) for label in (0, 1))], names=["bucket", "clean", "toxic"])
 
 
-def telling(counts: pd.DataFrame, clean: int, toxic: int) -> np.ndarray:
-    """The buckets whose rates of documents in the two classes differ by MIN_Z standard errors."""
-    c, t = counts.clean.to_numpy(float), counts.toxic.to_numpy(float)
-    n0, n1 = max(clean, 1), max(toxic, 1)
-    rate = (c + t) / max(clean + toxic, 1)
-    z = (t / n1 - c / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
-    return np.sort(counts.bucket.to_numpy(np.int64)[(c + t >= MIN_DOCS) & (np.abs(z) >= MIN_Z)])
+def telling(counts: DataFrame, clean: int, toxic: int) -> np.ndarray:
+    """The buckets whose rates of documents in the two classes differ by MIN_Z standard errors: few, 2 ** BITS at most."""
+    n0, n1 = float(max(clean, 1)), float(max(toxic, 1))
+    rate = (F.col("clean") + F.col("toxic")) / F.lit(float(max(clean + toxic, 1)))
+    error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    rows = counts.where((F.col("clean") + F.col("toxic") >= MIN_DOCS) & (F.abs(F.col("toxic") / n1 - F.col("clean") / n0) >= MIN_Z * error))
+    return np.sort(np.array([r["bucket"] for r in rows.select("bucket").collect()], np.int64))
 
 
 def _gather(chosen: np.ndarray):
@@ -244,24 +243,23 @@ def _score(model: Model, threshold: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, threshold: float = THRESHOLD) -> Model:
-    """Chooses features by all labelled documents; fits to at most max_positive and max_negative of them, by the least hash of doc_id."""
+    """Chooses features by and fits to at most max_positive and max_negative of the labelled documents, by the least hash of doc_id."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    every = texts.join(marks, "doc_id").select("toxic", "text")
-    counts = saved(every.mapInArrow(_seen, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     known = saved(marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if not sizes:
         return Model(np.zeros(1 << BITS, np.float32), -40.0, 1.0, 0.0)
-    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
-    # the rates of what is no feature are those of chance, so few rows remain; 2 ** BITS at most
-    chosen = telling(counts.where(F.col("clean") + F.col("toxic") >= MIN_DOCS).toPandas(), clean, toxic)
     sample = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, max_positive), (0, max_negative))]
     sample = saved(sample[0].union(sample[1]))  # at most max_positive + max_negative rows
-    few = texts.join(F.broadcast(sample), "doc_id").select("toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"), "text")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    few = saved(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", fold.alias("fold"), "text"))
+    counts = few.select("toxic", "text").mapInArrow(_seen, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    part = {r["toxic"]: r["n"] for r in few.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    chosen = telling(counts, part.get(0, 0), part.get(1, 0))
     rows = few.mapInArrow(_gather(chosen), "toxic int, fold int, sentences long, pairs array<bigint>").toArrow()
     column = lambda name: rows.column(name).to_numpy()
-    return fit(Bags(column("toxic"), column("fold"), column("sentences"), [np.asarray(x.values) for x in rows.column("pairs")], chosen), clean, toxic, threshold)
+    bags = Bags(column("toxic"), column("fold"), column("sentences"), [np.asarray(x.values) for x in rows.column("pairs")], chosen)
+    return fit(bags, sizes.get(0, 0), sizes.get(1, 0), threshold)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -351,7 +351,7 @@ def test_toxicity_is_the_noisy_or(spark):
         assert r.score == pytest.approx(1 / (1 + math.exp(-(model.slope * odds + model.shift))), abs=1e-6)
 
 
-def test_toxicity_gradient_and_features():
+def test_toxicity_gradient_and_features(spark):
     rng = np.random.default_rng(4)
     sentences = rng.integers(0, 4, 30)
     pairs = [np.unique((rng.integers(0, max(n, 1), 6) << toxicity.BITS) | rng.integers(5, 12, 6)) if n else np.zeros(0, np.int64) for n in sentences]
@@ -373,8 +373,8 @@ def test_toxicity_gradient_and_features():
     data = b"!!!!!!!!!!!!!!nasty?????????????? ((((())))) nasty"
     bucket, sentence, text, _ = toxicity.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     assert len(set(bucket.tolist())) == 2 and len(bucket) == 4
-    counts = {"bucket": [3, 1, 2], "clean": [0, 50, 5], "toxic": [40, 50, 0]}
-    assert toxicity.telling(pd.DataFrame(counts), 100, 100).tolist() == [3]
+    counts = spark.createDataFrame([(3, 0, 40), (1, 50, 50), (2, 5, 0), (4, 0, 2)], "bucket long, clean long, toxic long")
+    assert toxicity.telling(counts, 100, 100).tolist() == [3]
 
 
 def vectors(seed=1):
