@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at a time.
@@ -196,8 +196,8 @@ def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataF
     part first, then of the key, then back to the parts."""
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
     parts = rows.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"))
-    least = parts.groupBy(*keys).agg(F.min("_least").alias(name))
-    return rows.join(parts.drop("_least").join(least, keys), [*keys, "_salt"]).drop("_salt")
+    parts = parts.select(*keys, "_salt", F.min("_least").over(Window.partitionBy(*keys)).alias(name))  # SALTS rows for each key
+    return rows.join(parts, [*keys, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
