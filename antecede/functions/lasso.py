@@ -30,8 +30,8 @@ class Cox:
         return float(value), (self.x.T @ (self.status - risk * hazard[self.at])) / self.n
 
 
-def fit(cox: Cox, lam: float, start: np.ndarray, turns: int = 5000, tolerance: float = 1e-7) -> np.ndarray:
-    """Accelerated proximal gradient with backtracking for -value + lam * |beta|_1."""
+def fit(cox: Cox, lam: float, start: np.ndarray, turns: int = 200_000, tolerance: float = 1e-7) -> np.ndarray:
+    """Accelerated proximal gradient with backtracking for -value + lam * |beta|_1; an error if it does not settle."""
     beta = z = start.copy()
     step, t = 1.0, 1.0
     for _ in range(turns):
@@ -52,7 +52,7 @@ def fit(cox: Cox, lam: float, start: np.ndarray, turns: int = 5000, tolerance: f
             z, t = new + (t - 1) / ahead * (new - beta), ahead
         beta = new
         step *= 1.1
-    return beta
+    raise RuntimeError(f"the lasso did not settle in {turns} turns at lambda {lam}")
 
 
 def path(cox: Cox, lambdas: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from antecede.jobs import inference
 from antecede.operators import learn, order, probabilities, ranking, resample, shaping, survival
 from antecede.sources.fixtures import FIXTURES, ctes, fixture
-from antecede.sources.tables import explode_trees, stored, wide_to_long
+from antecede.sources.tables import explode_trees, read_arcs, read_vaf, scratch, stored, wide_to_long, write_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,6 +138,39 @@ def gene_index(spark, sf_dir):
     return shaping.gene_index(Tables(spark, sf_dir).ccf)
 
 
+VAF_COLUMNS = "sample_id, gene_id, ref_count, alt_count, copy_number, normal_ploidy, vaf_estimate, ccf_estimate, row_id"
+
+
+@query(ctes("fx_vaf") + f"SELECT {VAF_COLUMNS} FROM fx_vaf")
+def vaf_from_csv(spark, sf_dir):
+    """A1 through a CSV file with a header."""
+    path = scratch(spark)
+    Tables(spark, sf_dir).vaf.select(*VAF_COLUMNS.split(", ")).write.option("header", True).csv(path)
+    return read_vaf(spark, path, "csv")
+
+
+@query(ctes("fx_vaf") + f"SELECT {VAF_COLUMNS} FROM fx_vaf")
+def vaf_from_parquet(spark, sf_dir):
+    """A1 through Parquet."""
+    path = scratch(spark)
+    Tables(spark, sf_dir).vaf.write.parquet(path)
+    return read_vaf(spark, path)
+
+
+@query(ctes("fx_ccf", "fx_tree_edges") + "SELECT sample_id, gene_id, ccf FROM fx_ccf SEMI JOIN fx_tree_edges USING (sample_id)")
+def samples_kept(spark, sf_dir):
+    """The mutations of samples whose tree has an edge."""
+    t = Tables(spark, sf_dir)
+    return shaping.keep_samples(t.ccf, t.tree_edges)
+
+
+@query(ctes("fx_ccf", "fx_tree_edges") + f"SELECT sample_id, parent, child FROM fx_tree_edges WHERE {PLANTED.format('parent')} = 0 AND {PLANTED.format('child')} = 0")
+def genes_kept(spark, sf_dir):
+    """Tree edges between genes of the first planted tier."""
+    t = Tables(spark, sf_dir)
+    return shaping.keep_genes(t.tree_edges, t.genes.where(F.expr(PLANTED.format("gene_id")) == 0), "parent", "child")
+
+
 # probabilities
 
 
@@ -229,18 +262,19 @@ def agony_score_planted(spark, sf_dir):
 
 
 def _upward(arcs: DataFrame) -> DataFrame:
-    return arcs.where("CAST(SUBSTRING(parent, 7) AS INT) < CAST(SUBSTRING(child, 7) AS INT) AND weight % 5 = 0")
+    """The arcs from lower to higher brands, all of them: a graph without cycles."""
+    return arcs.where("CAST(SUBSTRING(parent, 7) AS INT) < CAST(SUBSTRING(child, 7) AS INT)")
 
 
 UP = TIERS + """,
-up AS (SELECT parent, child FROM arcs WHERE CAST(SUBSTRING(parent, 7) AS INT) < CAST(SUBSTRING(child, 7) AS INT) AND weight % 5 = 0),
+up AS (SELECT parent, child FROM arcs WHERE CAST(SUBSTRING(parent, 7) AS INT) < CAST(SUBSTRING(child, 7) AS INT)),
 node AS (SELECT parent AS g FROM up UNION SELECT child FROM up),
 walk(g, d) AS (SELECT g, 0 FROM node UNION SELECT up.child, d + 1 FROM walk JOIN up ON up.parent = walk.g)"""
 
 
 @query(ctes("fx_ccf", more=UP, recursive=True) + "SELECT g AS gene_id, max(d) AS rank FROM walk GROUP BY g")
 def rank_dag(spark, sf_dir):
-    """E3 as DataFrame rounds, on the arcs from lower to higher brands whose weight is a multiple of five."""
+    """E3 as DataFrame rounds, on the arcs from lower to higher brands."""
     return ranking.dag_ranks(_upward(order.arcs(Tables(spark, sf_dir).ccf))).select("gene_id", "rank")
 
 
@@ -250,26 +284,34 @@ def rank_dag_exact(spark, sf_dir):
     return ranking.minimum_agony(_upward(order.arcs(Tables(spark, sf_dir).ccf))).select("gene_id", "rank")
 
 
-UP_ALL = TIERS + """,
-up AS (SELECT parent, child FROM arcs WHERE CAST(SUBSTRING(parent, 7) AS INT) < CAST(SUBSTRING(child, 7) AS INT)),
-node AS (SELECT parent AS g FROM up UNION SELECT child FROM up),
-walk(g, d) AS (SELECT g, 0 FROM node UNION SELECT up.child, d + 1 FROM walk JOIN up ON up.parent = walk.g)"""
-
-
-def _upward_all(arcs: DataFrame) -> DataFrame:
-    return arcs.where("CAST(SUBSTRING(parent, 7) AS INT) < CAST(SUBSTRING(child, 7) AS INT)")
+RANKED = ",\nranked AS (SELECT g AS gene_id, max(d) AS rank FROM walk GROUP BY g)"
 
 
-@query(ctes("fx_ccf", more=UP_ALL, recursive=True) + "SELECT g AS gene_id, max(d) AS rank FROM walk GROUP BY g")
+@query(ctes("fx_ccf", more=UP, recursive=True) + "SELECT g AS gene_id, max(d) AS rank FROM walk GROUP BY g")
 def rank_dag_all(spark, sf_dir):
-    """E3 as DataFrame rounds, on all arcs from lower to higher brands."""
-    return ranking.dag_ranks(_upward_all(order.arcs(Tables(spark, sf_dir).ccf))).select("gene_id", "rank")
+    """rank_dag_exact through the job for any arcs: without weights, with a loop at every gene."""
+    t = Tables(spark, sf_dir)
+    loops = t.genes.select(F.col("gene_id").alias("parent"), F.col("gene_id").alias("child"))
+    return inference.rank_arcs(_upward(order.arcs(t.ccf)).select("parent", "child").union(loops)).select("gene_id", "rank")
 
 
-@query(ctes("fx_ccf", more=UP_ALL, recursive=True) + "SELECT g AS gene_id, max(d) AS rank FROM walk GROUP BY g")
+@query(ctes("fx_ccf", more=UP, recursive=True) + "SELECT g AS gene_id, max(d) AS rank FROM walk GROUP BY g")
 def rank_dag_all_exact(spark, sf_dir):
-    """E1 on all arcs from lower to higher brands."""
-    return ranking.minimum_agony(_upward_all(order.arcs(Tables(spark, sf_dir).ccf))).select("gene_id", "rank")
+    """The same arcs from a text file `parent child weight` with loops."""
+    t = Tables(spark, sf_dir)
+    arcs = _upward(order.arcs(t.ccf)).select(F.concat_ws(" ", "parent", "child", F.col("weight").cast("string")))
+    path = scratch(spark)
+    arcs.union(t.genes.select(F.concat_ws("  ", "gene_id", "gene_id"))).write.text(path)
+    return ranking.minimum_agony(read_arcs(spark, path)).select("gene_id", "rank")
+
+
+@query(ctes("fx_ccf", "fx_genes", more=UP + RANKED, recursive=True) + """SELECT 0 AS iter, a.gene_id AS parent, b.gene_id AS child FROM ranked a JOIN ranked b ON a.rank < b.rank
+UNION ALL SELECT 1, a.gene_id, b.gene_id FROM fx_genes a JOIN fx_genes b ON a.gene_id <> b.gene_id""")
+def poset_single(spark, sf_dir):
+    """The upward arcs in iteration 0, no arc in iteration 1, which falls back to every ordered pair."""
+    t = Tables(spark, sf_dir)
+    arcs = _upward(order.arcs(t.ccf)).withColumn("iter", F.lit(0))
+    return ranking.single_poset(arcs, t.genes, spark.range(2).select(F.col("id").cast("int").alias("iter"))).select("iter", "parent", "child")
 
 
 @query(ctes("fx_genes") + f"SELECT a.gene_id AS parent, b.gene_id AS child FROM fx_genes a JOIN fx_genes b ON {PLANTED.format('a.gene_id')} < {PLANTED.format('b.gene_id')}")
@@ -339,9 +381,10 @@ def bootstrap_totals(spark, sf_dir):
 
 # parent selection: candidates are the pairs of planted tiers 0 -> 1 and 1 -> 2
 
+FAMILIES = f"""SELECT p.gene_id AS p, c.gene_id AS child FROM fx_genes p JOIN fx_genes c ON {PLANTED.format('c.gene_id')} = {PLANTED.format('p.gene_id')} + 1"""
 ONE_PARENT = f"""prof AS (SELECT s.sample_id, coalesce(list(c.gene_id) FILTER (c.gene_id IS NOT NULL), []) AS genes FROM fx_samples s LEFT JOIN fx_ccf c ON c.sample_id = s.sample_id GROUP BY 1),
 pf AS (SELECT list_sort(genes) AS genes, count(*) AS n FROM prof GROUP BY 1),
-fam AS (SELECT p.gene_id AS p, c.gene_id AS child FROM fx_genes p JOIN fx_genes c ON {PLANTED.format('c.gene_id')} = {PLANTED.format('p.gene_id')} + 1
+fam AS ({FAMILIES}
   UNION ALL SELECT NULL, gene_id FROM fx_genes),
 cnt AS (SELECT child, p, coalesce(list_contains(genes, p), false) AS has, sum(n) AS n, sum(CASE WHEN list_contains(genes, child) THEN n ELSE 0 END) AS n1 FROM pf, fam GROUP BY 1, 2, 3),
 ll AS (SELECT child, p, sum(CASE WHEN n1 > 0 THEN n1 * ln(n1 / n) ELSE 0 END + CASE WHEN n > n1 THEN (n - n1) * ln((n - n1) / n) ELSE 0 END) AS loglik FROM cnt GROUP BY 1, 2),
@@ -404,6 +447,45 @@ def hc_round1(spark, sf_dir):
     return learn.best_moves(state, edges, value).select("child", F.col("gene").alias("parent"), F.round("gain", 6).alias("gain"))
 
 
+CHAIN = ctes("fx_ccf", "fx_genes", "fx_samples", more=ONE_PARENT.replace(FAMILIES, "SELECT p.gene_id AS p, c.gene_id AS child FROM fx_genes p JOIN fx_genes c ON c.gene_index = p.gene_index + 1")) + """
+SELECT r AS regularization, a.p AS parent, a.child FROM (VALUES ('aic'), ('bic')) v(r) JOIN sc a ON a.p IS NOT NULL JOIN sc b ON a.child = b.child AND b.p IS NULL
+WHERE CASE WHEN r = 'aic' THEN a.aic - b.aic ELSE a.bic - b.bic END > 1e-8"""
+
+
+def _chain(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles, the poset in which a gene's one candidate is the gene before it by label, and the sample count."""
+    after = t.genes.select(F.col("gene_id").alias("child"), (F.col("gene_index") - 1).alias("gene_index"))
+    edges = t.genes.select(F.col("gene_id").alias("parent"), "gene_index").join(after, "gene_index").select(F.lit(0).alias("iter"), "parent", "child")
+    return learn.profiles(t.pack, t.n), edges, t.n
+
+
+@query(CHAIN)
+def hc_chain(spark, sf_dir):
+    """The end of the climb with restarts, where each child has one candidate and so the optimum is known."""
+    return learn.hill_climb(*_chain(Tables(spark, sf_dir))).select("regularization", "parent", "child")
+
+
+@query(CHAIN)
+def hc_chain_rounds(spark, sf_dir):
+    """The same by DataFrame rounds, as for children whose counts outgrow a task."""
+    return learn.hill_climb(*_chain(Tables(spark, sf_dir)), max_cells=0).select("regularization", "parent", "child")
+
+
+@query(CHAIN)
+def tabu_chain(spark, sf_dir):
+    """G7 on the same poset."""
+    return learn.tabu_search(*_chain(Tables(spark, sf_dir))).select("regularization", "parent", "child")
+
+
+@query(one_parent_sql(f"""SELECT r AS regularization, p.gene_id AS parent, c.gene_id AS child FROM (VALUES ('aic'), ('bic')) v(r), fx_genes p JOIN fx_genes c ON {PLANTED.format('c.gene_id')} = {PLANTED.format('p.gene_id')} + 1"""))
+def edges_written(spark, sf_dir):
+    """Edges written by regularization and read again."""
+    path = scratch(spark)
+    both = spark.createDataFrame([("aic",), ("bic",)], "regularization string")
+    write_edges(_tier_edges(Tables(spark, sf_dir)).drop("iter").crossJoin(both), path)
+    return spark.read.parquet(path).select("regularization", "parent", "child")
+
+
 @query(one_parent_sql(f"""SELECT p.gene_id AS parent, c.gene_id AS child FROM fx_genes p JOIN fx_genes c ON p.gene_id <> c.gene_id
 WHERE {PLANTED.format('c.gene_id')} <> {PLANTED.format('p.gene_id')} + 1"""))
 def forbidden_pairs(spark, sf_dir):
@@ -560,7 +642,11 @@ def signatures(spark, sf_dir):
     return inference.signatures(moved, t.patient_steps).prevalence
 
 
-@query()
+BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+MATRIX = ", ".join(f"""max(CASE WHEN c.gene_id = '{g}' AND {PLANTED.format('c.gene_id')} = {PLANTED.format('p.gene_id')} + 1 THEN 1 ELSE 0 END) AS "{g}\"""" for g in BRANDS)
+
+
+@query(ctes("fx_genes") + f"SELECT p.gene_id AS parent, {MATRIX} FROM fx_genes p, fx_genes c GROUP BY p.gene_id")
 def adjacency_matrix(spark, sf_dir):
     """The planted poset as a matrix."""
     t = Tables(spark, sf_dir)

@@ -54,7 +54,6 @@ FROM orders GROUP BY o_custkey""",
         (),
         """SELECT CAST(o_custkey AS STRING) AS sample_id, p_type AS gene_id, MAX(l_quantity) AS q
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00'
 GROUP BY o_custkey, p_type""",
     ),
     "fx_patient_steps": (

@@ -65,10 +65,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a Parquet table in the folder of spark.checkpoint.dir, which driver and executors share; only where
-    that is unset and the master is local in a folder of our own."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; only where that is unset and the
+    master is local in a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -78,6 +77,11 @@ def stored(df: DataFrame) -> DataFrame:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = own.get()
-    path = f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a Parquet table in the shared folder."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
