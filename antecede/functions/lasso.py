@@ -64,10 +64,15 @@ def path(cox: Cox, lambdas: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def lambdas(cox: Cox, count: int = 100, ratio: float | None = None) -> np.ndarray:
-    """From the least lambda without any coefficient down to ratio of it: 0.01 where rows are fewer than columns and the
+def grid(top: float, n: float, columns: int, count: int = 100, ratio: float | None = None) -> np.ndarray:
+    """From the least lambda without any coefficient (top) down to ratio of it: 0.01 where rows are fewer than columns and the
     intercept's, else 0.0001."""
     if ratio is None:
-        ratio = 0.01 if cox.n < cox.x.shape[1] + 1 else 1e-4
-    top = np.abs(cox.value(np.zeros(cox.x.shape[1]))[1]).max(initial=0.0)
+        ratio = 0.01 if n < columns + 1 else 1e-4
     return np.geomspace(top, top * ratio, count) if top > 0 else np.zeros(1)
+
+
+def lambdas(cox: Cox, count: int = 100, ratio: float | None = None) -> np.ndarray:
+    """The grid of a table."""
+    top = np.abs(cox.value(np.zeros(cox.x.shape[1]))[1]).max(initial=0.0)
+    return grid(float(top), cox.n, cox.x.shape[1], count, ratio)

@@ -7,7 +7,7 @@ whatever the samples. A child whose table has up to MAX_CELLS bits is climbed in
 regularizations; the others go through DataFrame rounds, each of which scores all one-arc changes in one job. Both ways
 make the same moves.
 
-What depends on genes and iterations alone is broadcast up to MAX_LABELS labels; beyond, the join is salted.
+What depends on genes and iterations alone is broadcast up to a number of labels; beyond, the join is salted.
 """
 
 from __future__ import annotations
@@ -20,11 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions import climb
-from antecede.sources.tables import spread, stored
+from antecede.sources.tables import beside, spread, stored
 
 PENALTIES = ("aic", "bic")
-#: Labels of candidates or families that are broadcast at most; parts that the rows of a key are split into beyond.
-MAX_LABELS, SALTS = 2_000_000, 64
 #: Rows x candidates of one child's table that are climbed in one task at most.
 MAX_CELLS = 100_000_000
 
@@ -45,24 +43,16 @@ def forbidden(edges: DataFrame, genes: DataFrame) -> DataFrame:
     return rounds.crossJoin(F.broadcast(every)).join(edges, ["iter", "parent", "child"], "left_anti")
 
 
-def _beside(rows: DataFrame, small: DataFrame, labels: Column, keys: list[str], spread_by: Column) -> DataFrame:
-    """rows joined with a table of labels: broadcast while it holds MAX_LABELS at most, else by keys and a salt of spread_by."""
-    if (small.agg(F.sum(labels)).first()[0] or 0) <= MAX_LABELS:
-        return rows.join(F.broadcast(small), keys)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
-
-
 def projected(profiles_: DataFrame, candidates: DataFrame) -> DataFrame:
     """G2 for each child: iter, child, cands, config (the candidates present), x (whether the child is) and n.
     candidates: (iter, child, cands), a row for each child."""
-    rows = _beside(profiles_, candidates, F.size("cands") + 1, ["iter"], F.col("genes"))
+    rows = beside(profiles_, candidates, F.size("cands") + 1, ["iter"], F.col("genes"))
     rows = rows.select("iter", "child", "cands", F.array_intersect("cands", "genes").alias("config"), F.array_contains("genes", F.col("child")).cast("int").alias("x"), "n")
     return rows.groupBy("iter", "child", "cands", "config", "x").agg(F.sum("n").alias("n"))
 
 
 def _counted(tables: DataFrame, families: DataFrame) -> DataFrame:
-    rows = _beside(tables, families, F.size("parents") + 1, ["iter", "child"], F.col("config"))
+    rows = beside(tables, families, F.size("parents") + 1, ["iter", "child"], F.col("config"))
     rows = rows.withColumn("config", F.array_intersect("parents", "config"))
     one = F.when(F.col("x") > 0, F.col("n")).otherwise(0)
     return rows.groupBy("iter", "child", "parents", "config").agg(F.sum("n").alias("n"), F.sum(one).alias("n1"))

@@ -8,27 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.functions import lasso
-from antecede.sources.tables import stored
+from antecede.operators import coxpath
+from antecede.operators.running import running
 
-#: Compacted rows (distinct steps, time and status) up to which the lasso path runs in one task for each fold.
-MAX_ROWS = 2_000_000
-
-
-def running(rows: DataFrame, order: str, columns: dict[str, str], descending: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Running sums of columns (name -> new name) by order within keys, in two levels: within ranges of the order column and
-    over the ranges' totals, so no task holds the whole table. order: distinct within keys."""
-    rows = stored(rows)  # distinct values only: read several times below
-    marks = rows.agg(F.percentile_approx(order, [k / 64 for k in range(1, 64)], 2000)).first()[0] or []  # 63 numbers
-    place = F.size(F.filter(F.array(*[F.lit(float(m)) for m in sorted(set(marks))]) if marks else F.array().cast("array<double>"), lambda m: m < F.col(order).cast("double")))
-    rows = rows.withColumn("_range", place)
-    by = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    inner = Window.partitionBy(*keys, "_range").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    outer = Window.partitionBy(*keys).orderBy(by("_range")).rowsBetween(Window.unboundedPreceding, -1)  # 64 rows for each key
-    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(outer), F.lit(0)).alias(f"_{c}") for c in columns])
-    summed = rows.select("*", *[F.sum(c).over(inner).alias(f"_in_{c}") for c in columns]).join(F.broadcast(totals), [*keys, "_range"])
-    kept = [c for c in rows.columns if c != "_range"]
-    return summed.select(*kept, *[(F.col(f"_in_{c}") + F.col(f"_{c}")).alias(new) for c, new in columns.items()])
+#: Cells (compacted rows x steps) up to which the lasso path runs in one task for each fold: 200 MB for each copy.
+MAX_CELLS = 25_000_000
 
 
 def risk_scores(survival: DataFrame, steps: DataFrame, coefs: DataFrame) -> DataFrame:
@@ -51,27 +35,37 @@ def cox_gradient(scored: DataFrame, steps: DataFrame) -> DataFrame:
     return steps.join(rest, "sample_id").groupBy("step").agg(F.sum("r").alias("gradient"))
 
 
-def select_steps(survival: DataFrame, steps: DataFrame, folds: int = 10, seed: int = 1, count: int = 100, max_rows: int = MAX_ROWS) -> DataFrame:
+def compacted(survival: DataFrame, steps: DataFrame, names: list[str], folds: int, seed: int) -> DataFrame:
+    """steps (places in names, ascending), time, status, fold and weight, the number of such patients."""
+    numbered = steps.sparkSession.createDataFrame(list(enumerate(names)), "at int, step string")
+    held = steps.join(F.broadcast(numbered), "step").groupBy("sample_id").agg(F.sort_array(F.collect_set("at")).alias("steps"))
+    rows = survival.join(held, "sample_id", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<int>")))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "sample_id"), F.lit(folds)).cast("int"))
+    return rows.groupBy("steps", "time", "status", "fold").agg(F.count("*").alias("weight"))
+
+
+def step_names(steps: DataFrame) -> list[str]:
+    return sorted(r[0] for r in steps.select("step").distinct().collect())  # one row for each step: genes ** 2 at most
+
+
+def select_steps(survival: DataFrame, steps: DataFrame, folds: int = 10, seed: int = 1, count: int = 100, max_cells: int = MAX_CELLS) -> DataFrame:
     """H3-H5: step, coef, direction of the non-zero coefficients at the lambda of least cross-validated deviance.
 
-    Patients of equal steps, time and status become one weighted row first; each fold's path is a task of its own. Above
-    max_rows compacted rows the job stops with an error: fit a single lambda with cox_gradient() instead.
+    Patients of equal steps, time and status become one weighted row first. Up to max_cells rows x steps each fold's path is
+    a task of its own; beyond, all folds go through the rounds of coxpath.fit(), which reach the same optimum.
     """
-    held = steps.groupBy("sample_id").agg(F.sort_array(F.collect_set("step")).alias("steps"))
-    rows = survival.join(held, "sample_id", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<string>")))
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "sample_id"), F.lit(folds)).cast("int"))
-    rows = rows.groupBy("steps", "time", "status", "fold").agg(F.count("*").alias("weight"))
-    if rows.count() > max_rows:
-        raise ValueError(f"more than {max_rows} distinct rows")
-    names = sorted(r[0] for r in steps.select("step").distinct().collect())  # one row for each step
+    names = step_names(steps)
     if not names:
         return steps.sparkSession.createDataFrame([], "step string, coef double, direction string")
-    place = {x: k for k, x in enumerate(names)}
+    rows = compacted(survival, steps, names, folds, seed)
+    if rows.count() * len(names) > max_cells:
+        whole, loss = coxpath.fit(rows, len(names), folds, count)
+        return _chosen(steps, names, whole[int(np.argmin(loss))])
 
     def data(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         x = np.zeros((len(part), len(names)))
         for i, s in enumerate(part.steps):
-            x[i, [place[v] for v in s]] = 1
+            x[i, s] = 1
         return x, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -99,6 +93,10 @@ def select_steps(survival: DataFrame, steps: DataFrame, folds: int = 10, seed: i
     loss = fits[fits.fold >= 0].groupby("k").deviance.sum()
     best = int(loss.idxmin()) if len(loss) else 0
     coefs = fits[(fits.fold < 0) & (fits.k == best)].coefs.iat[0]
+    return _chosen(steps, names, coefs)
+
+
+def _chosen(steps: DataFrame, names: list[str], coefs: np.ndarray) -> DataFrame:
     chosen = [(names[k], float(c), "positive" if c > 0 else "negative") for k, c in enumerate(coefs) if c != 0]
     return steps.sparkSession.createDataFrame(chosen, "step string, coef double, direction string").orderBy("step")
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antecede.jobs import inference
-from antecede.operators import learn, order, probabilities, ranking, resample, shaping, survival
+from antecede.operators import coxpath, learn, order, probabilities, ranking, resample, shaping, survival
 from antecede.sources.fixtures import FIXTURES, ctes, fixture
 from antecede.sources.tables import explode_trees, read_arcs, read_vaf, scratch, stored, wide_to_long, write_edges
 
@@ -547,6 +548,18 @@ def cox_gradient_fixed(spark, sf_dir):
     return survival.cox_gradient(_scored(t), t.patient_steps).withColumn("gradient", F.round("gradient", 6))
 
 
+@query(scored_sql("""SELECT step, round(sum(status - exp(beta) * h), 6) AS gradient FROM fx_patient_steps JOIN sd USING (sample_id) JOIN hz USING (time) GROUP BY step"""))
+def cox_gradient_rounds(spark, sf_dir):
+    """H3: the gradient that a round of the lasso path on Spark starts from, over all folds."""
+    t = Tables(spark, sf_dir)
+    names = survival.step_names(t.patient_steps)
+    coefs = {r.step: r.coef for r in t.patient_steps.select("step").distinct().withColumn("coef", F.expr(COEF)).collect()}
+    path = coxpath.Path(survival.compacted(t.survival, t.patient_steps, names, 2, 1), len(names), 2)
+    b = np.tile(np.array([[float(coefs[x])] for x in names]), (1, path.models))
+    found = path.slopes(b, path.hazards(b)[0], np.zeros(0, int))["gradient"][:, 0]
+    return spark.createDataFrame([(x, float(g)) for x, g in zip(names, found, strict=True)], "step string, gradient double").withColumn("gradient", F.round("gradient", 6))
+
+
 @query(scored_sql("SELECT sample_id, beta, cluster FROM cl"))
 def hinge_clusters(spark, sf_dir):
     return survival.clusters(_scored(Tables(spark, sf_dir))).select("sample_id", "beta", "cluster")

@@ -6,10 +6,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Labels or numbers of a table that is broadcast at most; parts that the rows of a key are split into beyond.
+MAX_LABELS, SALTS = 2_000_000, 64
+
 VAF = T.StructType(
     [
         T.StructField("sample_id", T.StringType()),
@@ -65,6 +68,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def beside(rows: DataFrame, small: DataFrame, labels: Column, keys: list[str], spread_by: Column) -> DataFrame:
+    """rows joined with a table of `labels` values a row: broadcast while it holds MAX_LABELS at most, else by keys and a salt
+    of spread_by."""
+    if (small.agg(F.sum(labels)).first()[0] or 0) <= MAX_LABELS:
+        return rows.join(F.broadcast(small), keys)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder of spark.checkpoint.dir, which driver and executors share; only where that is unset and the
     master is local in a folder of our own."""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from antecede.functions import climb, lasso
 from antecede.jobs import inference
-from antecede.operators import learn, order, probabilities, ranking, resample, shaping, survival
+from antecede.operators import coxpath, learn, order, probabilities, ranking, resample, shaping, survival
+from antecede.sources import tables
 from antecede.sources.tables import read_arcs, wide_to_long, write_edges
 
 
@@ -215,7 +216,7 @@ def test_salted_joins_give_the_same_counts(spark, monkeypatch):
     families = spark.createDataFrame([(0, "C", ["A", "B"]), (0, "C", []), (0, "B", ["A"])], "iter int, child string, parents array<string>")
     get = lambda: sorted(str(r) for r in learn.family_counts(profiles, families).collect())
     plain = get()
-    monkeypatch.setattr(learn, "MAX_LABELS", 0)
+    monkeypatch.setattr(tables, "MAX_LABELS", 0)
     assert get() == plain and len(plain) == 6
 
 
@@ -250,6 +251,55 @@ def test_lasso_is_optimal():
     assert np.allclose(numeric, cox.value(beta)[1], atol=1e-6)
 
 
+def survived(spark, n=200, p=6):
+    """survival and steps of n patients; steps 0 and 3 matter, step 5 is everyone's."""
+    rng = np.random.default_rng(3)
+    x = rng.random((n, p)) < np.linspace(0.1, 0.5, p)
+    x[:, -1] = True
+    time = np.ceil(rng.exponential(10 / np.exp(1.2 * x[:, 0] - x[:, 3])))
+    end = np.ceil(rng.exponential(20, n))
+    surv = spark.createDataFrame([(f"s{i}", int(time[i] <= end[i]), float(min(time[i], end[i]))) for i in range(n)], "sample_id string, status int, time double")
+    return surv, spark.createDataFrame([(f"s{i}", f"g{j}") for i in range(n) for j in np.flatnonzero(x[i])], "sample_id string, step string")
+
+
+def test_lasso_rounds_reach_the_optimum(spark):
+    surv, steps = survived(spark)
+    one = survival.select_steps(surv, steps, 2, 1, 3).toPandas()
+    many = survival.select_steps(surv, steps, 2, 1, 3, max_cells=0).toPandas()
+    assert list(one.step) == list(many.step) and "g5" not in set(one.step) and {"g0", "g3"} <= set(one.step)
+    assert np.allclose(one.coef, many.coef, atol=2e-4)
+    rows = survival.compacted(surv, steps, survival.step_names(steps), 2, 1)
+    whole, _ = coxpath.fit(rows, 6, 2, 2, block=2)  # steps that do not fit a round take turns
+    part = rows.toPandas()
+    x = np.zeros((len(part), 6))
+    for i, s in enumerate(part.steps):
+        x[i, s] = 1
+    cox = lasso.Cox(x, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float))
+    assert np.allclose(whole, lasso.path(cox, lasso.lambdas(cox, 2)) / cox.scale, atol=2e-4)
+
+
+def test_lasso_rounds_with_many_times(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_LABELS", 0)
+    surv, steps = survived(spark)
+    rows = survival.compacted(surv, steps, survival.step_names(steps), 3, 1)
+    b, block, found = np.linspace(-1, 1, 24).reshape(6, 4), np.array([0, 2, 5]), []
+    for most in (1000, 0):
+        path = coxpath.Path(rows, 6, 3, most)
+        hazards, value = path.hazards(b)
+        slopes = path.slopes(b, hazards, block)
+        found.append([value, slopes["gradient"], slopes["curved"], slopes["curvature"]])
+    for few, many in zip(*found, strict=True):
+        assert np.allclose(few, many)
+    pd = rows.toPandas()
+    for m in range(4):  # against the one-task likelihood
+        part = pd[pd.fold != m - 1]
+        x = np.array([[k in s for k in range(6)] for s in part.steps], float)
+        cox = lasso.Cox(x, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float))
+        cox.x = x
+        value, gradient = cox.value(b[:, m])
+        assert np.isclose(value * cox.n, found[0][0][m]) and np.allclose(gradient * cox.n, found[0][1][:, m])
+
+
 def test_signatures(spark):
     rng = np.random.default_rng(7)
     has = rng.random((400, 4)) < 0.4
