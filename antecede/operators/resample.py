@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from antecede.functions import draws
+from antecede.sources.tables import spread
 
 #: Drawn mutations that a task holds at a time, about.
 CHUNK = 1 << 18
@@ -20,10 +21,11 @@ def replicate_arcs(vaf: DataFrame, nsampling: int, seed: int, memberships: DataF
 
     A sample's mutations are one row; each replicate draws its vafs from Beta(alt, ref), clamps, orders and emits arcs in the
     same map task, about CHUNK mutations at a time, so replicated mutations never move and a task holds one batch and one
-    chunk. vaf: one row for each (sample, gene).
+    chunk. The samples are few bytes and much work, so they are dealt out before they are packed. vaf: one row for each
+    (sample, gene).
     """
     cols = ["gene_id", "alt_count", "ref_count", "copy_number", "normal_ploidy"]
-    packed = vaf.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("m"))
+    packed = spread(vaf, "sample_id").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("m"))
     if memberships is None:
         packed = packed.withColumn("iters", F.array(F.lit(0)))
     else:
