@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embedgraph, langid, maxent, neardup, packing, sqltext, toxicity, urlmodel, warc
+from . import centroids, chat, decontam, embedgraph, exactdup, langid, maxent, neardup, packing, resampling, sqltext, toxicity, urlmodel, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "sentences")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_exactdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(_table(spark, sf_dir, "documents"), digest_all=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
@@ -85,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_resampling": op11_resampling,
+    "op12_centroids": op12_centroids,
+    "op13_exactdup": op13_exactdup,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,4 +107,6 @@ ORACLES: dict[str, str] = {
     "op2_warc": sqltext.ARCHIVE,
     "op3_minhash": sqltext.NEAR_DUPLICATES,
     "op5_decontamination": sqltext.CONTAMINATED,
+    "op12_centroids": sqltext.CENTROIDS,
+    "op13_exactdup": sqltext.EXACT_DUPLICATES,
 }

@@ -59,3 +59,27 @@ SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
   CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM p LEFT JOIN k ON k.html = p.html"""
+
+EXACT_DUPLICATES = r"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+r AS (SELECT doc_id, h, row_number() OVER w AS k, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM t
+  WINDOW w AS (PARTITION BY h ORDER BY points DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, h AS text_sha256 FROM r"""
+
+
+def centroids(rounds: int = 5) -> str:
+    """Clusters of whole vectors; c0, c1, ... are the centroids of each round."""
+    assign = """a{k} AS MATERIALIZED (SELECT r, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+  SELECT v.r, m.c, CAST(list_sum(list_transform(list_zip(v.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{k} m) GROUP BY r)"""
+    move = """c{n} AS MATERIALIZED (SELECT m.c, coalesce(f.v, m.v) AS v FROM c{k} m LEFT JOIN (SELECT c, list(q ORDER BY i) AS v FROM (
+    SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS q FROM (SELECT a{k}.c, i, CAST(sum(v.v[i]) AS BIGINT) AS s, count(*) AS n FROM a{k} JOIN v USING (r), range(1, 65) t(i) GROUP BY ALL)) GROUP BY c) f ON f.c = m.c)"""
+    steps = [x for k in range(rounds) for x in (assign.format(k=k), move.format(k=k, n=k + 1))] + [assign.format(k=rounds)]
+    return """WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT v, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40)),
+""" + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} m ON m.c = a.c"""
+
+
+CENTROIDS = centroids()
