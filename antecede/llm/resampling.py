@@ -1,8 +1,8 @@
 """Importance resampling towards a target distribution over hashed n-grams.
 
 (1) One pass over the texts makes a sparse matrix, documents by buckets: the counts of all runs of 1 to 3 words by the CRC-32
-of their bytes modulo BUCKETS. It is stored in CSR blocks, one row for about a megabyte of text: the documents' ids and numbers
-of words, where each one's entries end, the buckets as gaps and the counts. (2) Column sums of the blocks, one vector a task
+of their bytes modulo BUCKETS. It is stored in CSR blocks, one row for about BLOCK bytes of text: the documents' ids and numbers
+of words, where each one's entries end, the buckets as gaps and the counts as bytes (a larger count is several entries). (2) Column sums of the blocks, one vector a task
 combined by treeAggregate, give the distribution of the documents, and of the target likewise. (3) A bucket's gain is the scaled
 logarithm of the ratio; the product of the blocks with the gains gives the weights. (4) With a Gumbel term for each document,
 drawn by a hash of its id, the highest scores are a sample without replacement in proportion to the exponentials of the weights.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import operator
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,14 +35,15 @@ from . import common as C
 from .common import saved
 
 BUCKETS, SHARE, LEAST_WORDS, SEED = 10_000, 5, 20, 42
-#: Bytes of one text beyond which it is taken in pieces.
-PIECE = 1 << 22
+#: Bytes of text of a block; bytes of one text beyond which it is taken in pieces; bytes of a row group, so that readers hold few
+#: blocks at a time.
+BLOCK, PIECE, ROW_GROUP = 1 << 18, 1 << 22, 1 << 23
 #: Word lengths with a table of their own.
 SHORT = 64
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_BLOCK = "ids array<bigint>, words array<bigint>, ends binary, gaps binary, counts binary"
+_ROW = "ids array<bigint>, words array<bigint>, ends binary, gaps binary, counts binary"
 
 
 def _byte_table() -> np.ndarray:
@@ -155,7 +157,7 @@ def _counted(buckets: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = C.utf8(batch.column(1))
-            for lo, hi in C.chunks(offsets):
+            for lo, hi in C.chunks(offsets, BLOCK):
                 low = C._LOWER[data[offsets[lo] : offsets[hi]]]
                 if len(low) > piece and hi == lo + 1:
                     n, total = long_features(low, buckets, piece)
@@ -163,11 +165,16 @@ def _counted(buckets: int, piece: int):
                     count = total[bucket]
                 else:
                     n, text, bucket, count = features(low, offsets[lo : hi + 1] - offsets[lo], buckets)
+                several = np.maximum(-(-count // 255), 1)  # entries of a bucket
+                last = np.cumsum(several) - 1
+                text, bucket, rest = np.repeat(text, several), np.repeat(bucket, several), count - 255 * (several - 1)
+                count = np.full(len(text), 255)
+                count[last] = rest
                 gaps = bucket - np.r_[0, bucket[:-1]] * np.r_[False, text[1:] == text[:-1]][: len(text)]
                 ends = np.cumsum(np.bincount(text, minlength=hi - lo))
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays(
-                    [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(n.astype(np.int64))), *(pa.array([x.tobytes()], pa.binary()) for x in (ends.astype(np.int64), gaps.astype(np.uint16), count.astype(np.uint32)))],
+                    [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(n.astype(np.int64))), *(pa.array([x.tobytes()], pa.binary()) for x in (ends.astype(np.int64), gaps.astype(np.uint16), count.astype(np.uint8)))],
                     names=["ids", "words", "ends", "gaps", "counts"],
                 )
 
@@ -177,7 +184,9 @@ def _counted(buckets: int, piece: int):
 def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, piece: int = PIECE) -> DataFrame:
     """The stored CSR blocks of a table. buckets: at most 65,536."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return saved(rows.mapInArrow(_counted(buckets, piece), _BLOCK), "zstd")
+    path = f"{C.shared_dir(docs.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    rows.mapInArrow(_counted(buckets, piece), _ROW).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    return docs.sparkSession.read.schema(_ROW).parquet(path)
 
 
 def entries(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +196,7 @@ def entries(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins = np.r_[0, ends[:-1]]
     size = ends - begins
     before = np.where(begins > 0, total[np.maximum(begins, 1) - 1], 0) if len(total) else begins
-    return ends, total - np.repeat(before, size), np.frombuffer(block["counts"], np.uint32)
+    return ends, total - np.repeat(before, size), np.frombuffer(block["counts"], np.uint8)
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
