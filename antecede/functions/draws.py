@@ -2,50 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64 over uint64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def uniform(keys: np.ndarray, counter: int) -> np.ndarray:
-    """Doubles in (0, 1): the counter-th of each key's stream."""
-    with np.errstate(over="ignore"):
-        bits = mix(keys + np.uint64(counter) * np.uint64(0x9E3779B97F4A7C15))
-    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
-
-
-def normal(keys: np.ndarray, counter: int) -> np.ndarray:
-    return np.sqrt(-2 * np.log(uniform(keys, counter))) * np.cos(2 * np.pi * uniform(keys, counter + 1))
-
-
-def gamma(shape: np.ndarray, keys: np.ndarray, counter: int) -> np.ndarray:
-    """Gamma(shape >= 1, 1) by the squeeze-free rejection of a cubed normal; rejected entries go on in their own stream."""
-    d = shape - 1 / 3
-    c = 1 / np.sqrt(9 * d)
-    out, todo = np.zeros(len(shape)), np.arange(len(shape))
-    for turn in range(200):
-        k = keys[todo]
-        x = normal(k, counter + 3 * turn)
-        v = (1 + c[todo] * x) ** 3
-        u = uniform(k, counter + 3 * turn + 2)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            good = (v > 0) & (np.log(u) < 0.5 * x * x + d[todo] * (1 - v + np.log(np.where(v > 0, v, 1))))
-        out[todo[good]] = d[todo[good]] * v[good]
-        todo = todo[~good]
-        if not len(todo):
-            break
+def stream(*keys: int) -> np.random.Generator:
+    """The random numbers of a tuple of integers."""
+    return np.random.Generator(np.random.PCG64(np.random.SeedSequence([k & 0xFFFFFFFFFFFFFFFF for k in keys])))
+
+
+def beta(rng: np.random.Generator, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """rows x len(a) draws from Beta(a, b) for counts; (0, b) is 0, (a, 0) is 1, (0, 0) undefined."""
+    out = rng.beta(np.maximum(a, 1), np.maximum(b, 1), (rows, len(a)))
+    out[:, a == 0] = 0.0
+    out[:, b == 0] = 1.0
+    out[:, (a == 0) & (b == 0)] = np.nan
     return out
 
 
-def beta(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Beta(a, b) for counts; (0, b) is 0, (a, 0) is 1, (0, 0) undefined."""
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    x, y = gamma(np.maximum(a, 1), keys, 1), gamma(np.maximum(b, 1), mix(keys), 1)
-    out = x / (x + y)
-    out = np.where(a == 0, 0.0, np.where(b == 0, 1.0, out))
-    return np.where((a == 0) & (b == 0), np.nan, out)
+class Split:
+    """Bootstrap draws by halving: the draws of a round are dealt to the two halves of the buckets by a binomial in proportion to
+    their samples, each half's to its halves, and so on. Jointly the buckets' draws are multinomial, yet a bucket needs only
+    the counts: each node's draws come from the node's own stream, so every task finds the same ones.
+
+    counts: buckets (a power of two) x rounds, how many samples."""
+
+    def __init__(self, counts: np.ndarray, replicates: int, seed: int):
+        self.levels = [counts]
+        while len(self.levels[0]) > 1:
+            self.levels.insert(0, self.levels[0].reshape(len(self.levels[0]) // 2, 2, -1).sum(1))
+        self.replicates, self.seed, self.known = replicates, seed, {}
+
+    def draws(self, level: int, node: int, it: int) -> np.ndarray:
+        """Of each replicate, those of a node of a level."""
+        if level == 0:
+            return np.full(self.replicates, self.levels[0][0, it])
+        if (level, node, it) not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            above, left, right = self.draws(level - 1, node // 2, it), self.levels[level][node & ~1, it], self.levels[level][node | 1, it]
+            share = stream(self.seed, it, level, node // 2).binomial(above, left / max(left + right, 1))
+            self.known[level, node & ~1, it], self.known[level, node | 1, it] = share, above - share
+        return self.known[level, node, it]
+
+    def multiplicities(self, bucket: int, member: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each round: its number, the bucket's samples in it and their multiplicities (replicates x samples).
+        member: samples x rounds, in the order of the samples' names."""
+        last = len(self.levels) - 1
+        for it in np.flatnonzero(member.any(0)).tolist():
+            inside = np.flatnonzero(member[:, it])
+            many = self.draws(last, bucket, it)
+            picked = stream(self.seed, it, last + 1, bucket).integers(0, len(inside), many.sum())
+            owner = np.repeat(np.arange(self.replicates), many)
+            yield it, inside, np.bincount(owner * len(inside) + picked, minlength=self.replicates * len(inside)).reshape(self.replicates, -1)

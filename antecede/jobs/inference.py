@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antecede.operators import learn, order, probabilities, ranking, resample, shaping, survival
+from antecede.operators.rounds import Rounds, size_of
 from antecede.sources.tables import stored
 
 
@@ -20,8 +21,8 @@ class Result:
     ranking: DataFrame | None = None
 
 
-def _infer(pack: DataFrame, n: DataFrame, poset: DataFrame, regularization: tuple[str, ...], command: str, restarts: int) -> DataFrame:
-    profiles = learn.profiles(pack, n)
+def _infer(pack: DataFrame, names: list[str], n: DataFrame, poset: DataFrame, regularization: tuple[str, ...], command: str, restarts: int, count: int) -> DataFrame:
+    profiles = learn.bit_profiles(pack, names, n, count)
     if command == "hc":
         return learn.hill_climb(profiles, poset, n, regularization, restarts)
     if command == "tabu":
@@ -29,64 +30,92 @@ def _infer(pack: DataFrame, n: DataFrame, poset: DataFrame, regularization: tupl
     raise ValueError(command)
 
 
-def _iters(n: DataFrame) -> DataFrame:
-    return n.select("iter")
+def _names(genes: DataFrame) -> list[str]:
+    return sorted({r[0] for r in genes.select("gene_id").collect()})  # a row for each gene
 
 
-def ccf_inference(ccf: DataFrame, samples: DataFrame, genes: DataFrame, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, arc_mode: str = "tiers", memberships: DataFrame | None = None) -> Result:
-    """P1."""
-    ccf = shaping.keep_genes(ccf, genes, "gene_id")
-    pack, n = stored(probabilities.packed(ccf, memberships)), stored(probabilities.sample_counts(samples, memberships))
-    arcs = order.arcs(ccf, arc_mode, memberships)
-    poset = ranking.single_poset(arcs, genes, _iters(n))
-    poset = _raised(poset, pack, genes, n)
-    return Result(poset, _infer(pack, n, poset, regularization, command, restarts))
-
-
-def _raised(poset: DataFrame, pack: DataFrame, genes: DataFrame, n: DataFrame) -> DataFrame:
-    pairs = stored(probabilities.pair_counts(pack))  # genes ** 2 rows for each round, read by both tables
-    return stored(ranking.probability_raising(poset, probabilities.p_model_ccf(pack, genes, n, pairs), probabilities.p_null(pack, genes, n, pairs)))
+def _observed(dataset: DataFrame, genes: DataFrame, rounds: Rounds | None) -> DataFrame:
+    """The packed table of a binary dataset (sample_id, gene_id)."""
+    seen = shaping.keep_genes(dataset, genes, "gene_id").select("sample_id", "gene_id").distinct().withColumn("ccf", F.lit(1.0))
+    return stored(probabilities.packed(seen, rounds))
 
 
-def ccf_resampling(ccf: DataFrame, vaf: DataFrame, samples: DataFrame, genes: DataFrame, nsampling: int = 100, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, seed: int = 1, arc_mode: str = "tiers", memberships: DataFrame | None = None) -> Result:
-    """P2."""
-    ccf = shaping.keep_genes(ccf, genes, "gene_id")
+@dataclass
+class _Tables:
+    """What a CCF job reads several times: mutations with a ccf, the packed ccfs, the packed dataset, sample counts and pairs."""
+
+    ccf: DataFrame
+    pack: DataFrame
+    seen: DataFrame
+    n: DataFrame
+    names: list[str]
+    genes: DataFrame
+    rounds: Rounds | None
+
+    @classmethod
+    def of(cls, ccf: DataFrame, samples: DataFrame, genes: DataFrame, dataset: DataFrame | None, rounds: Rounds | None) -> _Tables:
+        ccf = shaping.keep_genes(ccf, genes, "gene_id")
+        pack = stored(probabilities.packed(ccf, rounds))
+        seen = pack if dataset is None else _observed(dataset, genes, rounds)
+        return cls(ccf, pack, seen, stored(probabilities.sample_counts(samples, rounds)), _names(genes), genes, rounds)
+
+    def raised(self, poset: DataFrame) -> DataFrame:
+        """Precedence from the ccfs, the null model from the dataset."""
+        count = size_of(self.rounds)
+        pairs = stored(probabilities.pair_counts(self.pack, count))  # genes ** 2 rows for each round
+        theirs = pairs if self.seen is self.pack else stored(probabilities.pair_counts(self.seen, count))
+        p_model = probabilities.p_model_ccf(self.pack, self.genes, self.n, pairs, count)
+        return stored(ranking.probability_raising(poset, p_model, probabilities.p_null(self.seen, self.genes, self.n, theirs, count)))
+
+    def infer(self, poset: DataFrame, regularization: tuple[str, ...], command: str, restarts: int) -> DataFrame:
+        return _infer(self.seen, self.names, self.n, poset, regularization, command, restarts, size_of(self.rounds))
+
+
+def ccf_inference(ccf: DataFrame, samples: DataFrame, genes: DataFrame, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, arc_mode: str = "tiers", dataset: DataFrame | None = None, rounds: Rounds | None = None) -> Result:
+    """P1. dataset: (sample_id, gene_id) mutations observed, from which the null model and the parents come; by default those
+    with a ccf."""
+    t = _Tables.of(ccf, samples, genes, dataset, rounds)
+    poset = ranking.single_poset(order.arcs(t.ccf, arc_mode, rounds), genes, t.n.select("iter"))
+    poset = t.raised(poset)
+    return Result(poset, t.infer(poset, regularization, command, restarts))
+
+
+def ccf_resampling(ccf: DataFrame, vaf: DataFrame, samples: DataFrame, genes: DataFrame, nsampling: int = 100, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, seed: int = 1, arc_mode: str = "tiers", dataset: DataFrame | None = None, rounds: Rounds | None = None) -> Result:
+    """P2. dataset: as in ccf_inference()."""
+    t = _Tables.of(ccf, samples, genes, dataset, rounds)
     vaf = shaping.keep_genes(shaping.latest_rows(vaf), genes, "gene_id")
-    pack, n = stored(probabilities.packed(ccf, memberships)), stored(probabilities.sample_counts(samples, memberships))
-    arcs = resample.replicate_arcs(vaf, nsampling, seed, memberships, arc_mode)
-    ranks = stored(ranking.mean_ranks(ranking.minimum_agony(arcs), genes, _iters(n)))
-    poset = _raised(ranking.poset(ranks), pack, genes, n)
-    return Result(poset, _infer(pack, n, poset, regularization, command, restarts), ranks)
+    blocks = stored(resample.replicate_blocks(vaf, t.names, nsampling, seed, rounds, arc_mode))
+    ranks = stored(ranking.mean_ranks(ranking.minimum_agony_blocks(blocks, t.names), genes, t.n.select("iter")))
+    poset = t.raised(ranking.poset(ranks))
+    return Result(poset, t.infer(poset, regularization, command, restarts), ranks)
 
 
-def tree_inference(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samples: DataFrame, genes: DataFrame, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, memberships: DataFrame | None = None) -> Result:
+def tree_inference(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samples: DataFrame, genes: DataFrame, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, rounds: Rounds | None = None) -> Result:
     """P3. dataset: (sample_id, gene_id) mutations observed."""
-    return _trees(dataset, nodes, edges, samples, genes, 0, regularization, command, restarts, 1, memberships)
+    return _trees(dataset, nodes, edges, samples, genes, 0, regularization, command, restarts, 1, rounds)
 
 
-def tree_bootstrap(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samples: DataFrame, genes: DataFrame, nsampling: int = 100, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, seed: int = 1, memberships: DataFrame | None = None) -> Result:
-    """P4. The trees of `samples` are drawn with replacement, as multiplicities that meet the edges once."""
-    return _trees(dataset, nodes, edges, samples, genes, nsampling, regularization, command, restarts, seed, memberships)
+def tree_bootstrap(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samples: DataFrame, genes: DataFrame, nsampling: int = 100, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, seed: int = 1, rounds: Rounds | None = None) -> Result:
+    """P4. As many trees as there are (samples with a node) are drawn with replacement in each replicate."""
+    return _trees(dataset, nodes, edges, samples, genes, nsampling, regularization, command, restarts, seed, rounds)
 
 
-def _trees(dataset, nodes, edges, samples, genes, nsampling, regularization, command, restarts, seed, memberships) -> Result:
+def _trees(dataset, nodes, edges, samples, genes, nsampling, regularization, command, restarts, seed, rounds) -> Result:
+    trees = shaping.keep_samples(nodes.select("sample_id"), samples)  # a tree whose genes are all unknown is drawn too
     nodes, edges = shaping.keep_genes(nodes, genes, "gene_id"), shaping.keep_genes(edges, genes, "parent", "child")
-    seen = shaping.keep_genes(dataset, genes, "gene_id").select("sample_id", "gene_id").distinct().withColumn("ccf", F.lit(1.0))
-    pack, n = stored(probabilities.packed(seen, memberships)), stored(probabilities.sample_counts(samples, memberships))
-    p_model = probabilities.p_model_trees(nodes, edges, genes, n, memberships)
-    p_null = probabilities.p_null(pack, genes, n)
+    seen, n, names, count = _observed(dataset, genes, rounds), stored(probabilities.sample_counts(samples, rounds)), _names(genes), size_of(rounds)
+    p_model = probabilities.p_model_trees(nodes, edges, genes, n, rounds)
+    p_null = probabilities.p_null(seen, genes, n, stored(probabilities.pair_counts(seen, count)), count)
     ranks = None
     if nsampling:
-        drawn = resample.bootstrap(samples, nsampling, seed, memberships)
-        arcs = drawn.join(edges, "sample_id").select("iter", "rep", "parent", "child", F.col("multiplicity").alias("weight"))
-        ranks = stored(ranking.mean_ranks(ranking.minimum_agony(order.weighed(arcs)), genes, _iters(n)))
+        blocks = stored(resample.bootstrap_blocks(trees, edges, names, nsampling, seed, rounds))
+        ranks = stored(ranking.mean_ranks(ranking.minimum_agony_blocks(blocks, names), genes, n.select("iter")))
         poset = ranking.poset(ranks)
     else:
-        rounds = edges.withColumn("iter", F.lit(0)) if memberships is None else edges.join(memberships.select("iter", "sample_id"), "sample_id")
-        arcs = order.weighed(rounds.select("iter", "parent", "child", F.lit(1).cast("long").alias("weight")))
-        poset = ranking.single_poset(arcs, genes, _iters(n))
+        arcs = order.by_round(edges.select("sample_id", "parent", "child", F.lit(1).cast("long").alias("weight")), rounds)
+        poset = ranking.single_poset(arcs, genes, n.select("iter"))
     poset = stored(ranking.probability_raising(poset, p_model, p_null))
-    return Result(poset, _infer(pack, n, poset, regularization, command, restarts), ranks)
+    return Result(poset, _infer(seen, names, n, poset, regularization, command, restarts, count), ranks)
 
 
 @dataclass
@@ -103,20 +132,24 @@ def _confidence(result: Result, niterations: int) -> Confidence:
     return Confidence(resample.frequencies(result.poset, niterations), resample.frequencies(result.inference, niterations), mean)
 
 
-def ccf_confidence(ccf: DataFrame, samples: DataFrame, genes: DataFrame, vaf: DataFrame | None = None, niterations: int = 100, nsampling: int = 100, regularization=("aic", "bic"), restarts: int = 10, seed: int = 1) -> Confidence:
-    """P5: 80 % of the samples in each iteration; without a VAF table (F6) no replicates are drawn."""
+def _rounds(samples: DataFrame, niterations: int, seed: int) -> Rounds:
+    held = resample.subsamples(samples, niterations, 0.8, seed)
+    return Rounds(stored(held.members), held.count)
+
+
+def ccf_confidence(ccf: DataFrame, samples: DataFrame, genes: DataFrame, vaf: DataFrame | None = None, niterations: int = 100, nsampling: int = 100, regularization=("aic", "bic"), restarts: int = 10, seed: int = 1, dataset: DataFrame | None = None) -> Confidence:
+    """P5: 80 % of the samples in each iteration; without a VAF table (F6) no replicates are drawn. dataset: as in ccf_inference()."""
     niterations = max(1, niterations)
-    rounds = stored(resample.subsamples(samples, niterations, 0.8, seed))
+    rounds = _rounds(samples, niterations, seed)
     if vaf is None or not nsampling:
-        return _confidence(ccf_inference(ccf, samples, genes, regularization, "hc", restarts, memberships=rounds), niterations)
-    return _confidence(ccf_resampling(ccf, vaf, samples, genes, nsampling, regularization, "hc", restarts, seed, memberships=rounds), niterations)
+        return _confidence(ccf_inference(ccf, samples, genes, regularization, "hc", restarts, dataset=dataset, rounds=rounds), niterations)
+    return _confidence(ccf_resampling(ccf, vaf, samples, genes, nsampling, regularization, "hc", restarts, seed, dataset=dataset, rounds=rounds), niterations)
 
 
 def tree_confidence(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samples: DataFrame, genes: DataFrame, niterations: int = 100, nsampling: int = 100, regularization=("aic", "bic"), restarts: int = 10, seed: int = 1) -> Confidence:
     """P6."""
     niterations = max(1, niterations)
-    rounds = stored(resample.subsamples(samples, niterations, 0.8, seed))
-    return _confidence(_trees(dataset, nodes, edges, samples, genes, nsampling, regularization, "hc", restarts, seed, rounds), niterations)
+    return _confidence(_trees(dataset, nodes, edges, samples, genes, nsampling, regularization, "hc", restarts, seed, _rounds(samples, niterations, seed)), niterations)
 
 
 def rank_arcs(arcs: DataFrame) -> DataFrame:

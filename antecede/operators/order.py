@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from antecede.operators.rounds import Rounds, joined, unrolled, vectors
+
 KEYS = ["iter", "rep"]
 
 
@@ -39,14 +41,18 @@ def sample_arcs(ccf: DataFrame, mode: str = "tiers") -> DataFrame:
     return sizes.select("sample_id", F.element_at("genes", F.col("j")).alias("parent"), F.element_at("genes", F.col("j") + 1).alias("child"), (many(F.col("j")) * many(F.col("j") + 1)).cast("long").alias("weight"))
 
 
-def arcs(ccf: DataFrame, mode: str = "tiers", memberships: DataFrame | None = None) -> DataFrame:
-    """Weighted arcs (parent, child, weight); with memberships (iter, sample_id), for each iter. A sample is put in
-    order once; its rounds meet its arcs last, where they are summed on the map side."""
-    pairs = sample_arcs(ccf, mode)
-    if memberships is None:
+def arcs(ccf: DataFrame, mode: str = "tiers", rounds: Rounds | None = None) -> DataFrame:
+    """Weighted arcs (parent, child, weight); with rounds, for each iter. A sample is put in order once; its arcs are
+    summed for all its rounds at once, on the map side."""
+    return by_round(sample_arcs(ccf, mode), rounds)
+
+
+def by_round(pairs: DataFrame, rounds: Rounds | None) -> DataFrame:
+    """Arcs of samples (sample_id, parent, child, weight) summed; with rounds, for each iter."""
+    if rounds is None:
         return weighed(pairs.drop("sample_id"))
-    rounds = memberships.groupBy("sample_id").agg(F.collect_set("iter").alias("iters"))
-    return weighed(pairs.join(rounds, "sample_id").select(F.explode("iters").alias("iter"), "parent", "child", "weight"))
+    pairs = joined(pairs.where("parent <> child"), rounds)
+    return unrolled(vectors(pairs, ["parent", "child"], rounds.count, F.col("weight")), "weight")
 
 
 def tree_arcs(edges: DataFrame, genes: DataFrame) -> DataFrame:

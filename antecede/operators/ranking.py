@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions import agony
+from antecede.functions.tally import WIDTH
 from antecede.sources.tables import spread, stored
 
 KEYS = ["iter", "rep"]
@@ -31,6 +33,26 @@ def minimum_agony(arcs: DataFrame) -> DataFrame:
     return spread(arcs, *KEYS).groupBy(*KEYS).applyInPandas(_rank, "iter int, rep int, gene_id string, rank int, agony long, circulation long")
 
 
+def minimum_agony_blocks(blocks: DataFrame, names: list[str]) -> DataFrame:
+    """E1, E3 for replicates in blocks (iter, block, parent, child, weights; parent and child are places in names): as
+    minimum_agony(). A group is WIDTH graphs on the same arcs, each solved from the one before."""
+
+    def rank(key: tuple, arcs: pd.DataFrame) -> pd.DataFrame:
+        used, ends = np.unique(np.concatenate([arcs.parent, arcs.child]), return_inverse=True)
+        u, v = np.split(ends, 2)
+        weights = np.stack(arcs.weights.to_numpy()).astype(np.int64)
+        ranks, score, flow = agony.solve_all(len(used), u, v, weights)
+        seen = np.zeros((WIDTH, len(used)), bool)  # genes that have an arc in the replicate
+        row, rep = np.nonzero(weights)
+        seen[rep, u[row]] = seen[rep, v[row]] = True
+        rep, at = np.nonzero(seen)
+        labels = np.array(names, object)[used[at]]
+        return pd.DataFrame({"iter": key[0], "rep": key[1] * WIDTH + rep, "gene_id": labels, "rank": ranks[rep, at], "agony": score[rep], "circulation": flow[rep]})
+
+    keys = ["iter", "block"]
+    return spread(blocks, *keys).groupBy(*keys).applyInPandas(rank, "iter int, rep int, gene_id string, rank int, agony long, circulation long")
+
+
 def dag_ranks(arcs: DataFrame) -> DataFrame:
     """E3 for arcs without cycles, as DataFrame rounds: rank = longest path from a root. A cycle is reported as an error."""
     arcs = stored(with_keys(arcs).select(*KEYS, "parent", "child").distinct())

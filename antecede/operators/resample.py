@@ -1,148 +1,243 @@
-"""Resampling and cross-validation as key columns."""
+"""Resampling and cross-validation as key columns.
+
+Replicates live in two ways only: as sums inside a task, and as rows (iter, block, parent, child, weights) that hold
+the weights of an arc in WIDTH replicates of a round. No draw is a row and none is joined.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions import draws
-from antecede.sources.tables import spread
+from antecede.functions.tally import WIDTH, Tally, ordered_arcs
+from antecede.operators.rounds import Rounds, added, joined, size_of, vectors, words_for
+from antecede.sources.tables import spread, stored
+
+#: Drawn mutations that a task holds at a time, about; trees of a bucket, about, and counts of (bucket, round) at most.
+CHUNK, BUCKET, MAX_COUNTS = 1 << 19, 256, 1 << 22
+_BLOCKS = "iter int, block int, parent int, child int, weights array<bigint>"
+
+
+def bits(words: pd.Series, count: int) -> np.ndarray:
+    """Rows x count booleans of the column rounds."""
+    packed = np.stack(words.to_numpy()).astype("<i8").view(np.uint8)
+    return np.unpackbits(packed, axis=1, bitorder="little")[:, :count].astype(bool)
 
-#: Drawn mutations that a task holds at a time, about.
-CHUNK = 1 << 18
 
+def _given(tally: Tally) -> Iterator[pd.DataFrame]:
+    for part in tally.rows():
+        yield pd.DataFrame(part | {"weights": list(part["weights"])}).astype({c: np.int32 for c in ("iter", "block", "parent", "child")})
 
-def replicate_arcs(vaf: DataFrame, nsampling: int, seed: int, memberships: DataFrame | None = None, mode: str = "tiers") -> DataFrame:
-    """F1 with B2, B3, D1, D2, D4: weighted arcs (iter, rep, parent, child, weight) of every replicate.
 
-    A sample's mutations are one row; each replicate draws its vafs from Beta(alt, ref), clamps, orders and emits arcs in the
-    same map task, about CHUNK mutations at a time, so replicated mutations never move and a task holds one batch and one
-    chunk. The samples are few bytes and much work, so they are dealt out before they are packed. vaf: one row for each
-    (sample, gene).
+def replicate_blocks(vaf: DataFrame, names: list[str], nsampling: int, seed: int, rounds: Rounds | None = None, mode: str = "tiers") -> DataFrame:
+    """F1 with B2, B3, D1, D2, D4: iter, block, parent, child (places in names), weights of each replicate.
+
+    A sample's mutations are one row and have one stream of draws, in the order of its rounds. Samples of equal numbers of
+    mutations are drawn, clamped and put in order side by side, about CHUNK mutations at a time, and their arcs are
+    summed in the task; those of one mutation have no arc and draw nothing. vaf: one row for each (sample, gene).
     """
+    at = {g: k for k, g in enumerate(names)}
+    count, genes = size_of(rounds), len(names)
     cols = ["gene_id", "alt_count", "ref_count", "copy_number", "normal_ploidy"]
     packed = spread(vaf, "sample_id").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("m"))
-    if memberships is None:
-        packed = packed.withColumn("iters", F.array(F.lit(0)))
-    else:
-        packed = packed.join(memberships.groupBy("sample_id").agg(F.sort_array(F.collect_list("iter")).alias("iters")), "sample_id")
-    rows = packed.select(F.xxhash64("sample_id", F.lit(seed)).alias("key"), "iters", *[F.col(f"m.{c}").alias(c) for c in cols])
+    rows = joined(packed.where(F.size("m") > 1), rounds)
+    rows = rows.select(F.xxhash64("sample_id").alias("key"), "rounds", *[F.col(f"m.{c}").alias(c) for c in cols])
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = Tally(count, nsampling, genes)
         for batch in batches:
-            size = batch.gene_id.str.len().to_numpy()
-            if not len(batch) or not size.sum():
+            if not len(batch):
                 continue
-            flat = {c: np.concatenate(batch[c].to_numpy()) for c in cols}
-            names, gene = np.unique(flat["gene_id"].astype(str), return_inverse=True)
-            g = len(names)
-            owner = np.repeat(np.arange(len(batch)), size)
-            own = batch.key.to_numpy(np.int64).view(np.uint64)[owner]
-            with np.errstate(over="ignore"):
-                own = draws.mix(own + gene_keys(names)[gene])
-            rounds = batch.iters.str.len().to_numpy()
-            its, member = np.concatenate(batch.iters.to_numpy()).astype(np.int64), np.repeat(np.arange(len(batch)), rounds)
-            for it in np.unique(its):
-                inside = np.zeros(len(batch), bool)
-                inside[member[its == it]] = True
-                place = np.flatnonzero(inside[owner])
-                most = max(1, CHUNK // max(1, len(place)))  # replicates drawn at a time
-                for lo in range(0, nsampling, most):
-                    reps = np.arange(lo, min(lo + most, nsampling))
-                    at, rep = np.tile(place, len(reps)), np.repeat(reps, len(place))
-                    with np.errstate(over="ignore"):
-                        keys = draws.mix(own[at] + np.uint64(it) * np.uint64(0x9E3779B97F4A7C15) + rep.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-                    value = draws.beta(flat["alt_count"][at], flat["ref_count"][at], keys)
-                    copies = flat["normal_ploidy"][at] + (flat["copy_number"][at] - flat["normal_ploidy"][at])
-                    p, c, w, of = ordered_arcs(rep * len(batch) + owner[at], gene[at], np.clip(copies * value, 0, 1), mode)
-                    code, back = np.unique((of // len(batch) * g + p) * g + c, return_inverse=True)
-                    weight = np.bincount(back, w, len(code)).astype(np.int64)
-                    yield pd.DataFrame({"iter": np.int32(it), "rep": (code // g**2).astype(np.int32), "parent": names[code // g % g], "child": names[code % g], "weight": weight})
-
-    counted = rows.mapInPandas(draw, "iter int, rep int, parent string, child string, weight long")
-    return counted.where("parent <> child").groupBy("iter", "rep", "parent", "child").agg(F.sum("weight").alias("weight"))
-
-
-def gene_keys(names: np.ndarray) -> np.ndarray:
-    """A key for each label that depends on the label alone."""
-    out = np.zeros(len(names), np.uint64)
-    with np.errstate(over="ignore"):
-        for k, name in enumerate(names):
-            h = np.uint64(len(name))
-            for byte in str(name).encode():
-                h = h * np.uint64(0x100000001B3) + np.uint64(byte)
-            out[k] = h
-        return draws.mix(out)
-
-
-def ordered_arcs(sample: np.ndarray, gene: np.ndarray, ccf: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """D1 and D2 over many samples at once: parents, children, weights and the sample of each arc."""
-    seen = ccf > 0  # undefined compares false
-    sample, gene, ccf = sample[seen], gene[seen], ccf[seen]
-    order = np.lexsort((gene, -ccf, sample))
-    sample, gene, ccf = sample[order], gene[order], ccf[order]
-    if not len(sample):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    start = np.r_[True, sample[1:] != sample[:-1]]
-    tier = np.cumsum(start | np.r_[True, ccf[1:] != ccf[:-1]]) - 1  # numbered through all samples
-    size = np.bincount(tier)
-    head = np.r_[0, np.cumsum(size)[:-1]]
-    owner = sample[head]
-    follows = np.flatnonzero(owner[1:] == owner[:-1])  # tiers with a next one in the sample
-    if mode == "tiers":
-        many = size[follows] * size[follows + 1]
-        t = np.repeat(follows, many)
-        nth = np.arange(many.sum()) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-        p, c = head[t] + nth // size[t + 1], head[t + 1] + nth % size[t + 1]
-        return gene[p], gene[c], np.ones(len(p), np.int64), sample[p]
-    first_row = np.maximum.accumulate(np.where(start, np.arange(len(sample)), 0))
-    first_tier = tier[first_row]
-    j = follows - first_tier[head[follows]]  # the tier's number in its sample is the position taken
-    p = first_row[head[follows]] + j
-    return gene[p], gene[p + 1], size[follows] * size[follows + 1], owner[follows]
-
-
-def subsamples(samples: DataFrame, niterations: int, share: float = 0.8, seed: int = 1) -> DataFrame:
-    """(iter, sample_id), round(share * n) samples without replacement in each iteration, by the least hash."""
+            member, size = bits(batch["rounds"], count), batch.gene_id.str.len().to_numpy()
+            keys, labels, numbers = batch.key.to_numpy(), batch.gene_id.to_numpy(), [batch[c].to_numpy() for c in cols[1:]]
+            for k in np.unique(size).tolist():
+                cells, values, owners, held = [], [], [], 0
+                place = np.full((len(batch), k), -1)
+
+                def settle() -> None:
+                    cell, owner, value = np.concatenate(cells), np.concatenate(owners), np.concatenate(values)
+                    for row, parent, child, weight in ordered_arcs(place[owner], value, mode):
+                        tally.add(cell[row], parent, child, weight)
+                    for x in (cells, values, owners):
+                        x.clear()
+
+                for i in np.flatnonzero(size == k).tolist():
+                    known = np.array([at.get(g, -1) for g in labels[i]])
+                    order = np.argsort(known, kind="stable")
+                    place[i] = known[order]
+                    a, b, copies, ploidy = (np.asarray(x[i], float)[order] for x in numbers)
+                    rng, its = draws.stream(seed, int(keys[i])), np.flatnonzero(member[i])
+                    most = max(1, CHUNK // (k * nsampling))
+                    for lo in range(0, len(its), most):
+                        now = its[lo : lo + most]
+                        cell = (now[:, None] * nsampling + np.arange(nsampling)).reshape(-1)
+                        value = np.clip((ploidy + (copies - ploidy)) * draws.beta(rng, a, b, len(cell)), 0, 1)
+                        value[:, place[i] < 0] = 0.0  # genes that are not asked for
+                        cells.append(cell)
+                        values.append(value)
+                        owners.append(np.full(len(cell), i))
+                        held += value.size
+                        if held >= CHUNK:
+                            settle()
+                            held = 0
+                if held:
+                    settle()
+            if tally.full():
+                yield from _given(tally)
+        yield from _given(tally)
+
+    return _summed(rows.mapInPandas(draw, _BLOCKS))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """What the tasks counted, added up; loops dropped."""
+    return added(parts.where("parent <> child"), ["iter", "block", "parent", "child"], WIDTH, "weights")
+
+
+def by_replicate(blocks: DataFrame, names: list[str]) -> DataFrame:
+    """Blocks as weighted arcs: iter, rep, parent, child, weight."""
+    label = lambda c: F.element_at(F.from_json(F.lit(json.dumps(names)), "array<string>"), F.col(c) + 1)
+    rows = blocks.select("iter", "block", label("parent").alias("parent"), label("child").alias("child"), F.posexplode("weights").alias("k", "weight"))
+    return rows.where("weight > 0").select("iter", (F.col("block") * WIDTH + F.col("k")).alias("rep"), "parent", "child", "weight")
+
+
+def replicate_arcs(vaf: DataFrame, nsampling: int, seed: int, rounds: Rounds | None = None, mode: str = "tiers") -> DataFrame:
+    """replicate_blocks() as weighted arcs (iter, rep, parent, child, weight)."""
+    names = sorted(r[0] for r in vaf.select("gene_id").distinct().collect())  # a row for each gene
+    return by_replicate(replicate_blocks(vaf, names, nsampling, seed, rounds, mode), names)
+
+
+def _hash(seed: int, it: Column) -> Column:
+    """60 bits of (seed, iter, sample_id)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), it.cast("string"), F.col("sample_id"))), 1, 15), 16, 10).cast("long")
+
+
+def subsamples(samples: DataFrame, niterations: int, share: float = 0.8, seed: int = 1) -> Rounds:
+    """round(share * n) samples without replacement in each round: those of least hash, equal ones by sample_id.
+
+    As hashes are spread evenly, the last hash taken lies close to share of their range: one pass counts those below a window of
+    about 12 standard deviations and keeps those inside, some 5 * sqrt(n) for each round; the cut is picked from these. A
+    window that misses it is widened, up to all hashes. A sample then compares its hashes with the cuts."""
     n = samples.count()
     size = round(share * n)  # halves to even
-    rows = samples.select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(niterations - 1))).alias("iter"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "iter", "sample_id"))
-    # the cut is bracketed by counting the hashes' leading bits; only the border bucket of an iteration is put in order
-    bits = max(0, min(16, int(np.log2(max(n, 1) / 64)))) if n > 64 else 0
-    rows = rows.withColumn("b", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
-    counts = rows.groupBy("iter", "b").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy("iter").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size)
-    rows = rows.join(F.broadcast(counts), ["iter", "b"])  # at most 2 ** 16 rows for each iteration
-    place = F.row_number().over(Window.partitionBy("iter", "b").orderBy("h", "sample_id"))
-    border = rows.where(F.col("before") + F.col("c") > size).withColumn("place", place).where(F.col("before") + F.col("place") <= size)
-    return rows.where(F.col("before") + F.col("c") <= size).select("iter", "sample_id").union(border.select("iter", "sample_id"))
-
-
-def bootstrap(samples: DataFrame, nsampling: int, seed: int = 1, memberships: DataFrame | None = None) -> DataFrame:
-    """(iter, rep, sample_id, multiplicity): per replicate, as many draws with replacement as there are samples.
-
-    A sample's number in its iteration comes from per-bucket counts; a draw is a hash modulo n, reduced to multiplicities
-    before it meets the sample's name."""
-    rows = samples.select(F.lit(0).alias("iter"), "sample_id") if memberships is None else memberships.select("iter", "sample_id")
-    bucket = F.pmod(F.xxhash64("sample_id"), F.lit(256))
-    rows = rows.withColumn("b", bucket)
-    counts = rows.groupBy("iter", "b").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy("iter").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("iter", "b").orderBy("sample_id"))
-    numbered = rows.withColumn("place", place).join(F.broadcast(counts), ["iter", "b"]).select("iter", "sample_id", (F.col("before") + F.col("place") - 1).alias("number"))
-    n = counts.groupBy("iter").agg(F.sum("c").alias("n"))
-    drawn = numbered.join(F.broadcast(n), "iter").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(nsampling - 1))))
-    drawn = drawn.select("iter", "rep", F.pmod(F.xxhash64(F.lit(seed), "iter", "rep", "number"), "n").alias("number"))
-    drawn = drawn.groupBy("iter", "rep", "number").agg(F.count("*").alias("multiplicity"))
-    return drawn.join(numbered, ["iter", "number"]).select("iter", "rep", "sample_id", "multiplicity")
+    top, wide = 1 << 60, 6 * (share * (1 - share) / max(n, 1)) ** 0.5 + 4 / max(n, 1)
+    cuts: list[tuple[int, str]] = [(-1, "")] * niterations
+    left = list(range(niterations)) if size else []
+    while left:
+        low, high = int(max(0.0, share - wide) * top), min(top, int((share + wide) * top) + 1)
+        rows = samples.select("sample_id", F.explode(F.from_json(F.lit(json.dumps(left)), "array<int>")).alias("iter")).withColumn("h", _hash(seed, F.col("iter")))
+        inside = F.collect_list(F.when((F.col("h") >= low) & (F.col("h") <= high), F.struct("h", "sample_id")))
+        found = rows.groupBy("iter").agg(F.count_if(F.col("h") < low).alias("below"), F.sort_array(inside).alias("near"))
+        at = F.lit(size) - F.col("below")
+        found = found.select("iter", F.when((at >= 1) & (at <= F.size("near")), F.get("near", (at - 1).cast("int"))).alias("cut")).collect()  # a row for each round
+        for r in found:
+            if r.cut is not None:
+                cuts[r.iter] = (r.cut.h, r.cut.sample_id)
+        left, wide = [r.iter for r in found if r.cut is None], wide * 8
+    cut_h, cut_id = (F.from_json(F.lit(json.dumps([c[k] for c in cuts])), f"array<{kind}>") for k, kind in ((0, "bigint"), (1, "string")))
+
+    def word(w: int) -> Column:
+        def taken(acc: Column, k: Column) -> Column:
+            h = _hash(seed, k)
+            inside = (h < F.get(cut_h, k)) | ((h == F.get(cut_h, k)) & (F.col("sample_id") <= F.get(cut_id, k)))
+            return acc.bitwiseOR(F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), k % 64)).otherwise(F.lit(0).cast("long")))
+
+        return F.aggregate(F.sequence(F.lit(64 * w), F.lit(min(64 * w + 63, niterations - 1))), F.lit(0).cast("long"), taken)
+
+    members = samples.select("sample_id", F.array(*[word(w) for w in range(words_for(niterations))]).alias("rounds"))
+    return Rounds(members.where(F.exists("rounds", lambda w: w != 0)), niterations)
+
+
+def memberships(rounds: Rounds) -> DataFrame:
+    """(iter, sample_id) of all rounds, for reports."""
+    rows = rounds.members.select("sample_id", F.posexplode("rounds").alias("w", "bits"))
+    rows = rows.select("sample_id", "w", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).where(F.getbit("bits", F.col("k")) == 1)
+    return rows.select((F.col("w") * 64 + F.col("k")).alias("iter"), "sample_id")
+
+
+def _in_buckets(rows: DataFrame, rounds: Rounds | None, nsampling: int, seed: int, columns: list[str]) -> tuple[DataFrame, draws.Split]:
+    """rows (one for each sample, with rounds) dealt out by bucket and sorted by sample, and the draws of the buckets."""
+    count, rows = size_of(rounds), stored(rows)
+    n = rows.count()
+    buckets = 1 << max(0, min(n // BUCKET, MAX_COUNTS // count)).bit_length()
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("sample_id"), F.lit(buckets)).cast("int"))
+    counts = np.zeros((buckets, count), np.int64)
+    for r in vectors(placed, ["bucket"], count).collect():  # at most 2 * MAX_COUNTS numbers
+        counts[r.bucket] = r.counts
+    dealt = spread(placed, "bucket").sortWithinPartitions("bucket", "sample_id").select("bucket", "sample_id", "rounds", *columns)
+    return dealt, draws.Split(counts, nsampling, seed)
+
+
+def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one bucket at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        for bucket, part in batch.groupby("bucket", sort=False):
+            if held and held[0].bucket.iat[0] != bucket:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def bootstrap(samples: DataFrame, nsampling: int, seed: int = 1, rounds: Rounds | None = None) -> DataFrame:
+    """(iter, rep, sample_id, multiplicity): per replicate, as many draws with replacement as there are samples in the round."""
+    count = size_of(rounds)
+    rows, split = _in_buckets(joined(samples.select("sample_id"), rounds), rounds, nsampling, seed, [])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _by_bucket(batches):
+            names = part.sample_id.to_numpy()
+            for it, inside, many in split.multiplicities(int(part.bucket.iat[0]), bits(part["rounds"], count)):
+                rep, at = np.nonzero(many)
+                yield pd.DataFrame({"iter": np.int32(it), "rep": rep.astype(np.int32), "sample_id": names[inside[at]], "multiplicity": many[rep, at]})
+
+    return rows.mapInPandas(draw, "iter int, rep int, sample_id string, multiplicity long")
+
+
+def bootstrap_blocks(nodes: DataFrame, edges: DataFrame, names: list[str], nsampling: int, seed: int = 1, rounds: Rounds | None = None) -> DataFrame:
+    """F2 with D3, D4: iter, block, parent, child (places in names), weights: the arcs of as many trees as the round has, drawn with
+    replacement, in each replicate. A tree is a sample with a node.
+
+    The draws of a round are split over buckets of trees by their counts, then dealt to the trees in the task that holds the
+    bucket's edges (draws.Split), where the arcs are summed: no draw is a row."""
+    at = {g: k for k, g in enumerate(names)}
+    count, genes = size_of(rounds), len(names)
+    arcs = edges.groupBy("sample_id").agg(F.collect_list("parent").alias("parents"), F.collect_list("child").alias("children"))
+    trees = joined(nodes.select("sample_id").distinct().join(arcs, "sample_id", "left"), rounds)
+    rows, split = _in_buckets(trees, rounds, nsampling, seed, ["parents", "children"])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = Tally(count, nsampling, genes)
+        for part in _by_bucket(batches):
+            held = [(i, at[p], at[c]) for i, (ps, cs) in enumerate(zip(part.parents, part.children, strict=True)) if ps is not None for p, c in zip(ps, cs, strict=True) if p in at and c in at]
+            owner, parent, child = np.array(held, np.int64).reshape(-1, 3).T
+            order = np.argsort(parent * genes + child, kind="stable")
+            owner, code = owner[order], (parent * genes + child)[order]
+            place = np.full(len(part), -1)
+            for it, inside, many in split.multiplicities(int(part.bucket.iat[0]), bits(part["rounds"], count)):
+                place[:] = -1
+                place[inside] = np.arange(len(inside))
+                here = place[owner] >= 0
+                codes = code[here]
+                if not len(codes):
+                    continue
+                starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+                sums = np.add.reduceat(many[:, place[owner[here]]], starts, axis=1)
+                rep, k = np.nonzero(sums)
+                tally.add(it * nsampling + rep, codes[starts][k] // genes, codes[starts][k] % genes, sums[rep, k])
+            if tally.full():
+                yield from _given(tally)
+        yield from _given(tally)
+
+    return _summed(rows.mapInPandas(draw, _BLOCKS))
 
 
 def frequencies(edges: DataFrame, niterations: int) -> DataFrame:

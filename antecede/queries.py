@@ -371,7 +371,7 @@ def mean_rank_iterations(spark, sf_dir):
 
 @query("SELECT i AS iter, CAST(round_even(0.8 * count(*), 0) AS BIGINT) AS samples, CAST(round_even(0.8 * count(*), 0) AS BIGINT) AS different FROM orders, range(0, 5) t(i) GROUP BY i")
 def subsample_sizes(spark, sf_dir):
-    rows = resample.subsamples(Tables(spark, sf_dir).samples, 5)
+    rows = resample.memberships(resample.subsamples(Tables(spark, sf_dir).samples, 5))
     return rows.groupBy(F.col("iter").cast("long").alias("iter")).agg(F.count("*").alias("samples"), F.count_distinct("sample_id").alias("different"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from antecede.functions import climb, lasso
 from antecede.jobs import inference
 from antecede.operators import coxpath, learn, order, probabilities, ranking, resample, shaping, survival
+from antecede.operators.rounds import Rounds, rounds_of
 from antecede.sources import tables
 from antecede.sources.tables import read_arcs, wide_to_long, write_edges
 
@@ -96,8 +97,8 @@ def test_no_arcs(spark):
 
 def test_subsample_and_bootstrap_do_not_depend_on_partitions(spark):
     samples = frame(spark, [f"s{k}" for k in range(501)], "sample_id")
-    a = rows(resample.subsamples(samples, 3, seed=5), "iter", "sample_id")
-    b = rows(resample.subsamples(samples.repartition(7), 3, seed=5), "iter", "sample_id")
+    a = rows(resample.memberships(resample.subsamples(samples, 3, seed=5)), "iter", "sample_id")
+    b = rows(resample.memberships(resample.subsamples(samples.repartition(7), 3, seed=5)), "iter", "sample_id")
     assert a == b and len(a) == 3 * round(0.8 * 501) == len(set(a))
     a = rows(resample.bootstrap(samples, 2), "rep", "sample_id", "multiplicity")
     assert a == rows(resample.bootstrap(samples.repartition(5), 2), "rep", "sample_id", "multiplicity")
@@ -189,7 +190,7 @@ def test_tabu_helper_finds_an_interaction():
     child = np.tile([0, 1], 8)
     counts = np.where((masks & 1) ^ ((masks >> 1) & 1) == child, 90, 10)  # exclusive or: no single parent gains
     bits = (masks[:, None] >> np.arange(3)) & 1
-    assert climb.tabu(climb.Counts(bits.astype(np.uint8), child, counts), 2.0) & 3 == 3
+    assert climb.tabu(climb.Table(bits.astype(np.uint8), child, counts[:, None]), 2.0) & 3 == 3
 
 
 def test_both_ways_of_the_climb_give_the_same_parents(spark):
@@ -224,7 +225,7 @@ def test_rounds_of_a_sample_meet_its_arcs_last(spark):
     c, _, samples, _ = planted(spark, 60)
     member = samples.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("iter"))).where("pmod(xxhash64(sample_id, iter), 4) > 0")
     for mode in ("tiers", "compat"):
-        got = rows(order.arcs(c, mode, member), "iter", "parent", "child", "weight")
+        got = rows(order.arcs(c, mode, rounds_of(member, 3)), "iter", "parent", "child", "weight")
         want = [(k, *r) for k in range(3) for r in rows(order.arcs(c.join(member.where(F.col("iter") == k), "sample_id"), mode), "parent", "child", "weight")]
         assert got == sorted(want) and got
 
