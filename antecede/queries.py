@@ -375,6 +375,48 @@ def subsample_sizes(spark, sf_dir):
     return rows.groupBy(F.col("iter").cast("long").alias("iter")).agg(F.count("*").alias("samples"), F.count_distinct("sample_id").alias("different"))
 
 
+def members(rounds: int) -> str:
+    """The samples of each round as a CTE: those of least hash."""
+    return f"""member AS (SELECT CAST(i AS INT) AS iter, sample_id FROM (SELECT i, sample_id, row_number() OVER (PARTITION BY i ORDER BY substr(md5('1:' || i || ':' || sample_id), 1, 15), sample_id) AS k
+  FROM fx_samples, range(0, {rounds}) t(i)) WHERE k <= (SELECT round_even(0.8 * count(*), 0) FROM fx_samples))"""
+
+
+@query(ctes("fx_samples", more=members(5)) + "SELECT iter, sample_id FROM member")
+def subsample_members(spark, sf_dir):
+    """who is in each round."""
+    return resample.memberships(resample.subsamples(Tables(spark, sf_dir).samples, 5)).select(F.col("iter").cast("int").alias("iter"), "sample_id")
+
+
+BY_ROUND = members(5) + """,
+rn AS (SELECT iter, count(*) AS n FROM member GROUP BY iter),
+rc1 AS (SELECT iter, gene_id, count(*) AS c FROM fx_ccf JOIN member USING (sample_id) GROUP BY ALL),
+rc2 AS (SELECT iter, a.gene_id AS gene_i, b.gene_id AS gene_j, count(*) AS c, count(*) FILTER (a.ccf > b.ccf) AS up
+  FROM fx_ccf a JOIN fx_ccf b ON a.sample_id = b.sample_id JOIN member ON member.sample_id = a.sample_id GROUP BY ALL),
+rgrid AS (SELECT iter, n, a.gene_id AS gene_i, b.gene_id AS gene_j FROM rn, fx_genes a, fx_genes b WHERE a.gene_id <> b.gene_id)"""
+
+
+@query(ctes("fx_ccf", "fx_genes", "fx_samples", more=BY_ROUND) + """SELECT g.iter, g.gene_i, g.gene_j, coalesce(rc2.up / rc2.c, 0) AS p_model, coalesce(rc1.c, 0) / g.n - coalesce(rc2.c, 0) / g.n AS p_null
+FROM rgrid g LEFT JOIN rc1 ON rc1.iter = g.iter AND rc1.gene_id = g.gene_i LEFT JOIN rc2 ON rc2.iter = g.iter AND rc2.gene_i = g.gene_i AND rc2.gene_j = g.gene_j""")
+def probabilities_by_round(spark, sf_dir):
+    """C3, C4 of five rounds, counted at once."""
+    t = Tables(spark, sf_dir)
+    rounds = resample.subsamples(t.samples, 5)
+    pack, n = stored(probabilities.packed(t.ccf, rounds)), probabilities.sample_counts(t.samples, rounds)
+    pairs = stored(probabilities.pair_counts(pack, 5))
+    p_null = probabilities.p_null(pack, t.genes, n, pairs, 5)
+    return probabilities.p_model_ccf(pack, t.genes, n, pairs, 5).join(p_null, ["iter", "gene_i", "gene_j"]).select("iter", "gene_i", "gene_j", "p_model", "p_null")
+
+
+@query(ctes("fx_ccf", "fx_samples", more=members(5)) + """, g AS (SELECT iter, sample_id, string_agg(gene_id, ',' ORDER BY gene_id) AS genes FROM member LEFT JOIN fx_ccf USING (sample_id) GROUP BY ALL)
+SELECT iter, coalesce(genes, '') AS genes, count(*) AS n FROM g GROUP BY ALL""")
+def profiles_by_round(spark, sf_dir):
+    """G2 of five rounds from bits with vectors of counts."""
+    t = Tables(spark, sf_dir)
+    rounds = resample.subsamples(t.samples, 5)
+    pack, n = stored(probabilities.packed(t.ccf, rounds)), probabilities.sample_counts(t.samples, rounds)
+    return learn.profiles(pack, n, 5).select(F.col("iter").cast("int").alias("iter"), F.array_join("genes", ",").alias("genes"), F.col("n").cast("long").alias("n"))
+
+
 @query("SELECT CAST(i AS INT) AS rep, CAST(count(*) AS BIGINT) AS draws FROM orders, range(0, 3) t(i) GROUP BY i")
 def bootstrap_totals(spark, sf_dir):
     return resample.bootstrap(Tables(spark, sf_dir).samples, 3).groupBy("rep").agg(F.sum("multiplicity").alias("draws"))
@@ -655,6 +697,107 @@ def signatures(spark, sf_dir):
     return inference.signatures(moved, t.patient_steps).prevalence
 
 
+# the jobs on inputs whose answer SQL can give: ccfs fall with the brand's number, so no arc leads back and ranks are longest
+# paths; all reads of a mutation are altered, so every draw of its share is 1
+
+NUMBER = "CAST(SUBSTRING({}, 7) AS INT)"
+ORDERED_CCF = f"oc AS (SELECT sample_id, gene_id, (26 - {NUMBER.format('gene_id')}) / CAST(25 AS DOUBLE) AS ccf FROM fx_ccf)"
+
+
+def _ordered_ccf(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The ccf table and a VAF table whose draws are certain."""
+    ccf = stored(t.ccf.select("sample_id", "gene_id", (F.lit(26) - F.expr(NUMBER.format("gene_id"))) / F.lit(25.0)).toDF("sample_id", "gene_id", "ccf"))
+    vaf = ccf.select("sample_id", "gene_id", F.lit(0).alias("ref_count"), F.lit(10).alias("alt_count"), F.col("ccf").alias("copy_number"), F.lit(2).alias("normal_ploidy"), F.lit(1.0).alias("vaf_estimate"), F.lit(1).cast("long").alias("row_id"))
+    return ccf, vaf
+
+
+def ranked_sql(rounds: str, arcs: str) -> str:
+    """CTEs: pairs (iter, parent, child) whose ranks rise. rounds: SELECT iter, sample_id; arcs: SELECT sample_id, parent, child."""
+    return f"""rd AS ({rounds}), sa AS ({arcs}),
+up AS (SELECT DISTINCT iter, parent, child FROM sa JOIN rd USING (sample_id)),
+node AS (SELECT iter, parent AS g FROM up UNION SELECT iter, child FROM up),
+walk(iter, g, d) AS (SELECT iter, g, 0 FROM node UNION SELECT up.iter, up.child, d + 1 FROM walk JOIN up ON up.iter = walk.iter AND up.parent = walk.g),
+ranked AS (SELECT iter, g, max(d) AS r FROM walk GROUP BY ALL)"""
+
+
+def raised_sql(ccf: str) -> str:
+    """CTEs: pairs (iter, gene_i, gene_j) with p_model > p_null; counts in ccf, rounds in rd."""
+    return f"""zn AS (SELECT iter, count(*) AS n FROM rd GROUP BY iter),
+z1 AS (SELECT iter, gene_id, count(*) AS c FROM {ccf} JOIN rd USING (sample_id) GROUP BY ALL),
+z2 AS (SELECT iter, a.gene_id AS gene_i, b.gene_id AS gene_j, count(*) AS c, count(*) FILTER (a.ccf > b.ccf) AS up
+  FROM {ccf} a JOIN {ccf} b ON a.sample_id = b.sample_id JOIN rd ON rd.sample_id = a.sample_id GROUP BY ALL),
+zp AS (SELECT zn.iter, a.gene_id AS gene_i, b.gene_id AS gene_j, coalesce(z1.c, 0) / n - coalesce(z2.c, 0) / n AS p_null, coalesce(z2.up / z2.c, 0) AS p_ccf
+  FROM zn CROSS JOIN fx_genes a JOIN fx_genes b ON a.gene_id <> b.gene_id LEFT JOIN z1 ON z1.iter = zn.iter AND z1.gene_id = a.gene_id
+  LEFT JOIN z2 ON z2.iter = zn.iter AND z2.gene_i = a.gene_id AND z2.gene_j = b.gene_id)"""
+
+
+NEXT = f"""SELECT sample_id, gene_id AS parent, lead(gene_id) OVER (PARTITION BY sample_id ORDER BY {NUMBER.format('gene_id')}) AS child FROM fx_ccf QUALIFY child IS NOT NULL"""
+ALL_ROUND = "SELECT 0 AS iter, sample_id FROM fx_samples"
+RISING = "SELECT a.iter, a.g AS parent, b.g AS child FROM ranked a JOIN ranked b ON a.iter = b.iter AND a.r < b.r JOIN zp ON zp.iter = a.iter AND gene_i = a.g AND gene_j = b.g WHERE {} > p_null"
+CCF_POSET = ctes("fx_ccf", "fx_genes", "fx_samples", more=f"{ORDERED_CCF}, {ranked_sql(ALL_ROUND, NEXT)}, {raised_sql('oc')}", recursive=True)
+
+
+@query(CCF_POSET + f"SELECT parent, child FROM ({RISING.format('p_ccf')})")
+def ccf_inference_ordered(spark, sf_dir):
+    """The job's poset where no arc leads back."""
+    t = Tables(spark, sf_dir)
+    return inference.ccf_inference(_ordered_ccf(t)[0], t.samples, t.genes).poset.select("parent", "child")
+
+
+@query(CCF_POSET + f"SELECT parent, child FROM ({RISING.format('p_ccf')})")
+def ccf_resampling_ordered(spark, sf_dir):
+    """The same through 100 replicates whose draws are certain."""
+    t = Tables(spark, sf_dir)
+    return inference.ccf_resampling(*_ordered_ccf(t), t.samples, t.genes).poset.select("parent", "child")
+
+
+@query(ctes("fx_ccf", "fx_genes", "fx_samples", more=f"{members(5)}, {ORDERED_CCF}, {ranked_sql('SELECT iter, sample_id FROM member', NEXT)}, {raised_sql('oc')}", recursive=True)
+  + f"SELECT parent, child, count(*) / 5 AS frequency FROM ({RISING.format('p_ccf')}) GROUP BY ALL")
+def ccf_confidence_ordered(spark, sf_dir):
+    """P5: the frequencies of the poset over five rounds of replicates whose draws are certain."""
+    t = Tables(spark, sf_dir)
+    ccf, vaf = _ordered_ccf(t)
+    return inference.ccf_confidence(ccf, t.samples, t.genes, vaf, niterations=5, nsampling=10).poset.select("parent", "child", "frequency")
+
+
+UP_EDGES = f"SELECT sample_id, parent, child FROM fx_tree_edges WHERE {NUMBER.format('parent')} < {NUMBER.format('child')}"
+TREE_MODEL = """te AS (SELECT iter, parent AS gene_i, child AS gene_j, count(*) AS c FROM sa JOIN rd USING (sample_id) GROUP BY ALL),
+tb AS (SELECT iter, a.gene_id AS gene_i, b.gene_id AS gene_j, count(*) AS c FROM fx_tree_nodes a JOIN fx_tree_nodes b ON a.sample_id = b.sample_id JOIN rd ON rd.sample_id = a.sample_id GROUP BY ALL)"""
+TREE_RISING = RISING.replace(" WHERE", " LEFT JOIN te ON te.iter = a.iter AND te.gene_i = a.g AND te.gene_j = b.g LEFT JOIN tb ON tb.iter = a.iter AND tb.gene_i = a.g AND tb.gene_j = b.g WHERE").format("coalesce(te.c / tb.c, 0)")
+
+
+def _upward_trees(t: Tables) -> DataFrame:
+    return _upward(t.tree_edges)
+
+
+@query(ctes("fx_ccf", "fx_genes", "fx_samples", "fx_tree_edges", more=f"{ranked_sql(ALL_ROUND, UP_EDGES)}, {raised_sql('fx_ccf')}, {TREE_MODEL}", recursive=True) + f"SELECT parent, child FROM ({TREE_RISING})")
+def tree_inference_upward(spark, sf_dir):
+    """The job's poset on the trees' edges from lower to higher brands."""
+    t = Tables(spark, sf_dir)
+    return inference.tree_inference(t.ccf, t.tree_nodes, _upward_trees(t), t.samples, t.genes).poset.select("parent", "child")
+
+
+@query(ctes("fx_ccf", "fx_genes", "fx_samples", "fx_tree_edges", more=f"{members(5)}, {ranked_sql('SELECT iter, sample_id FROM member', UP_EDGES)}, {raised_sql('fx_ccf')}, {TREE_MODEL}", recursive=True)
+  + f"SELECT parent, child, count(*) / 5 AS frequency FROM ({TREE_RISING}) GROUP BY ALL")
+def tree_confidence_upward(spark, sf_dir):
+    """The frequencies of the poset over five rounds without replicates."""
+    t = Tables(spark, sf_dir)
+    return inference.tree_confidence(t.ccf, t.tree_nodes, _upward_trees(t), t.samples, t.genes, niterations=5, nsampling=0).poset.select("parent", "child", "frequency")
+
+
+@query(ctes("fx_ccf", "fx_genes", "fx_samples", more=f"rd AS ({ALL_ROUND}), {raised_sql('fx_ccf')}") + """SELECT p.gene_id AS parent, c.gene_id AS child FROM fx_genes p
+JOIN fx_genes c ON CAST(floor(c.gene_index / 2) AS INT) = p.gene_index JOIN zp ON gene_i = p.gene_id AND gene_j = c.gene_id WHERE 1 > p_null""")
+def tree_bootstrap_equal(spark, sf_dir):
+    """Patients with a mutation all have the same tree, gene k below gene floor(k / 2), so 100 replicates draw the same arcs; a gene's
+    rank is its depth, and a pair that is no edge has precedence 0."""
+    t = Tables(spark, sf_dir)
+    patients = t.ccf.select("sample_id").distinct()
+    nodes = stored(patients.crossJoin(F.broadcast(t.genes.select("gene_id"))))  # 25 genes
+    child = t.genes.select(F.col("gene_id").alias("child"), F.floor(F.col("gene_index") / 2).cast("int").alias("gene_index"))
+    edges = stored(patients.crossJoin(F.broadcast(t.genes.join(child, "gene_index").select(F.col("gene_id").alias("parent"), "child"))))
+    return inference.tree_bootstrap(t.ccf, nodes, edges, t.samples, t.genes).poset.select("parent", "child")
+
+
 BRANDS = [f"Brand#{k}" for k in range(1, 26)]
 MATRIX = ", ".join(f"""max(CASE WHEN c.gene_id = '{g}' AND {PLANTED.format('c.gene_id')} = {PLANTED.format('p.gene_id')} + 1 THEN 1 ELSE 0 END) AS "{g}\"""" for g in BRANDS)
 
