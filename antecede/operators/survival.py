@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from antecede.functions import lasso
 from antecede.operators import coxpath
 from antecede.operators.running import running
+from antecede.sources.tables import beside, spread, stored
 
-#: Cells (compacted rows x steps) up to which the lasso path runs in one task for each fold: 200 MB for each copy.
-MAX_CELLS = 25_000_000
+#: Steps shown in all compacted rows up to which the lasso path runs in one task for each fold: some 400 MB.
+MAX_CELLS = 10_000_000
 
 
 def risk_scores(survival: DataFrame, steps: DataFrame, coefs: DataFrame) -> DataFrame:
     """H6: survival columns with beta = sum of coefficients of the patient's steps, to 1e-9; 0 without any."""
-    held = steps.join(F.broadcast(coefs), "step").groupBy("sample_id").agg(F.sum("coef").alias("b"))  # coefs: one row for each step
+    held = beside(steps, coefs, F.lit(1), ["step"], F.col("sample_id")).groupBy("sample_id").agg(F.sum("coef").alias("b"))
     return survival.join(held, "sample_id", "left").withColumn("beta", F.round(F.coalesce("b", F.lit(0.0)), 9) + F.lit(0.0)).drop("b")
 
 
@@ -38,7 +39,7 @@ def cox_gradient(scored: DataFrame, steps: DataFrame) -> DataFrame:
 def compacted(survival: DataFrame, steps: DataFrame, names: list[str], folds: int, seed: int) -> DataFrame:
     """steps (places in names, ascending), time, status, fold and weight, the number of such patients."""
     numbered = steps.sparkSession.createDataFrame(list(enumerate(names)), "at int, step string")
-    held = steps.join(F.broadcast(numbered), "step").groupBy("sample_id").agg(F.sort_array(F.collect_set("at")).alias("steps"))
+    held = beside(steps, numbered, F.lit(1), ["step"], F.col("sample_id")).groupBy("sample_id").agg(F.sort_array(F.collect_set("at")).alias("steps"))
     rows = survival.join(held, "sample_id", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<int>")))
     rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "sample_id"), F.lit(folds)).cast("int"))
     return rows.groupBy("steps", "time", "status", "fold").agg(F.count("*").alias("weight"))
@@ -51,45 +52,35 @@ def step_names(steps: DataFrame) -> list[str]:
 def select_steps(survival: DataFrame, steps: DataFrame, folds: int = 10, seed: int = 1, count: int = 100, max_cells: int = MAX_CELLS) -> DataFrame:
     """H3-H5: step, coef, direction of the non-zero coefficients at the lambda of least cross-validated deviance.
 
-    Patients of equal steps, time and status become one weighted row first. Up to max_cells rows x steps each fold's path is
-    a task of its own; beyond, all folds go through the rounds of coxpath.fit(), which reach the same optimum.
+    Patients of equal steps, time and status become one weighted row first. Up to max_cells steps shown in these rows each fold's
+    path is a task of its own; beyond, all folds go through the rounds of coxpath.fit(), which settle by the same rule.
     """
     names = step_names(steps)
     if not names:
         return steps.sparkSession.createDataFrame([], "step string, coef double, direction string")
-    rows = compacted(survival, steps, names, folds, seed)
-    if rows.count() * len(names) > max_cells:
+    rows = stored(compacted(survival, steps, names, folds, seed))
+    if (rows.agg(F.sum(F.size("steps") + 1)).first()[0] or 0) > max_cells:
         whole, loss = coxpath.fit(rows, len(names), folds, count)
         return _chosen(steps, names, whole[int(np.argmin(loss))])
 
-    def data(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        x = np.zeros((len(part), len(names)))
-        for i, s in enumerate(part.steps):
-            x[i, s] = 1
-        return x, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float)
-
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["time", "status", "fold", "weight"], kind="stable")
-        whole = lasso.Cox(*data(part))
+        columns = [part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float)]
+        whole = lasso.Cox(list(part.steps), len(names), *columns)
         grid = lasso.lambdas(whole, count)
         out, k = key[0], np.arange(len(grid))
         if out < 0:
-            found = lasso.path(whole, grid) / whole.scale
-            return pd.DataFrame({"fold": out, "k": k, "deviance": 0.0, "coefs": list(found)})
-        x, time, status, weight = data(part)
+            return pd.DataFrame({"fold": out, "k": k, "deviance": 0.0, "coefs": list(lasso.path(whole, grid))})
         inner = part.fold.to_numpy() != out
-        if not (status[inner] > 0).any() or not (~inner).any():
+        if not (columns[1][inner] > 0).any() or inner.all():
             return pd.DataFrame({"fold": out, "k": k, "deviance": 0.0, "coefs": [np.zeros(0)] * len(k)})
-        train = lasso.Cox(x[inner], time[inner], status[inner], weight[inner])
-        found = lasso.path(train, grid)
+        train = lasso.Cox(list(part.steps[inner]), len(names), *[x[inner] for x in columns])
         # deviance of the held-out fold: that of all rows less that of the training rows, at the same coefficients
-        full = lasso.Cox(x, time, status, weight)
-        full.x = (x - (weight[inner] @ x[inner]) / train.n) / train.scale
-        value = [-2 * (full.value(b)[0] * full.n - train.value(b)[0] * train.n) for b in found]
+        value = [-2 * (whole.value(b) * whole.n - train.value(b) * train.n) for b in lasso.path(train, grid)]
         return pd.DataFrame({"fold": out, "k": k, "deviance": value, "coefs": [np.zeros(0)] * len(k)})
 
     tasks = rows.withColumn("task", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))))
-    fits = tasks.groupBy("task").applyInPandas(run, "fold int, k int, deviance double, coefs array<double>").toPandas()  # folds x lambdas rows
+    fits = spread(tasks, "task").groupBy("task").applyInPandas(run, "fold int, k int, deviance double, coefs array<double>").toPandas()  # folds x lambdas rows
     loss = fits[fits.fold >= 0].groupby("k").deviance.sum()
     best = int(loss.idxmin()) if len(loss) else 0
     coefs = fits[(fits.fold < 0) & (fits.k == best)].coefs.iat[0]
@@ -151,5 +142,5 @@ def patient_steps(ccf: DataFrame, inference: DataFrame) -> DataFrame:
     edges = inference.select("parent", "child").distinct()
     a = ccf.select("sample_id", F.col("gene_id").alias("parent"), F.col("ccf").alias("cp"))
     b = ccf.select("sample_id", F.col("gene_id").alias("child"), F.col("ccf").alias("cc"))
-    rows = a.join(F.broadcast(edges), "parent").join(b, ["sample_id", "child"]).where("cp > cc")  # edges: genes ** 2 at most
+    rows = beside(a, stored(edges), F.lit(2), ["parent"], F.col("sample_id")).join(b, ["sample_id", "child"]).where("cp > cc")
     return rows.select("sample_id", F.concat("parent", F.lit("->"), "child").alias("step"))

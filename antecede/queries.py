@@ -597,8 +597,8 @@ def cox_gradient_rounds(spark, sf_dir):
     names = survival.step_names(t.patient_steps)
     coefs = {r.step: r.coef for r in t.patient_steps.select("step").distinct().withColumn("coef", F.expr(COEF)).collect()}
     path = coxpath.Path(survival.compacted(t.survival, t.patient_steps, names, 2, 1), len(names), 2)
-    b = np.tile(np.array([[float(coefs[x])] for x in names]), (1, path.models))
-    found = path.slopes(b, path.hazards(b)[0], np.zeros(0, int))["gradient"][:, 0]
+    b, every = np.tile(np.array([[float(coefs[x])] for x in names]), (1, path.models)), np.arange(path.models)
+    found = path.slopes(b, every, path.hazards(b, every), np.zeros(0, int))["gradient"][:, 0]
     return spark.createDataFrame([(x, float(g)) for x, g in zip(names, found, strict=True)], "step string, gradient double").withColumn("gradient", F.round("gradient", 6))
 
 
@@ -688,13 +688,35 @@ def tree_confidence(spark, sf_dir):
     return _tagged(out.poset, out.inference, "frequency")
 
 
+def _planted_survival(t: Tables) -> DataFrame:
+    """Patients that show a step of the lowest fixed coefficient leave 24 months sooner."""
+    early = t.patient_steps.where("LENGTH(step) % 7 = 0").select("sample_id").distinct().withColumn("early", F.lit(24.0))
+    return t.survival.join(early, "sample_id", "left").withColumn("time", F.greatest(F.lit(1.0), F.col("time") - F.coalesce("early", F.lit(0.0)))).drop("early")
+
+
 @query()
 def signatures(spark, sf_dir):
-    """P7 with a planted effect: patients that show a step of the lowest fixed coefficient leave 24 months sooner."""
-    t = Tables(spark, sf_dir)
-    early = t.patient_steps.where("LENGTH(step) % 7 = 0").select("sample_id").distinct().withColumn("early", F.lit(24.0))
-    moved = t.survival.join(early, "sample_id", "left").withColumn("time", F.greatest(F.lit(1.0), F.col("time") - F.coalesce("early", F.lit(0.0)))).drop("early")
-    return inference.signatures(moved, t.patient_steps).prevalence
+    """P7 with a planted effect."""
+    t = Tables(spark, sf_dir)
+    return inference.signatures(_planted_survival(t), t.patient_steps).prevalence
+
+
+@query(ctes("fx_patient_steps") + "SELECT CAST(0 AS BIGINT) AS violations, count(DISTINCT step) AS steps, true AS selected FROM fx_patient_steps")
+def signatures_optimal(spark, sf_dir):
+    """H3-H5: the coefficients of the cross-validated lambda (10 folds, 100 lambdas) against the gradient that the survival operators
+    find at them: of one size for all selected steps, with their sign, and not larger for any other."""
+    t = Tables(spark, sf_dir)
+    moved, steps = stored(_planted_survival(t)), t.patient_steps
+    chosen = survival.select_steps(moved, steps)
+    gradient = survival.cox_gradient(survival.risk_scores(moved, steps, chosen.select("step", "coef")), steps)
+    n = moved.agg(F.count("*").alias("n"))
+    shown = steps.distinct().groupBy("step").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n))  # n: one row
+    shown = shown.withColumn("share", F.col("c") / F.col("n")).withColumn("scale", F.sqrt(F.col("share") * (1 - F.col("share"))))
+    rows = shown.join(gradient, "step").join(chosen.select("step", "coef"), "step", "left")
+    rows = stored(rows.select("coef", F.when(F.col("scale") > 1e-6, F.col("gradient") / F.col("n") / F.col("scale")).otherwise(0.0).alias("slope")))
+    lam = rows.where("coef is not null").agg(F.avg(F.abs("slope")).alias("lam"))
+    off = F.when(F.col("coef").isNotNull(), F.abs(F.col("slope") - F.signum("coef") * F.col("lam"))).otherwise(F.abs("slope") - F.col("lam"))
+    return rows.crossJoin(F.broadcast(lam)).agg(F.count_if(off > F.col("lam") * 1e-4).alias("violations"), F.count("*").alias("steps"), (F.count("coef") > 0).alias("selected"))
 
 
 # the jobs on inputs whose answer SQL can give: ccfs fall with the brand's number, so no arc leads back and ranks are longest

@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import coxref
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from antecede.functions import climb, lasso
 from antecede.jobs import inference
 from antecede.operators import coxpath, learn, order, probabilities, ranking, resample, shaping, survival
-from antecede.operators.rounds import Rounds, rounds_of
+from antecede.operators.rounds import rounds_of
 from antecede.sources import tables
-from antecede.sources.tables import read_arcs, wide_to_long, write_edges
+from antecede.sources.tables import read_arcs, stored, wide_to_long, write_edges
 
 
 def ccf(spark, text):
@@ -239,17 +240,28 @@ def test_hinges(spark):
 
 def test_lasso_is_optimal():
     rng = np.random.default_rng(4)
-    x = (rng.random((300, 6)) < 0.4).astype(float)
+    x = rng.random((300, 6)) < 0.4
+    x[:, 5] = True  # constant: never enters
     time = np.ceil(rng.exponential(20 * np.exp(-1.2 * x[:, 0]))) + 1
-    cox = lasso.Cox(x, time, (rng.random(300) < 0.7).astype(float), np.ones(300))
-    grid = lasso.lambdas(cox, 8)
-    for lam, beta in zip(grid, lasso.path(cox, grid), strict=True):
-        value, grad = cox.value(beta)
-        assert (np.abs(grad) <= lam * (1 + 1e-3) + 1e-6).all()
-        assert np.allclose(grad[beta != 0], lam * np.sign(beta[beta != 0]), atol=1e-4)
-    step = 1e-6
-    numeric = [(cox.value(beta + step * np.eye(6)[k])[0] - cox.value(beta - step * np.eye(6)[k])[0]) / (2 * step) for k in range(6)]
-    assert np.allclose(numeric, cox.value(beta)[1], atol=1e-6)
+    status, weight = (rng.random(300) < 0.7).astype(float), rng.integers(1, 4, 300).astype(float)
+    cox = lasso.Cox([np.flatnonzero(r) for r in x], 6, time, status, weight)
+    dense = coxref.Cox(x.astype(float), time, status, weight)
+    grid = lasso.lambdas(cox, 100)
+    assert grid[0] == pytest.approx(np.abs(dense.value(np.zeros(6))[1]).max())
+    none = np.zeros(0, int)
+    for lam, b in zip(grid, lasso.path(cox, grid), strict=True):
+        gradient = cox.slopes(b, none)[0]
+        assert lasso.distance(b, gradient, cox.scale, lam).max() <= lasso.KKT * lam and b[5] == 0
+    for k in (30, 99):
+        b = lasso.path(cox, grid)[k]
+        want = coxref.fit(dense, grid[k], np.zeros(6), tolerance=1e-10)
+        assert np.allclose(b[:5], (want / dense.scale)[:5], atol=1e-6) and ((b != 0) == (want != 0)).all()
+    block = np.array([0, 2, 4])
+    gradient, h = cox.slopes(b, block)
+    for k, j in enumerate(block):
+        step = 1e-6 * np.eye(6)[j]
+        assert np.isclose((cox.value(b + step) - cox.value(b - step)) / 2e-6, gradient[j], atol=1e-7)
+        assert np.allclose((cox.slopes(b + step, none)[0] - cox.slopes(b - step, none)[0])[block] / 2e-6, -h[k], atol=1e-6)
 
 
 def survived(spark, n=200, p=6):
@@ -268,37 +280,50 @@ def test_lasso_rounds_reach_the_optimum(spark):
     one = survival.select_steps(surv, steps, 2, 1, 3).toPandas()
     many = survival.select_steps(surv, steps, 2, 1, 3, max_cells=0).toPandas()
     assert list(one.step) == list(many.step) and "g5" not in set(one.step) and {"g0", "g3"} <= set(one.step)
-    assert np.allclose(one.coef, many.coef, atol=2e-4)
-    rows = survival.compacted(surv, steps, survival.step_names(steps), 2, 1)
+    assert np.allclose(one.coef, many.coef, atol=1e-5)
+    rows = survival.compacted(surv, steps, survival.step_names(steps), 2, 1).persist()
     whole, _ = coxpath.fit(rows, 6, 2, 2, block=2)  # steps that do not fit a round take turns
     part = rows.toPandas()
-    x = np.zeros((len(part), 6))
-    for i, s in enumerate(part.steps):
-        x[i, s] = 1
-    cox = lasso.Cox(x, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float))
-    assert np.allclose(whole, lasso.path(cox, lasso.lambdas(cox, 2)) / cox.scale, atol=2e-4)
+    cox = lasso.Cox(list(part.steps), 6, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float))
+    assert np.allclose(whole, lasso.path(cox, lasso.lambdas(cox, 2)), atol=1e-5)
+
+
+def test_both_ways_select_the_same_steps_over_the_whole_path(spark):
+    surv, steps = survived(spark, 300, 8)
+    rows = stored(survival.compacted(surv, steps, survival.step_names(steps), 2, 1))
+    part = rows.toPandas()
+    cox = lasso.Cox(list(part.steps), 8, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float))
+    one = lasso.path(cox, lasso.lambdas(cox, 100))
+    work = coxpath.Path(rows, 8, 2)
+    many = np.array([b for b, _ in coxpath.fitted(work, 100)])
+    assert ((one != 0) == (many != 0)).all() and np.allclose(one, many, atol=1e-5)
+    assert work.passes <= 3 * 100
 
 
 def test_lasso_rounds_with_many_times(spark, monkeypatch):
     monkeypatch.setattr(tables, "MAX_LABELS", 0)
     surv, steps = survived(spark)
-    rows = survival.compacted(surv, steps, survival.step_names(steps), 3, 1)
+    rows = stored(survival.compacted(surv, steps, survival.step_names(steps), 3, 1))
     b, block, found = np.linspace(-1, 1, 24).reshape(6, 4), np.array([0, 2, 5]), []
+    model = np.arange(4)
+    monkeypatch.setattr(coxpath, "MAX_TIED", 0)
     for most in (1000, 0):
         path = coxpath.Path(rows, 6, 3, most)
-        hazards, value = path.hazards(b)
-        slopes = path.slopes(b, hazards, block)
-        found.append([value, slopes["gradient"], slopes["curved"], slopes["curvature"]])
+        hazards = path.hazards(b, model)
+        slopes = path.slopes(b, model, hazards, block)
+        found.append([hazards["value"], hazards["full"], slopes["gradient"], slopes["curved"], slopes["curvature"]])
     for few, many in zip(*found, strict=True):
         assert np.allclose(few, many)
+    monkeypatch.setattr(coxpath, "MAX_TIED", 1 << 22)
+    path = coxpath.Path(rows, 6, 3)
+    exact = path.slopes(b, model, path.hazards(b, model), block)["curvature"]
     pd = rows.toPandas()
     for m in range(4):  # against the one-task likelihood
         part = pd[pd.fold != m - 1]
-        x = np.array([[k in s for k in range(6)] for s in part.steps], float)
-        cox = lasso.Cox(x, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float))
-        cox.x = x
-        value, gradient = cox.value(b[:, m])
-        assert np.isclose(value * cox.n, found[0][0][m]) and np.allclose(gradient * cox.n, found[0][1][:, m])
+        cox = lasso.Cox(list(part.steps), 6, part.time.to_numpy(float), part.status.to_numpy(float), part.weight.to_numpy(float))
+        gradient, h = cox.slopes(b[:, m], block)
+        assert np.isclose(cox.value(b[:, m]) * cox.n, found[0][0][m]) and np.allclose(gradient * cox.n, found[0][2][:, m])
+        assert np.allclose(h * cox.n, exact[m])
 
 
 def test_signatures(spark):
