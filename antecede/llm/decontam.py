@@ -8,7 +8,9 @@ Search: items are partitioned by size into classes [2**c, 2**(c+1)). An item's s
 shingle hashes, k = floor((1 - containment) * (largest size of its class)) + 1. A document that holds at least that share of
 an item lacks fewer than k of its shingles, so it shows at least one of any k: candidates are the (document, item) with a hit
 of the sketch, and none is missed, however long the document. Then the candidates' full shingles are compared as text.
-The sketches are broadcast only if Spark finds them below its size threshold; else the hashes are joined by shuffle.
+On either side a bit array of fixed size drops nearly all shingles of documents that no item has before anything is joined, so
+what is shuffled follows the hits, however large the benchmark; a shingle that many documents share meets the items in
+SALTS parts. The sketches are broadcast only if Spark finds them below its size threshold.
 
 Null or empty text, on either side: no shingles, in no pair. Repeated rows of a doc_id count as one document that holds
 all their shingles, likewise item_id. Rows without id are left out. Empty tables: empty result. Other columns are not
@@ -20,9 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitfilter import bit_array, likely
 from .common import saved
 
 SIZE, CONTAINMENT = 5, 0.8
+#: Parts that the rows of one shingle are dealt to.
+SALTS = 16
 
 
 def _words(text: Column) -> Column:
@@ -54,11 +59,15 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     order = Window.partitionBy("item_id").orderBy(F.xxhash64("h", F.lit("permuted")), "h")
     sketch = items.join(size, "item_id").withColumn("place", F.row_number().over(order)).where("place <= k").select("item_id", "h")
 
-    hits = docs.select("doc_id", F.explode(_hashes(F.col("w"))).alias("h")).join(saved(sketch), "h")
-    candidates = saved(hits.select("doc_id", "item_id").distinct())
+    sketch = saved(sketch)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    hits = docs.select("doc_id", F.explode(_hashes(F.col("w"))).alias("h")).where(likely(bit_array(sketch.select("h")), F.col("h"))).select("*", salt)
+    candidates = saved(hits.join(sketch.select("item_id", "h", every), ["h", "salt"]).select("doc_id", "item_id").distinct())
     found = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = found.select("doc_id", F.explode(F.array_distinct(_strings(F.col("w")))).alias("s"))
-    shared = found.join(items.select("item_id", "s"), "s").join(candidates, ["doc_id", "item_id"], "left_semi")
+    found = found.select("doc_id", F.explode(F.array_distinct(_strings(F.col("w")))).alias("s")).select("*", salt)
+    found = found.where(likely(bit_array(items.select(F.xxhash64("s").alias("h"))), F.xxhash64("s")))
+    shared = found.join(items.select("item_id", "s", every), ["s", "salt"]).join(candidates, ["doc_id", "item_id"], "left_semi")
     shared = shared.groupBy("doc_id", "item_id").agg(F.countDistinct("s").alias("shared"))
     out = shared.join(size.select("item_id", "item_shingles"), "item_id")
     out = out.withColumn("containment", F.col("shared").cast("double") / F.col("item_shingles"))
