@@ -278,3 +278,20 @@ def tabu_search(profiles_: DataFrame | Profiles, edges: DataFrame, n: DataFrame,
     """As hill_climb(), by tabu search per child, one task for each child."""
     search = lambda table, starts, penalty, allowed: {it: climb.tabu(table, penalty[it], masks[0], it=it, allowed=int(allowed[it])) for it, masks in starts.items()}
     return _searched(profiles_, edges, n, regularizations, 0, 0, search, MAX_CELLS)
+
+
+def best_parents(profiles_: DataFrame | Profiles, edges: DataFrame, n: DataFrame, regularizations: tuple[str, ...] = PENALTIES) -> DataFrame:
+    """As hill_climb(), the parents of the highest score there is, by branch and bound: a certificate for the searches."""
+    search = lambda table, starts, penalty, allowed: {it: climb.exact(table, penalty[it], it, int(allowed[it])) for it in starts}
+    return _searched(profiles_, edges, n, regularizations, 0, 0, search, MAX_CELLS)
+
+
+def network_scores(profiles_: DataFrame | Profiles, found: DataFrame, edges: DataFrame, n: DataFrame, regularizations: tuple[str, ...] = PENALTIES) -> DataFrame:
+    """iter, regularization, child, parents, score of an inference (iter, regularization, parent, child) at each child with a candidate."""
+    regs = _regularizations(edges, regularizations)
+    every = edges.select("iter", "child").distinct().crossJoin(F.broadcast(regs))  # two names
+    held = found.groupBy("iter", "regularization", "child").agg(F.sort_array(F.collect_set("parent")).alias("parents"))
+    held = every.join(held, ["iter", "regularization", "child"], "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    long = long_profiles(profiles_) if isinstance(profiles_, Profiles) else profiles_
+    scored = scores(log_likelihoods(family_counts(long, held.select("iter", "child", "parents").distinct())), regs, n)
+    return held.join(scored, ["iter", "regularization", "child", "parents"])

@@ -520,6 +520,46 @@ def tabu_chain(spark, sf_dir):
     return learn.tabu_search(*_chain(Tables(spark, sf_dir))).select("regularization", "parent", "child")
 
 
+# three candidates for each child, the genes before it by label: SQL scores all eight parent sets
+
+THREE = """prof AS (SELECT s.sample_id, coalesce(list(c.gene_id) FILTER (c.gene_id IS NOT NULL), []) AS genes FROM fx_samples s LEFT JOIN fx_ccf c ON c.sample_id = s.sample_id GROUP BY 1),
+pf AS (SELECT list_sort(genes) AS genes, count(*) AS n FROM prof GROUP BY 1),
+pset AS (SELECT c.gene_id AS child, m AS mask, coalesce(list(p.gene_id ORDER BY p.gene_id) FILTER ((m >> CAST(c.gene_index - p.gene_index - 1 AS BIGINT)) & 1 = 1), []) AS parents
+  FROM fx_genes c JOIN fx_genes p ON c.gene_index - p.gene_index BETWEEN 1 AND 3, range(0, 8) t(m) GROUP BY c.gene_id, m),
+fset AS (SELECT DISTINCT child, parents FROM pset),
+cnt AS (SELECT child, parents, list_filter(parents, lambda x: list_contains(genes, x)) AS config, sum(n) AS n, sum(CASE WHEN list_contains(genes, child) THEN n ELSE 0 END) AS n1 FROM pf, fset GROUP BY ALL),
+ll AS (SELECT child, parents, sum(CASE WHEN n1 > 0 THEN n1 * ln(n1 / n) ELSE 0 END + CASE WHEN n > n1 THEN (n - n1) * ln((n - n1) / n) ELSE 0 END) AS loglik FROM cnt GROUP BY ALL),
+sc AS (SELECT r AS regularization, child, parents, loglik - CASE WHEN r = 'aic' THEN 1 ELSE ln((SELECT count(*) FROM fx_samples)) / 2 END * 2 ** len(parents) AS score FROM ll, (VALUES ('aic'), ('bic')) v(r)),
+best AS (SELECT regularization, child, arg_max(parents, score) AS parents, max(score) AS score FROM sc GROUP BY ALL)"""
+THREE_SQL = ctes("fx_ccf", "fx_genes", "fx_samples", more=THREE)
+BEST = THREE_SQL + "SELECT regularization, unnest(parents) AS parent, child FROM best"
+
+
+def _three(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    child = t.genes.select(F.col("gene_id").alias("child"), F.col("gene_index").alias("at"))
+    edges = t.genes.join(child, F.col("at").between(F.col("gene_index") + 1, F.col("gene_index") + 3))  # genes only
+    return learn.profiles(t.pack, t.n), edges.select(F.lit(0).alias("iter"), F.col("gene_id").alias("parent"), "child"), t.n
+
+
+@query(BEST)
+def best_parents_three(spark, sf_dir):
+    """The exact optimum by branch and bound."""
+    return learn.best_parents(*_three(Tables(spark, sf_dir))).select("regularization", "parent", "child")
+
+
+@query(THREE_SQL + "SELECT regularization, child, round(score, 6) AS best, true AS reached FROM best")
+def search_reaches_best(spark, sf_dir):
+    """G6-G8 with three candidates a child: the exact score, and whether the climb with restarts and the tabu search come to it and
+    not beyond."""
+    profiles_, edges, n = _three(Tables(spark, sf_dir))
+    score = lambda found, name: learn.network_scores(profiles_, stored(found), edges, n).select("regularization", "child", F.col("score").alias(name))
+    rows = score(learn.best_parents(profiles_, edges, n), "best")
+    for name, found in (("climb", learn.hill_climb(profiles_, edges, n)), ("tabu", learn.tabu_search(profiles_, edges, n))):
+        rows = rows.join(score(found, name), ["regularization", "child"])
+    near = lambda c: F.abs(F.col(c) - F.col("best")) < 1e-6
+    return rows.select("regularization", "child", F.round("best", 6).alias("best"), (near("climb") & near("tabu")).alias("reached"))
+
+
 @query(one_parent_sql(f"""SELECT r AS regularization, p.gene_id AS parent, c.gene_id AS child FROM (VALUES ('aic'), ('bic')) v(r), fx_genes p JOIN fx_genes c ON {PLANTED.format('c.gene_id')} = {PLANTED.format('p.gene_id')} + 1"""))
 def edges_written(spark, sf_dir):
     """Edges written by regularization and read again."""
