@@ -10,10 +10,11 @@ fills empty bins from a bin drawn by a fixed hash of (bin, attempt), then folds
 doc_id with every other member, so a bucket of n members costs n - 1 candidate edges. (4) Full sets decide, first between
 each document and the least of its hubs: a hub's text goes to its members once for each part of about PART of them, so a group of near
 copies moves each text once. Then the other edges of stars whose ends are still apart. (5) As two members of a bucket may be linked with each
-other and not with their hub, the buckets that still hold documents of several components are looked at: their documents
+other and not with their hub, the buckets that still hold documents of several components are looked at, each by itself (those of
+one hub together), so that documents that never shared a bucket are not compared however buckets chain. Their documents
 are compared in blocks of at most about BLOCK documents or VOLUME shingles; the task of two blocks counts intersections of full sets, skips
-what is connected already and returns a spanning forest of the links it found. Thus no link is lost, no pair is a row, and
-texts move once for each block only among documents that share a bucket and no component. (6) Components of all links.
+what is connected already and returns a spanning forest of the links it found. Thus no link of documents that share a bucket is
+lost, no pair is a row, and texts move once for each bucket and block only among documents that share a bucket and no component. (6) Components of all links.
 What moves are texts: compressed they are smaller than the hashes of their shingles.
 
 Defined results: text null or without words: n_shingles 0, linked with nothing, kept. A very long text is one like others. Repeated rows of one doc_id count as
@@ -240,8 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub")).where("low < high")
     apart = saved(apart.join(mixed.select("key", "hub"), "key").select("hub", "id", "component").distinct())
     if not apart.isEmpty():
-        families = components(apart.select(F.col("hub").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "family")
-        families = saved(families.join(apart.select("id", "component").distinct(), "id").join(signed.select(F.col("doc_id").alias("id"), "n"), "id"))
+        families = saved(apart.join(signed.select(F.col("doc_id").alias("id"), "n"), "id").withColumnRenamed("hub", "family"))
         sizes = families.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).cast("int").alias("blocks"))
         members = families.join(sizes, "family").select("family", F.col("id").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
         rows = members.join(near, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

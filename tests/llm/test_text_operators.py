@@ -45,6 +45,23 @@ def variants(seed, n=40):
     return list(enumerate(out))
 
 
+def test_chained_buckets_are_compared_apart(spark, monkeypatch):
+    """Documents that share buckets in a chain and are not linked: what is compared grows with their number, not its square."""
+    met = []
+    monkeypatch.setattr(neardup, "_compare", lambda percent, f=neardup._compare: met.append(f) or f(percent))
+    seen = {}
+    for m in (300, 1200):
+        rows = [(k, " ".join(f"w{j}" for j in range(12 * k, 12 * k + 60))) for k in range(m)]
+        frames = []
+        monkeypatch.setattr(neardup, "saved", lambda df, *a: frames.append(common.saved(df, *a)) or frames[-1])
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got.where("kept").count() == m
+        moved = [df for df in frames if df.columns[:1] == ["id"] and "family" in df.columns]
+        seen[m] = moved[0].groupBy("family").count().selectExpr("sum(count * ceil(count / 512))", "max(count)").first()
+    assert len(met) == 2
+    assert seen[1200][0] <= 6 * seen[300][0] and seen[1200][1] < 120
+
+
 @pytest.mark.parametrize(("seed", "block"), [(1, 512), (2, 3)])
 def test_near_duplicates(spark, monkeypatch, seed, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
