@@ -26,8 +26,9 @@ from .bitfilter import bit_array, likely
 from .common import saved
 
 SIZE, CONTAINMENT = 5, 0.8
-#: Parts that the rows of one shingle are dealt to.
-SALTS = 16
+#: Parts that the rows of one shingle are dealt to; bits of the array of an item's shingles (0.5 MB; beyond some hundred thousand
+#: shingles more of the documents' pass).
+SALTS, BITS = 16, 1 << 21
 
 
 def _words(text: Column) -> Column:
@@ -62,11 +63,11 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     sketch = saved(sketch)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    hits = docs.select("doc_id", F.explode(_hashes(F.col("w"))).alias("h")).where(likely(bit_array(sketch.select("h")), F.col("h"))).select("*", salt)
+    hits = docs.select("doc_id", F.explode(_hashes(F.col("w"))).alias("h")).where(likely(bit_array(sketch.select("h"), BITS), F.col("h"), BITS)).select("*", salt)
     candidates = saved(hits.join(sketch.select("item_id", "h", every), ["h", "salt"]).select("doc_id", "item_id").distinct())
     found = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     found = found.select("doc_id", F.explode(F.array_distinct(_strings(F.col("w")))).alias("s")).select("*", salt)
-    found = found.where(likely(bit_array(items.select(F.xxhash64("s").alias("h"))), F.xxhash64("s")))
+    found = found.where(likely(bit_array(items.select(F.xxhash64("s").alias("h")), BITS), F.xxhash64("s"), BITS))
     shared = found.join(items.select("item_id", "s", every), ["s", "salt"]).join(candidates, ["doc_id", "item_id"], "left_semi")
     shared = shared.groupBy("doc_id", "item_id").agg(F.countDistinct("s").alias("shared"))
     out = shared.join(size.select("item_id", "item_shingles"), "item_id")
