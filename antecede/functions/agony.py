@@ -83,12 +83,16 @@ def circulation(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, near: tuple
     return flow
 
 
-def smallest_ranks(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, flow: np.ndarray) -> np.ndarray:
+def constraints(u: np.ndarray, v: np.ndarray, w: np.ndarray, flow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """low, high, gap of every rank(high) >= rank(low) + gap that an optimal ranking keeps."""
     up, back = flow < w, flow > 0
-    low, high = np.r_[u[up], v[back]], np.r_[v[up], u[back]]
     gap = np.r_[np.ones(up.sum(), np.int64), -np.ones(back.sum(), np.int64)]
-    rank = np.zeros(n, np.int64)
-    for _ in range(n + 1):
+    return np.r_[u[up], v[back]], np.r_[v[up], u[back]], gap
+
+
+def least(rank: np.ndarray, low: np.ndarray, high: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """The smallest ranks from the given ones upwards that keep the constraints."""
+    for _ in range(len(rank) + 1):
         new = rank.copy()
         np.maximum.at(new, high, rank[low] + gap)
         if (new == rank).all():
@@ -97,6 +101,10 @@ def smallest_ranks(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, flow: np
     raise ArithmeticError("constraints do not hold together")
 
 
+def smallest_ranks(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, flow: np.ndarray) -> np.ndarray:
+    return least(np.zeros(n, np.int64), *constraints(u, v, w, flow))
+
+
 def agony(u: np.ndarray, v: np.ndarray, w: np.ndarray, rank: np.ndarray) -> int:
     return int((w * np.maximum(rank[u] - rank[v] + 1, 0)).sum())
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.operators import learn, order, probabilities, ranking, resample, shaping, survival
+from antecede.operators import learn, order, probabilities, ranking, resample, shaping, strong, survival
 from antecede.operators.rounds import Rounds, size_of
 from antecede.sources.tables import stored
 
@@ -152,11 +152,11 @@ def tree_confidence(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samp
     return _confidence(_trees(dataset, nodes, edges, samples, genes, nsampling, regularization, "hc", restarts, seed, _rounds(samples, niterations, seed)), niterations)
 
 
-def rank_arcs(arcs: DataFrame) -> DataFrame:
-    """Ranking of any arc table (parent, child[, weight])."""
+def rank_arcs(arcs: DataFrame, by_parts: bool = False) -> DataFrame:
+    """Ranking of any arc table (parent, child[, weight]). by_parts: the same ranks, each strong part in a task of its own."""
     if "weight" not in arcs.columns:
         arcs = arcs.withColumn("weight", F.lit(1).cast("long"))
-    return ranking.minimum_agony(order.weighed(arcs))
+    return (strong if by_parts else ranking).minimum_agony(order.weighed(arcs))
 
 
 @dataclass

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antecede.jobs import inference
-from antecede.operators import coxpath, learn, order, probabilities, ranking, resample, shaping, survival
+from antecede.operators import coxpath, learn, order, probabilities, ranking, resample, shaping, strong, survival
 from antecede.sources.fixtures import FIXTURES, ctes, fixture
 from antecede.sources.tables import explode_trees, read_arcs, read_vaf, scratch, stored, wide_to_long, write_edges
 
@@ -340,6 +340,44 @@ def rank_certificate(spark, sf_dir):
     return out.agg(F.max(F.col("agony") - F.col("circulation")).alias("difference"), F.count("*").alias("genes"))
 
 
+# strong parts: each month of orders is a round, its arcs lead from brand and type of an order's first line to those of its last
+
+MONTHS = """ends AS (SELECT CAST(EXTRACT(YEAR FROM o_orderdate) * 100 + EXTRACT(MONTH FROM o_orderdate) AS INT) AS iter,
+  min(struct_pack(n := l_linenumber, k := p_brand || ' ' || p_type)).k AS parent, max(struct_pack(n := l_linenumber, k := p_brand || ' ' || p_type)).k AS child FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, o_orderdate),
+arc AS (SELECT iter, parent, child, count(*) AS weight FROM ends WHERE parent <> child GROUP BY ALL)"""
+
+
+def _months(spark, sf_dir) -> DataFrame:
+    line, orders, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part"))
+    lines = line.select("l_orderkey", "l_linenumber", "l_partkey").join(part.select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("kind")), F.col("l_partkey") == F.col("p_partkey"))
+    line_ = F.struct("l_linenumber", "kind")
+    ends = lines.groupBy("l_orderkey").agg(F.min(line_).getField("kind").alias("parent"), F.max(line_).getField("kind").alias("child"))
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int")
+    dated = ends.join(orders.select("o_orderkey", month.alias("iter")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return order.weighed(dated.select("iter", "parent", "child", F.lit(1).cast("long").alias("weight")))
+
+
+@query(f"""WITH RECURSIVE {MONTHS},
+reach(iter, a, b) AS (SELECT iter, parent, child FROM arc UNION SELECT reach.iter, a, child FROM reach JOIN arc ON arc.iter = reach.iter AND parent = b),
+mutual AS (SELECT x.iter, x.a, x.b FROM reach x JOIN reach y ON x.iter = y.iter AND x.a = y.b AND x.b = y.a
+  UNION SELECT iter, parent, parent FROM arc UNION SELECT iter, child, child FROM arc)
+SELECT iter, a AS gene_id, min(b) AS part FROM mutual GROUP BY ALL""")
+def strong_parts(spark, sf_dir):
+    """The parts of each month's graph."""
+    return strong.strong_parts(_months(spark, sf_dir)).select("iter", "gene_id", "part")
+
+
+@query(f"""WITH {MONTHS} SELECT iter, CAST(0 AS BIGINT) AS difference, count(DISTINCT g) AS genes FROM (SELECT iter, parent AS g FROM arc UNION SELECT iter, child FROM arc) GROUP BY ALL""")
+def rank_parts_certificate(spark, sf_dir):
+    """Agony of the ranks that rise from part to part, counted by E2 on the whole graph, less the circulation within
+    the parts that proves it minimal."""
+    arcs = stored(_months(spark, sf_dir))
+    ranks = stored(strong.minimum_agony(arcs))
+    proof = ranks.groupBy("iter").agg(F.max("circulation").alias("proof"), F.count("*").alias("genes"))
+    score = ranking.agony_score(arcs, ranks).select("iter", "agony")
+    return score.join(proof, "iter").select("iter", (F.col("agony") - F.col("proof")).alias("difference"), "genes")
+
+
 # replicates and iterations on a fixed table: each order year is a replicate, a gene's rank its largest quantity modulo 4
 
 FIXED = """fixed AS (SELECT CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS rep, p_brand AS gene_id, CAST(max(l_quantity * l_linenumber) AS INT) % 4 AS rank
