@@ -1,7 +1,7 @@
 """Strongly connected parts, and the hierarchy ranking of one large graph part by part.
 
 An arc between two parts is in no cycle: it carries no circulation, costs no agony and only puts its child above its parent.
-So each part is a problem of its own, solved in a task of its own, and what is left of the whole graph are ranks that rise
+So each part is a problem of its own, solved in a task apart from the others or with a few, and what is left of the whole graph are ranks that rise
 along the arcs between parts. The result is that of ranking.minimum_agony(), where the whole graph is one task.
 """
 
@@ -18,6 +18,8 @@ from antecede.sources.tables import spread, stored
 
 #: Steps along the arcs between two tables written.
 HOPS = 3
+#: Arcs of a bucket of whole parts, about.
+BUCKET_ARCS = 4096
 _PART = "iter int, rep int, part string, nodes array<string>, ranks array<long>, low array<long>, high array<long>, gap array<long>, agony long, circulation long"
 _RANK = "iter int, rep int, gene_id string, part string, rank long, moved boolean, many boolean"
 
@@ -73,31 +75,49 @@ def strong_parts(arcs: DataFrame) -> DataFrame:
     return nodes.join(of, [*KEYS, "gene_id"], "left").select(*KEYS, "gene_id", F.coalesce("part", "gene_id").alias("part"))
 
 
-def _solve(key: tuple, arcs: pd.DataFrame) -> pd.DataFrame:
-    names, ends = np.unique(np.concatenate([arcs.parent, arcs.child]).astype(object), return_inverse=True)
+def _solve(arcs: pd.DataFrame) -> pd.DataFrame:
+    """One row for each part of the bucket. Parts share no gene, so together they are one graph whose optimum is theirs."""
+    keys = [*KEYS, "part"]
+    arcs = arcs.assign(at=arcs.groupby(keys).ngroup())
+    names, code = np.unique(np.concatenate([arcs.parent, arcs.child]).astype(object), return_inverse=True)
+    genes, ends = np.unique(np.tile(arcs["at"].to_numpy(np.int64), 2) * len(names) + code, return_inverse=True)
     u, v = np.split(ends, 2)
     w = arcs.weight.to_numpy(np.int64)
-    flow = agony.circulation(len(names), u, v, w)
+    flow = agony.circulation(len(genes), u, v, w)
     low, high, gap = agony.constraints(u, v, w, flow)
-    rank = agony.least(np.zeros(len(names), np.int64), low, high, gap)
-    made = dict(zip(("iter", "rep", "part"), key, strict=True)) | {"nodes": names, "ranks": rank, "low": low, "high": high, "gap": gap}
-    return pd.DataFrame([made | {"agony": agony.agony(u, v, w, rank), "circulation": int(flow.sum())}])
+    rank = agony.least(np.zeros(len(genes), np.int64), low, high, gap)
+    out = arcs.drop_duplicates("at").sort_values("at")[keys].reset_index(drop=True)
+    first = np.searchsorted(genes // len(names), np.arange(len(out) + 1))
+    by_part = np.argsort(genes[low], kind="stable")
+    low, high, gap = low[by_part], high[by_part], gap[by_part]
+    own = np.searchsorted(low, first)
+    cut = lambda x, at, less=None: [x[a:b] - (0 if less is None else less[k]) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    out["nodes"] = [names[genes[a:b] % len(names)] for a, b in zip(first[:-1], first[1:], strict=True)]
+    out["ranks"], out["low"], out["high"], out["gap"] = cut(rank, first), cut(low, own, first), cut(high, own, first), cut(gap, own)
+    cost = w * np.maximum(rank[u] - rank[v] + 1, 0)
+    for name, x in (("agony", cost), ("circulation", flow)):
+        out[name] = np.bincount(arcs["at"], x, len(out)).astype(np.int64) if x.sum() < 1 << 53 else [int(x[arcs["at"] == k].sum()) for k in range(len(out))]
+    return out
 
 
 def _raise(batches):
-    """Rows of a part with its genes' ranks in order of label: the least ranks from these upwards."""
+    """Rows of a part with its genes' ranks in order of label: the least ranks from these upwards, for a batch of parts at once."""
     for parts in batches:
-        for p in parts.itertuples(index=False):
-            given = np.array([g["rank"] for g in p.genes], np.int64)
-            rank = agony.least(given, np.asarray(p.low, np.int64), np.asarray(p.high, np.int64), np.asarray(p.gap, np.int64))
-            moved = (rank > given) | np.array([g["moved"] for g in p.genes], bool)
-            yield pd.DataFrame({"iter": p.iter, "rep": p.rep, "gene_id": [g["gene_id"] for g in p.genes], "part": p.part, "rank": rank, "moved": moved, "many": True})
+        first = np.r_[0, np.cumsum([len(g) for g in parts.genes], dtype=np.int64)]
+        genes = [g for p in parts.genes for g in p]
+        given = np.array([g["rank"] for g in genes], np.int64)
+        many = [len(x) for x in parts.low]
+        low, high, gap = (np.concatenate([np.zeros(0, np.int64), *parts[k]]).astype(np.int64) for k in ("low", "high", "gap"))
+        rank = agony.least(given, low + np.repeat(first[:-1], many), high + np.repeat(first[:-1], many), gap)
+        out = parts[[*KEYS, "part"]].loc[parts.index.repeat(np.diff(first))].reset_index(drop=True)
+        moved = (rank > given) | np.array([g["moved"] for g in genes], bool)
+        yield out.assign(gene_id=[g["gene_id"] for g in genes], rank=rank, moved=moved, many=True)[["iter", "rep", "gene_id", "part", "rank", "moved", "many"]]
 
 
 def minimum_agony(arcs: DataFrame) -> DataFrame:
     """As ranking.minimum_agony(), for graphs of any number of genes whose strong parts each fit in a task.
 
-    Parts of two genes and more are solved in groups of their own. Then ranks rise in rounds, one for each step of the
+    Parts of two genes and more are solved in buckets, a part whole in one; their number grows with the arcs. Then ranks rise in rounds, one for each step of the
     longest chain of parts: only genes that moved send theirs along the arcs between parts, and parts raise their other genes by
     the constraints that their optimal flow left.
     """
@@ -110,7 +130,9 @@ def minimum_agony(arcs: DataFrame) -> DataFrame:
         ends = ends.join(of.withColumnsRenamed({"gene_id": end, "part": f"{end}_part"}), [*KEYS, end])
     ends = stored(ends)
     inside = ends.where("parent_part = child_part").select(*KEYS, F.col("parent_part").alias("part"), "parent", "child", "weight")
-    solved = stored(spread(inside, *KEYS, "part").groupBy(*KEYS, "part").applyInPandas(_solve, _PART))
+    buckets = 2 * int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + inside.count() // BUCKET_ARCS
+    bucket = F.pmod(F.xxhash64(*KEYS, "part"), F.lit(buckets)).alias("bucket")
+    solved = stored(spread(inside.withColumn("bucket", bucket), "bucket").groupBy("bucket").applyInPandas(lambda x: _solve(x), _PART))
     between = stored(ends.where("parent_part <> child_part").select(*KEYS, F.col("parent").alias("gene_id"), "child"))
 
     first = solved.select(*KEYS, F.explode(F.arrays_zip("nodes", "ranks")).alias("x")).select(*KEYS, F.col("x.nodes").alias("gene_id"), F.col("x.ranks").alias("rank"))
