@@ -12,7 +12,8 @@ same records as archive files: a warcinfo record, then the records, each a gzip
 Only digests are grouped; payloads that occur once are written where they are read, without a shuffle, and a payload's
 copies are reduced to one on the map side, so a hot payload meets in no task.
 
-Null html: empty payload. A very long one is one like others. Rows with the largest page_id of their payload twice: both are responses. Rows without page_id
+Null html: empty payload. A very long one is one like others. Rows with the largest page_id of their payload twice: both are responses. Record
+ids are unique: of rows with one page_id, the first read has the id of the page_id, the others ids of their own. Rows without page_id
 are archived and returned with null; they are revisits of any numbered page of the same payload. Null or empty url: the target
 is the record's own id, and reads back as null. Tabs and line breaks in urls are percent-encoded. As pages hold no time of
 capture, all records carry the parameter `date`. Empty table: empty archive. Other columns are not looked at.
@@ -21,6 +22,7 @@ capture, all records carry the parameter `date`. Empty table: empty archive. Oth
 from __future__ import annotations
 
 import gzip
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,14 +61,21 @@ def _line(name: str, value: Column) -> Column:
 
 def write_archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, date: str = DATE) -> Archive:
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), _payload().alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    rows = saved(pages.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("length")))
+    place = F.monotonically_increasing_id().alias("place")  # written with the rows, so it does not change when a task runs again
+    rows = saved(pages.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("length"), place))
     uri = F.nullif(F.col("url"), F.lit(""))
     for c in "\t\n\r":
         uri = F.replace(uri, F.lit(c), F.lit(f"%{ord(c):02X}"))
     urn = F.coalesce(_urn(F.col("page_id").cast("string")), F.lit(""))
     urn = F.when(F.col("page_id").isNull(), _urn(F.lit("no page_id"), F.coalesce("url", F.lit("")), F.col("digest"))).otherwise(urn)
-    rows = rows.withColumn("urn", urn).withColumn("uri", F.coalesce(uri, F.col("urn")))
-    last = F.max_by(F.struct("page_id", "urn", "uri"), "page_id")
+    rows = rows.withColumn("urn", urn)
+    again = saved(rows.groupBy("urn").agg(F.count("*").alias("rows"), F.min("place").alias("first")).where("rows > 1").select("urn", "first"))
+    if not again.isEmpty():
+        other = F.col("first").isNotNull() & (F.col("place") != F.col("first"))
+        rows = rows.join(again, "urn", "left").withColumn("urn", F.when(other, _urn(F.col("urn"), F.col("place").cast("string"))).otherwise(F.col("urn")))
+    rows = rows.withColumn("uri", F.coalesce(uri, F.col("urn")))
+    latest = F.when(F.col("page_id").isNotNull(), F.struct("page_id", -F.col("place")))
+    last = F.max_by(F.struct("page_id", "urn", "uri"), latest)
     repeated = saved(rows.groupBy("digest").agg(F.count("*").alias("copies"), last.alias("keeper"), F.max("length").alias("size")).where("copies > 1"))
 
     marked = pages.select("digest", "payload").join(repeated.select("digest", F.lit(True).alias("again")), "digest", "left")
@@ -135,22 +144,24 @@ def read_archive(archive: Archive) -> DataFrame:
 
 
 def files(archive: Archive, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
-    """data: whole .warc.gz files of about file_bytes bytes, or of one record where that is longer."""
+    """data: whole .warc.gz files of about file_bytes bytes, or of one record where that is longer. A file's warcinfo id
+    follows from its first record: the same records in the same order are the same bytes, also when a task runs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about = b"software: content-addressed archive\r\nformat: WARC File Format 1.1\r\n"
         made, size = [], 0
+        name = lambda record: uuid.UUID(bytes=hashlib.md5(record).digest(), version=3)
 
         def put(record: bytes) -> int:
             made.append(gzip.compress(record, 6, mtime=0))
             return len(made[-1])
 
         for batch in batches:
-            for record in batch.column(0):
+            for record in (x.as_py() for x in batch.column(0)):
                 if not made:
-                    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\n"
+                    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name(record)}>\r\nWARC-Date: {date}\r\n"
                     size = put(f"{head}Content-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n".encode() + about + b"\r\n\r\n")
-                size += put(record.as_py())
+                size += put(record)
                 if size >= file_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(made)], pa.binary())], names=["data"])
                     made.clear()

@@ -188,6 +188,11 @@ def test_warc(spark):
     pages = [x for x in read if x[0]["WARC-Type"] != "warcinfo"]
     assert len(pages) == len(rows) and {h["WARC-Date"] for h, _ in read} == {warc.DATE}
     of = {h["WARC-Record-ID"]: (h, block) for h, block in pages}
+    assert len({h["WARC-Record-ID"] for h, _ in read}) == len(read)
+    assert sorted(bytes(r.data) for r in warc.files(archive, file_bytes=2000).collect()) == sorted(bytes(r.data) for r in warc.files(archive, file_bytes=2000).collect())
+    twice = df.union(df).union(df.where("page_id is null"))
+    ids = [bytes(r.record).partition(b"WARC-Record-ID: ")[2].partition(b"\r\n")[0] for r in warc.read_archive(warc.write_archive(twice)).collect()]
+    assert len(ids) == len(set(ids)) == 2 * len(rows) + 1
     for h, block in pages:
         head, _, payload = block.partition(b"\r\n\r\n")
         assert head.startswith(b"HTTP/1.1 200 OK\r\n") and h["Content-Type"] == "application/http;msgtype=response" and "WARC-Target-URI" in h
