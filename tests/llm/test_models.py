@@ -130,11 +130,37 @@ def test_calibration_rows_are_not_counted(spark, monkeypatch, rows):
 
         return run
 
+    class Spy(urlmodel.Filter):
+        def scores(self, urls):
+            with open(f"{folder}/measure-{uuid.uuid4().hex}", "w") as out:
+                out.write("\n".join(str(x) for x in urls))
+            return super().scores(urls)
+
     counter = urlmodel._count
     monkeypatch.setattr(urlmodel, "_count", spy("count", counter))
+    monkeypatch.setattr(urlmodel, "Filter", Spy)
     model = urlmodel.train(urls)
+    measured = {line for name in glob.glob(f"{folder}/measure-*") for line in open(name).read().split("\n") if line}
     learned = {line for name in glob.glob(f"{folder}/count-*") for line in open(name).read().split("\n") if line}
     assert 0.7 * rows < len(learned) < rows and model.models is not None
+    assert measured and not measured & learned
+
+
+def test_url_rules_are_those_of_sql(spark):
+    """Host, path, rule and the verdicts of rules, for every page."""
+    import duckdb
+
+    tail = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    want = duckdb.sql(f"""WITH t AS (SELECT page_id, coalesce({tail}, '') AS t FROM '{FOLDER}/pages.parquet'),
+p AS (SELECT page_id, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+r(h, s, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT p.page_id, host, path, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS verdict
+FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY ALL""").fetchall()
+    got = {r.page_id: r for r in registry.op7_url_filter(spark, FOLDER).collect()}
+    assert len(got) == len(want) and {w[3] for w in want} > {None}
+    for page_id, host, path, rule, verdict in want:
+        r = got[page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ((verdict,) if rule else ("allow", "block"))
 
 
 def test_kneser_ney_by_brute_force():
@@ -322,9 +348,12 @@ def test_toxicity(spark):
 
 
 def test_toxicity_of_the_documents(spark):
-    out = registry.op10_toxicity(spark, FOLDER).join(table(spark, "labels"), "doc_id").toPandas()
+    """Held out, at the size whose figures the README states: precision 0.94, recall 0.92."""
+    folder = FOLDER.replace("sf0.01", "sf0.1")
+    out = registry.op10_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
     x = out[out.held_out]
-    assert x[x.predicted == 1].toxic.mean() > 0.8 and x[x.toxic == 1].predicted.mean() > 0.5
+    precision, recall = x[x.predicted == 1].toxic.mean(), x[x.toxic == 1].predicted.mean()
+    assert precision >= 0.93 and recall >= 0.91, (precision, recall)
 
 
 def hash_buckets(words):
