@@ -13,8 +13,11 @@ copies moves each text once. Then the other edges of stars whose ends are still
 other and not with their hub, the buckets that still hold documents of several components are looked at, each by itself (those of
 one hub together), so that documents that never shared a bucket are not compared however buckets chain. Their documents
 are compared in blocks of at most about BLOCK documents or VOLUME shingles; the task of two blocks counts intersections of full sets, skips
-what is connected already and returns a spanning forest of the links it found. Thus no link of documents that share a bucket is
-lost, no pair is a row, and texts move once for each bucket and block only among documents that share a bucket and no component. (6) Components of all links.
+what is connected already and returns a spanning forest of the links it found. Buckets too large for one block are narrowed first by a
+prefix filter: a document's rarest shingles, n - ceil(percent * n / 100) + 1 of them in one order for all documents, hold one that any
+document linked with it has among its own, so only documents of different components that share such a shingle are compared. The order is by
+counts in CELLS cells, summed over these documents by treeAggregate, then by hash: whatever the counts, it loses no link. Thus no link of
+documents that share a bucket is lost, no pair is a row, and texts move once for each bucket or rare shingle and block. (6) Components of all links.
 What moves are texts: compressed they are smaller than the hashes of their shingles.
 
 Defined results: text null or without words: n_shingles 0, linked with nothing, kept. A very long text is one like others. Repeated rows of one doc_id count as
@@ -24,6 +27,7 @@ besides the two named are not looked at.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +43,8 @@ BINS, BANDS, ROWS = 128, 25, 5
 PERCENT = 85
 #: Documents and shingles of a block, about; members of a star that meet a copy of the hub's text, about.
 BLOCK, VOLUME, PART = 512, 1_000_000, 2_000
+#: Cells of the counts that order shingles from rare to frequent: 8 MB, whatever the input.
+CELLS = 1 << 20
 
 _ATTEMPTS = 2048
 _DONOR = (C.stream(31, _ATTEMPTS * BINS) % np.uint64(BINS)).astype(np.int64).reshape(_ATTEMPTS, BINS)
@@ -200,6 +206,61 @@ def _meet(percent: int):
     return run
 
 
+def _cells(sets: np.ndarray) -> np.ndarray:
+    return (C.mix(sets) % np.uint64(CELLS)).astype(np.int64)
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """In how many rows of the one column text shingles of a cell are: a vector of CELLS, one a task and a tree of sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            data, offsets = C.utf8(batch.column(0))
+            for lo, hi in C.chunks(offsets):
+                made, _ = C.shingles(*C.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SIZE)
+                np.add.at(total, _cells(made), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = texts.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
+    return parts.treeAggregate(np.zeros(CELLS, np.int64), operator.add, operator.add, depth=3)
+
+
+def prefix(s: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets as similar as percent share one of them."""
+    return s[np.lexsort((s, count[_cells(s)]))[: len(s) - -(-percent * len(s) // 100) + 1]]
+
+
+def rare(texts: DataFrame, percent: int) -> DataFrame:
+    """Rows (id, shingle): the prefix of each row's set, in the order of the counts over all these rows. texts: doc_id, text."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequencies(texts.select("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = C.utf8(batch.column(1))
+            for lo, hi in C.chunks(offsets):
+                made, at = C.shingles(*C.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SIZE)
+                parts = [prefix(made[at[k] : at[k + 1]], shared.value, percent) if at[k] < at[k + 1] else made[:0] for k in range(hi - lo)]
+                ids = np.repeat(batch.column(0).to_numpy()[lo:hi], [len(x) for x in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(parts).view(np.int64))], names=["id", "shingle"])
+
+    return texts.mapInArrow(run, "id long, shingle long")
+
+
+def narrowed(families: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of families too large for a block, the documents of different components that share a rare shingle, each family being
+    what shares one, named by its smallest id: rows (family, id, component, n) that lose no link between components."""
+    members = saved(families.select("id", "component", "n").distinct())
+    held = texts.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    shingle = saved(rare(saved(held), percent).join(members, "id"))
+    several = shingle.groupBy("shingle").agg(F.min("id").alias("family"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return shingle.join(several.where("low < high").select("shingle", "family"), "shingle").select("family", "id", "component", "n").distinct()
+
+
+def blocks() -> F.Column:
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).cast("int").alias("blocks")
+
+
 def linked(edges: DataFrame, texts: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     """Of the edges (hub, id) those whose full sets are similar enough, as (a, b). prints: doc_id, fp1 of the text that counts."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
@@ -241,8 +302,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub")).where("low < high")
     apart = saved(apart.join(mixed.select("key", "hub"), "key").select("hub", "id", "component").distinct())
     if not apart.isEmpty():
-        families = saved(apart.join(signed.select(F.col("doc_id").alias("id"), "n"), "id").withColumnRenamed("hub", "family"))
-        sizes = families.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).cast("int").alias("blocks"))
+        families = apart.join(signed.select(F.col("doc_id").alias("id"), "n"), "id").select(F.col("hub").alias("family"), "id", "component", "n")
+        sizes = saved(families.groupBy("family").agg(blocks()))
+        large = sizes.where("blocks > 1").select("family")
+        if not large.isEmpty():
+            less = narrowed(families.join(large, "family", "left_semi"), near, percent)
+            families = saved(families.join(large, "family", "left_anti").union(less).distinct())
+            sizes = families.groupBy("family").agg(blocks())
         members = families.join(sizes, "family").select("family", F.col("id").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
         rows = members.join(near, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "component", "text")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,12 +57,43 @@ def test_chained_buckets_are_compared_apart(spark, monkeypatch):
         monkeypatch.setattr(neardup, "saved", lambda df, *a: frames.append(common.saved(df, *a)) or frames[-1])
         got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
         assert got.where("kept").count() == m
-        moved = [df for df in frames if df.columns[:1] == ["id"] and "family" in df.columns]
-        seen[m] = moved[0].groupBy("family").count().selectExpr("sum(count * ceil(count / 512))", "max(count)").first()
+        moved = [df for df in frames if df.columns == ["hub", "id", "component"]]
+        seen[m] = moved[0].groupBy("hub").count().selectExpr("sum(count * ceil(count / 512))", "max(count)").first()
     assert len(met) == 2
     assert seen[1200][0] <= 6 * seen[300][0] and seen[1200][1] < 120
 
 
+def test_rare_shingles_of_linked_sets_meet():
+    rng = np.random.default_rng(8)
+    for percent in (80, 85, 100):
+        for n in (1, 2, 7, 40, 300):
+            count = rng.integers(0, 4, neardup.CELLS)
+            a = np.sort(rng.choice(1 << 40, n, False).astype(np.uint64))
+            b = np.sort(np.r_[a[: n - n * (100 - percent) // 200], (1 << 50) + np.arange(n * (100 - percent) // 300)].astype(np.uint64))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert len(np.intersect1d(neardup.prefix(a, count, percent), neardup.prefix(b, count, percent)))
+
+
+def test_a_large_bucket_moves_few_texts(spark, monkeypatch):
+    """Documents that share most of a text and are not linked: the prefix filter leaves those that may be, and loses none."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    base = " ".join(f"b{k}" for k in range(100))
+    for m in (200, 800):
+        rows = [(k, f"{base} " + " ".join(f"u{k}x{j}" for j in range(40))) for k in range(m)]
+        near = [(m + k, rows[k][1] + " more") for k in range(0, 40, 10)]  # hub, bucket and all shared with the others
+        frames, left = [], []
+        monkeypatch.setattr(neardup, "saved", lambda df, *a: frames.append(common.saved(df, *a)) or frames[-1])
+        monkeypatch.setattr(neardup, "narrowed", lambda *a, f=neardup.narrowed: left.append(f(*a)) or left[-1])
+        with monkeypatch.context() as only:
+            only.setattr(neardup, "linked", lambda e, t, p, percent: spark.createDataFrame([], "a long, b long"))  # links from blocks alone
+            got = neardup.near_duplicates(docs(spark, rows + near))
+        assert sorted(tuple(r) for r in got.where("not kept").select("doc_id", "component_id").collect()) == [(m + k, k) for k in range(0, 40, 10)]
+        assert len(left) == 1 and left[0].count() == 2 * len(near)
+        monkeypatch.undo()
+        monkeypatch.setattr(neardup, "BLOCK", 20)
+
+
 @pytest.mark.parametrize(("seed", "block"), [(1, 512), (2, 3)])
 def test_near_duplicates(spark, monkeypatch, seed, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
