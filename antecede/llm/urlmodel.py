@@ -197,12 +197,13 @@ def _flat(held: pa.Table) -> pd.DataFrame:
 
 
 def scored(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """The rows with method_score in place of url. Each part of them meets the counts of its own contexts."""
+    """The rows with method_score in place of url. Each part of them meets the counts of its own contexts. Neither side of
+    that join is broadcast, however small its size is estimated: both grow with the URLs."""
     rows = C.saved(rows.withColumn("part", F.xxhash64(F.monotonically_increasing_id())))  # copies are dealt out like others
     parts = 1 + (rows.agg(F.sum(F.octet_length("url"))).first()[0] or 0) // PART_BYTES
     rows = rows.withColumn("part", F.pmod("part", F.lit(parts)))
     needs = rows.select("part", "url").repartition(parts, "part").groupBy("part").applyInArrow(_contexts, "part long, level int, context long")
-    held = needs.join(models, ["level", "context"]).select("part", "kind", "level", "context", "grams")
+    held = needs.join(models.hint("merge"), ["level", "context"]).select("part", "kind", "level", "context", "grams")
     columns, build = [c for c in rows.columns if c not in ("url", "part")], Filter
 
     def run(part: pa.Table, held: pa.Table) -> pa.Table:
