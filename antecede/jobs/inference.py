@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from antecede.operators import learn, order, probabilities, ranking, resample, shaping, strong, survival
 from antecede.operators.rounds import Rounds, size_of
-from antecede.sources.tables import stored
+from antecede.sources.tables import spread, stored
 
 
 @dataclass
@@ -36,8 +36,8 @@ def _names(genes: DataFrame) -> list[str]:
 
 def _observed(dataset: DataFrame, genes: DataFrame, rounds: Rounds | None) -> DataFrame:
     """The packed table of a binary dataset (sample_id, gene_id)."""
-    seen = shaping.keep_genes(dataset, genes, "gene_id").select("sample_id", "gene_id").distinct().withColumn("ccf", F.lit(1.0))
-    return stored(probabilities.packed(seen, rounds))
+    seen = shaping.keep_genes(dataset, genes, "gene_id").select("sample_id", "gene_id", F.lit(1.0).alias("ccf"))
+    return stored(probabilities.packed(seen, rounds, once=True))
 
 
 @dataclass
@@ -90,30 +90,31 @@ def ccf_resampling(ccf: DataFrame, vaf: DataFrame, samples: DataFrame, genes: Da
     return Result(poset, t.infer(poset, regularization, command, restarts), ranks)
 
 
-def tree_inference(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samples: DataFrame, genes: DataFrame, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, rounds: Rounds | None = None) -> Result:
-    """P3. dataset: (sample_id, gene_id) mutations observed."""
+def tree_inference(dataset: DataFrame, nodes: DataFrame, edges: DataFrame | None, samples: DataFrame, genes: DataFrame, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, rounds: Rounds | None = None) -> Result:
+    """P3. dataset: (sample_id, gene_id) mutations observed. nodes, edges: long tables; or nodes: nested trees (sample_id, nodes, edges)
+    and edges: None."""
     return _trees(dataset, nodes, edges, samples, genes, 0, regularization, command, restarts, 1, rounds)
 
 
-def tree_bootstrap(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samples: DataFrame, genes: DataFrame, nsampling: int = 100, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, seed: int = 1, rounds: Rounds | None = None) -> Result:
-    """P4. As many trees as there are (samples with a node) are drawn with replacement in each replicate."""
+def tree_bootstrap(dataset: DataFrame, nodes: DataFrame, edges: DataFrame | None, samples: DataFrame, genes: DataFrame, nsampling: int = 100, regularization=("aic", "bic"), command: str = "hc", restarts: int = 10, seed: int = 1, rounds: Rounds | None = None) -> Result:
+    """P4. As many trees as there are (samples with a node) are drawn with replacement in each replicate. Trees as in tree_inference()."""
     return _trees(dataset, nodes, edges, samples, genes, nsampling, regularization, command, restarts, seed, rounds)
 
 
 def _trees(dataset, nodes, edges, samples, genes, nsampling, regularization, command, restarts, seed, rounds) -> Result:
-    trees = shaping.keep_samples(nodes.select("sample_id"), samples)  # a tree whose genes are all unknown is drawn too
-    nodes, edges = shaping.keep_genes(nodes, genes, "gene_id"), shaping.keep_genes(edges, genes, "parent", "child")
     seen, n, names, count = _observed(dataset, genes, rounds), stored(probabilities.sample_counts(samples, rounds)), _names(genes), size_of(rounds)
-    p_model = probabilities.p_model_trees(nodes, edges, genes, n, rounds)
+    nested = nodes if edges is None else shaping.nested_trees(nodes, edges)
+    alike = stored(spread(shaping.known_genes(resample.trees_alike(nested, samples, rounds), names, count), "nodes", "edges"))
+    p_model = probabilities.p_model_shapes(alike, genes, n, count)
     p_null = probabilities.p_null(seen, genes, n, stored(probabilities.pair_counts(seen, count)), count)
     ranks = None
     if nsampling:
-        blocks = stored(resample.bootstrap_blocks(trees, edges, names, nsampling, seed, rounds))
+        drawn = alike.where("drawn").select("nodes", F.col("edges").alias("arcs"), "counts")  # a tree whose genes are all unknown is drawn too
+        blocks = stored(resample.tree_blocks(drawn, ["nodes", "arcs"], names, nsampling, seed, count))
         ranks = stored(ranking.mean_ranks(ranking.minimum_agony_blocks(blocks, names), genes, n.select("iter")))
         poset = ranking.poset(ranks)
     else:
-        arcs = order.by_round(edges.select("sample_id", "parent", "child", F.lit(1).cast("long").alias("weight")), rounds)
-        poset = ranking.single_poset(arcs, genes, n.select("iter"))
+        poset = ranking.single_poset(probabilities.shape_arcs(alike, count), genes, n.select("iter"))
     poset = stored(ranking.probability_raising(poset, p_model, p_null))
     return Result(poset, _infer(seen, names, n, poset, regularization, command, restarts, count), ranks)
 
@@ -146,8 +147,8 @@ def ccf_confidence(ccf: DataFrame, samples: DataFrame, genes: DataFrame, vaf: Da
     return _confidence(ccf_resampling(ccf, vaf, samples, genes, nsampling, regularization, "hc", restarts, seed, dataset=dataset, rounds=rounds), niterations)
 
 
-def tree_confidence(dataset: DataFrame, nodes: DataFrame, edges: DataFrame, samples: DataFrame, genes: DataFrame, niterations: int = 100, nsampling: int = 100, regularization=("aic", "bic"), restarts: int = 10, seed: int = 1) -> Confidence:
-    """P6."""
+def tree_confidence(dataset: DataFrame, nodes: DataFrame, edges: DataFrame | None, samples: DataFrame, genes: DataFrame, niterations: int = 100, nsampling: int = 100, regularization=("aic", "bic"), restarts: int = 10, seed: int = 1) -> Confidence:
+    """P6. Trees as in tree_inference()."""
     niterations = max(1, niterations)
     return _confidence(_trees(dataset, nodes, edges, samples, genes, nsampling, regularization, "hc", restarts, seed, _rounds(samples, niterations, seed)), niterations)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from antecede.operators.rounds import added
+
 
 def latest_rows(vaf: DataFrame) -> DataFrame:
     """Of repeated (sample, gene) rows, the one of the largest row_id."""
@@ -50,6 +52,24 @@ def keep_genes(rows: DataFrame, genes: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
+def nested_trees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A3 backwards: sample_id, nodes (distinct, sorted), edges (sorted, repeats kept); edges of samples without a node are kept, with
+    no nodes."""
+    arc = "struct<parent:string,child:string>"
+    rows = nodes.select("sample_id", "gene_id", F.lit(None).cast(arc).alias("e")).unionByName(edges.select("sample_id", F.lit(None).cast("string").alias("gene_id"), F.struct("parent", "child").cast(arc).alias("e")))
+    return rows.groupBy("sample_id").agg(F.sort_array(F.collect_set("gene_id")).alias("nodes"), F.sort_array(F.collect_list("e")).alias("edges"))
+
+
+def known_genes(alike: DataFrame, names: list[str], count: int = 1) -> DataFrame:
+    """B8 for trees counted by shape: their known genes, distinct and sorted, and the edges between these, sorted; shapes that are
+    the same then are added up."""
+    known = F.lit(names).cast("array<string>")
+    inside = F.filter("edges", lambda e: F.array_contains(known, e["parent"]) & F.array_contains(known, e["child"]))
+    none = F.array().cast("array<struct<parent:string,child:string>>")
+    rows = alike.select(F.sort_array(F.array_intersect("nodes", known)).alias("nodes"), F.coalesce(F.sort_array(inside), none).alias("edges"), "drawn", "counts")
+    return added(rows, ["nodes", "edges", "drawn"], count)
+
+
 def consistency_audit(dataset: DataFrame, ccf: DataFrame, vaf: DataFrame) -> DataFrame:
     """(sample, gene, reason) where the three tables disagree."""
     key = ["sample_id", "gene_id"]

@@ -59,6 +59,20 @@ def test_arcs_between_tiers_are_the_ordered_ones():
         assert (arcs == want).all()
 
 
+@pytest.mark.parametrize("most", [1, 9, 40])
+def test_weighted_multinomial(most):
+    """Totals are exact; means and variances those of the multinomial, for light and heavy rows."""
+    weight = np.random.default_rng(2).integers(1, most + 1, 500)
+    n, reps = weight.sum(), 2000
+    many = draws.multinomial(draws.stream(4), np.full(reps, n), weight).astype(np.int64)
+    assert (many.sum(0) == n).all()
+    share = weight / n
+    sigma = np.sqrt(n * share * (1 - share))
+    assert np.abs((many.mean(1) - weight) / sigma).max() < 5 / reps**0.5
+    assert abs((many.var(1) / sigma**2).mean() - 1) < 0.02
+    assert abs(np.corrcoef(many)[~np.eye(500, dtype=bool)].mean() + 1 / 499) < 0.001
+
+
 def test_common_kinds_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(resample, "DENSE_CELLS", 1)
     vaf = spark.range(900).select((F.col("id") % 300).cast("string").alias("sample_id"), F.concat(F.lit("g"), (F.col("id") / 300).cast("int")).alias("gene_id"), (F.col("id") % 7 * 3).cast("int").alias("alt_count"), F.lit(20).alias("ref_count"), F.lit(1).alias("copy_number"), F.lit(2).alias("normal_ploidy"))
